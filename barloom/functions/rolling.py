@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.scalar import _c, pct
+from barloom.functions.scalar import _c, growth, pct
 
 
 def _rolling(agg, x: str | Column, n: int, w: WindowSpec, min_periods: int | None) -> Column:
@@ -31,7 +31,7 @@ def std(x: str | Column, n: int, w: WindowSpec, min_periods: int | None = None)
 
 def change(x: str | Column, k: int, w: WindowSpec) -> Column:
     """Percent change against the value k rows earlier."""
-    return (F.try_divide(_c(x), F.lag(_c(x), k).over(w)) - 1.0) * 100.0
+    return growth(x, F.lag(_c(x), k).over(w))
 
 
 def future_change(x: str | Column, w: WindowSpec, k: int = 1) -> Column:

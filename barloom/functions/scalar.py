@@ -15,6 +15,11 @@ def pct(part: str | Column, whole: str | Column) -> Column:
     return F.try_divide(_c(part), _c(whole)) * 100.0
 
 
+def growth(now: str | Column, then: str | Column) -> Column:
+    """Percent change from `then` to `now`."""
+    return (F.try_divide(_c(now), _c(then)) - 1.0) * 100.0
+
+
 def range_abs() -> Column:
     return F.col("High") - F.col("Low")
 

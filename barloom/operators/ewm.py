@@ -35,24 +35,48 @@ def span(n: int) -> float:
     return 2.0 / (n + 1.0)
 
 
+def halo(alpha: float) -> int:
+    """Rows after which the start of an average no longer shows in a double."""
+    return math.ceil(_GONE / -math.log1p(-alpha))
+
+
+def segmented(df: DataFrame, *alphas: float) -> DataFrame:
+    """Number the rows of each series by segment, long enough for the slowest of the averages.
+
+    Steps that share one segmentation also share one sort.
+    """
+    rows = max(halo(a) for a in alphas)
+    position = F.row_number().over(over(df)) - 1
+    df = df.withColumn("_pos", position)
+    return df.withColumns(
+        {"_seg": F.floor(F.col("_pos") / rows), "_step": F.col("_pos") % rows, "_rows": F.lit(rows)}
+    ).drop("_pos")
+
+
+SEGMENT_COLUMNS = ["_seg", "_step", "_rows"]
+
+
 def with_ewm(df: DataFrame, averages: dict[str, Ewm]) -> DataFrame:
     """Add one column per entry. Inputs may start with nulls; inside they should hold none (fill first).
 
     On a laid-out frame the average starts in the halo of the block, which is
-    long enough for the start to vanish (see `layout.HALO`).
+    long enough for the start to vanish (see `layout.HALO`). A frame that is
+    already segmented keeps its segments.
     """
-    decay = {name: -math.log1p(-a.alpha) for name, a in averages.items()}
-    rows = math.ceil(_GONE / min(decay.values()))
-    if rows * max(decay.values()) > _SAFE:
-        # one segment length cannot serve the slow and the fast one: do the fastest apart
-        fast = max(decay, key=decay.get)
-        slow = {name: a for name, a in averages.items() if name != fast}
-        return with_ewm(with_ewm(df, slow), {fast: averages[fast]})
+    if not all(0.0 < a.alpha < 1.0 for a in averages.values()):
+        raise ValueError("alpha must lie between 0 and 1")
+    if "_seg" not in df.columns:
+        decay = {name: -math.log1p(-a.alpha) for name, a in averages.items()}
+        if math.ceil(_GONE / min(decay.values())) * max(decay.values()) > _SAFE:
+            # one segment length cannot serve the slow and the fast one: do the fastest apart
+            fast = max(decay, key=decay.get)
+            slow = {name: a for name, a in averages.items() if name != fast}
+            return with_ewm(with_ewm(df, slow), {fast: averages[fast]})
+        df = segmented(df, *[a.alpha for a in averages.values()])
+        return with_ewm(df, averages).drop(*SEGMENT_COLUMNS)
 
     columns = df.columns
     df = df.withColumns({f"_x_{n}": F.col(a.x) if isinstance(a.x, str) else a.x for n, a in averages.items()})
-    df = df.withColumn("_pos", F.row_number().over(over(df)) - 1)
-    df = df.withColumns({"_seg": F.floor(F.col("_pos") / rows), "_step": F.col("_pos") % rows})
 
     keys = series_keys(df)
     inside = W.partitionBy(*keys, "_seg").orderBy("Date").rowsBetween(W.unboundedPreceding, 0)
@@ -75,7 +99,7 @@ def with_ewm(df: DataFrame, averages: dict[str, Ewm]) -> DataFrame:
         carried[f"_n_{n}"] = F.count(f"_x_{n}").over(so_far)
         carried[f"_first_{n}"] = F.first(f"_x_{n}", ignorenulls=True).over(so_far)
         carried[f"_end_{n}"] = F.last(
-            F.when(F.col("_step") == rows - 1, F.col(f"_in_{n}")), ignorenulls=True
+            F.when(F.col("_step") == F.col("_rows") - 1, F.col(f"_in_{n}")), ignorenulls=True
         ).over(earlier)
     df = df.withColumns(carried)
     result = {
