@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators.ranking import global_rank
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,3 +46,145 @@ def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("price", "seq").alias("Close"),
         F.sum("l_quantity").alias("Volume"),
     )
+
+
+def numbered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with `rank`, their number in (Date, Symbol) order."""
+    return global_rank(events_bars(spark, sf_dir))
+
+
+def dirty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered bars as raw text with faults at fixed ranks, copies with a later `seq`, and a thin symbol."""
+    b = numbered_bars(spark, sf_dir)
+    r = F.col("rank")
+
+    def text(close, seq) -> list:
+        return [
+            F.when(r % 29 == 0, "bad date").otherwise(F.date_format("Date", "yyyy-MM-dd HH:mm:ss")).alias("Date"),
+            F.col("Open").cast("string").alias("Open"),
+            F.when(r % 31 == 0, F.col("Low") - 1).otherwise(F.col("High")).cast("string").alias("High"),
+            F.col("Low").cast("string").alias("Low"),
+            F.when(r % 17 == 0, "n/a").when(r % 37 == 0, "-1").otherwise(close.cast("string")).alias("Close"),
+            F.when(r % 23 != 0, F.col("Volume").cast("string")).alias("Volume"),
+            (r * 10 + seq).alias("seq"),
+        ]
+
+    first = b.select("Symbol", *text(F.col("Close"), 0))
+    again = b.filter(r % 19 == 0).select("Symbol", *text(F.col("Close") + 1, 5))
+    thin = b.filter((F.col("Symbol") == "click") & (r <= 200)).select(F.lit("THIN").alias("Symbol"), *text(F.col("Close"), 7))
+    return first.unionByName(again).unionByName(thin)
+
+
+def embeddings_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with the key of the bar whose rank follows their id."""
+    keys = numbered_bars(spark, sf_dir).select("Symbol", "Date", (F.col("rank") - 1).alias("vec_id"))
+    return table(spark, sf_dir, "embeddings").join(keys, "vec_id").select("Symbol", "Date", "embedding")
+
+
+def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as truth with a deterministic score of two models."""
+    return table(spark, sf_dir, "labels").select(
+        "doc_id",
+        F.col("quality").alias("y"),
+        (((F.col("doc_id") * 37) % 101) / F.lit(100.0)).alias("p"),
+        F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("model"),
+    )
+
+
+def scored_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with a deterministic probability of UP."""
+    hour = (F.unix_timestamp("Date") / 3600).cast("long")
+    p = ((hour * 37 + F.length("Symbol") * 13) % 101) / F.lit(100.0)
+    return events_bars(spark, sf_dir).withColumn("p", p)
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One daily-series payload per symbol and day; every seventh day of the month starts a run of failed ones."""
+    day = F.date_trunc("day", "Date")
+    texts = [F.col(c).cast("string") for c in ("Open", "High", "Low", "Close", "Volume")]
+    names = ["1. open", "2. high", "3. low", "4. close", "5. volume"]
+    fields = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*texts))
+    # one day of hourly bars: at most 24 entries
+    series = F.map_from_entries(F.collect_list(F.struct("k", "f")))
+    rows = events_bars(spark, sf_dir).select("Symbol", day.alias("day"), F.date_format("Date", "yyyy-MM-dd HH:mm:ss").alias("k"), fields.alias("f"))
+    per_day = rows.groupBy("Symbol", "day").agg(series.alias("s"))
+    kind = F.dayofmonth("day") % 7
+    payload = (
+        F.when(kind == 1, F.lit('{"Note": "too many requests"}'))
+        .when(kind == 2, F.lit('{"Information": "daily limit"}'))
+        .when(kind == 3, F.lit('{"Error Message": "unknown symbol"}'))
+        .when(kind == 4, F.lit('{"Time Series'))
+        .otherwise(F.to_json(F.struct(F.col("s").alias("Time Series (Daily)"))))
+    )
+    return per_day.select("Symbol", "day", payload.alias("payload"))
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies from the suppliers: ticker, mapping order, and two names; suppliers of one nation share the second."""
+    s = table(spark, sf_dir, "supplier").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    return s.select(
+        F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol"),
+        F.col("s_suppkey").alias("position"),
+        F.array(F.col("s_name"), F.concat(F.lit("Trading House "), F.col("n_name"))).alias("names"),
+    )
+
+
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Available tickers: suppliers that are not in debt."""
+    return table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(
+        F.concat(F.lit("S"), F.col("s_suppkey")).alias("symbol")
+    )
+
+
+def symbol_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users typed, from the customers: tickers, exact names, parts of names, names in a sentence, nothing."""
+    key = F.col("c_custkey")
+    number = F.lpad(key.cast("string"), 9, "0")
+    kind = key % 6
+    text = (
+        F.when(kind == 0, F.concat(F.lit(" s"), key.cast("string")))
+        .when(kind == 1, F.concat(F.lit("SUPPLIER#"), number))
+        .when(kind == 2, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")))
+        .when(kind == 3, F.concat(F.lit("buy Supplier#"), number, F.lit(" today")))
+        .when(kind == 4, F.col("c_name"))
+        .otherwise(F.lit("  "))
+    )
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+
+
+def write_symbol_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Hourly bars as one CSV per event type and day, the raw layout of one file per symbol.
+
+    By day of month some files lack Volume, some order the columns differently,
+    some add `Adj Close`. A file is one day, so a task writes small groups.
+    """
+    from pyarrow import fs
+
+    columns = {1: ["Date", "Open", "High", "Low", "Close"], 2: ["Close", "Date", "Low", "High", "Open", "Volume"]}
+    plain = ["Date", "Open", "High", "Low", "Close", "Volume"]
+    columns[3] = [*plain, "Adj Close"]
+
+    def write(part):
+        target, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        target.create_dir(folder, recursive=True)
+        stem, kind = part["stem"].iloc[0], part["kind"].iloc[0]
+        text = part.sort_values("Date")[columns.get(kind, plain)].to_csv(index=False)
+        with target.open_output_stream(f"{folder}/{stem}.csv") as out:
+            out.write(text.encode())
+        return part[["stem"]].head(1)
+
+    bars = events_bars(spark, sf_dir)
+    named = bars.select(
+        F.concat_ws("-", "Symbol", F.date_format("Date", "yyyyMMdd")).alias("stem"),
+        (F.dayofmonth("Date") % 5).alias("kind"),
+        F.date_format("Date", "yyyy-MM-dd HH:mm:ss").alias("Date"),
+        "Open",
+        "High",
+        "Low",
+        "Close",
+        "Volume",
+        F.col("Close").alias("Adj Close"),
+    )
+    named.groupBy("stem").applyInPandas(write, "stem string").write.format("noop").mode("overwrite").save()

@@ -60,8 +60,12 @@ class LiveFeatures:
     bar of their symbol make that symbol recompute from the stored bars.
     """
 
-    def __init__(self, spark: SparkSession, store: str, compute: BarsToFeatures, history: int = HALO):
-        self.spark, self.store, self.compute, self.history = spark, store.rstrip("/"), compute, history
+    def __init__(
+        self, spark: SparkSession, store: str, compute: BarsToFeatures, history: int = HALO, lookahead: int = 1
+    ):
+        """`lookahead` is how many rows back a new bar changes features (the future return: one)."""
+        self.spark, self.store, self.compute = spark, store.rstrip("/"), compute
+        self.history, self.lookahead = history, lookahead
 
     def _write(self, df: DataFrame, kind: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.store}/{kind}/batch={batch}")
@@ -92,7 +96,10 @@ class LiveFeatures:
             context = tail.join(first.select("Symbol"), "Symbol", "left_semi").unionByName(new)
         else:
             context = self._context_with_late(new, tail, first, late, schema, batch_id)
-        changed = self.compute(context).join(first, "Symbol").filter(F.col("Date") >= F.col("_first")).drop("_first")
+        older = context.join(first, "Symbol").filter(F.col("Date") < F.col("_first")).select("Symbol", "Date")
+        open_rows = last_n(older, self.lookahead).groupBy("Symbol").agg(F.min("Date").alias("_open"))
+        since = first.join(open_rows, "Symbol", "left").select("Symbol", F.coalesce("_open", "_first").alias("_since"))
+        changed = self.compute(context).join(since, "Symbol").filter(F.col("Date") >= F.col("_since")).drop("_since")
         self._write(changed, "features", batch_id)
         untouched = tail.join(first.select("Symbol"), "Symbol", "left_anti")
         self._write(untouched.unionByName(last_n(context, self.history)), "tail", batch_id)
