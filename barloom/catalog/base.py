@@ -70,7 +70,7 @@ LINEITEM_BARS = """
 SELECT CAST(l_suppkey AS VARCHAR) AS "Symbol", CAST(l_shipdate AS DATE) AS "Date",
        arg_min(price, seq) AS "Open", max(price) AS "High", min(price) AS "Low",
        arg_max(price, seq) AS "Close", sum(l_quantity) AS "Volume"
-FROM (SELECT *, l_extendedprice / nullif(l_quantity, 0) AS price,
+FROM (SELECT *, floor(l_extendedprice * 100 / nullif(l_quantity, 0)) / 100.0::DOUBLE AS price,
              struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_quantity,
                          e := l_extendedprice, f := l_discount, g := l_tax) AS seq FROM lineitem) AS items
 GROUP BY 1, 2"""

@@ -127,14 +127,14 @@ def candle_windows(spark, sf_dir):
 @query("even_sample", with_ctes(
     {
         **CANDLES,
-        "numbered": """SELECT *, row_number() OVER (PARTITION BY "Symbol" ORDER BY start_date) - 1 AS at,
+        "numbered": """SELECT *, row_number() OVER (PARTITION BY "Symbol" ORDER BY start_date) - 1 AS place,
             count(*) OVER (PARTITION BY "Symbol") AS total FROM candles""",
         "picks": """SELECT "Symbol", CASE WHEN i = 499 THEN total - 1
-            ELSE CAST(floor(i * ((total - 1)::DOUBLE / 499.0::DOUBLE)) AS BIGINT) END AS at
+            ELSE CAST(floor(i * ((total - 1)::DOUBLE / 499.0::DOUBLE)) AS BIGINT) END AS place
             FROM (SELECT DISTINCT "Symbol", total FROM numbered WHERE total > 500) AS t, range(500) AS g(i)""",
     },
     _CANDLES_SHOWN,
-    """SELECT * FROM numbered WHERE total <= 500 OR ("Symbol", at) IN (SELECT ("Symbol", at) FROM picks)""",
+    """SELECT * FROM numbered WHERE total <= 500 OR ("Symbol", place) IN (SELECT ("Symbol", place) FROM picks)""",
 ))
 def even_sample(spark, sf_dir):
     return _show_candles(d.even_sample(_candles(spark, sf_dir)))

@@ -36,7 +36,8 @@ def _step(name, columns, steps, shown, inner="SELECT * FROM f"):
         df = lay_out(events_bars(spark, sf_dir))
         for step in steps:
             df = df.transform(step)
-        return settle(df).select(*KEY, *columns)
+        # a label may be null: shown as a double
+        return settle(df).select(*KEY, *[F.col(c).cast("double").alias(c) for c in columns])
 
 
 _step("sma_strict", ["MA5", "MA10", "MA20"], [ind.moving_averages], "MA5:f, MA10:f, MA20:f")
@@ -65,12 +66,12 @@ _step(
     "Rolling_Std_Returns:f",
 )
 _step("future_return", ["Future_Return_Pct"], [ind.future_return], "Future_Return_Pct:f")
-_step("target", ["Target"], [ind.future_return, ind.target], "Target:i")
+_step("target", ["Target"], [ind.future_return, ind.target], "Target:f")
 _step(
     "target_wide_band",
     ["Target"],
     [ind.future_return, lambda df: ind.target(df, 25.0)],
-    "Target:i",
+    "Target:f",
     """SELECT "Symbol", "Date", CASE WHEN "Future_Return_Pct" > 25 THEN 1 WHEN "Future_Return_Pct" < -25 THEN 0 END
        AS "Target" FROM f""",
 )

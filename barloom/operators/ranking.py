@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,8 +77,8 @@ def time_series_folds(df: DataFrame, folds: int = 5) -> DataFrame:
     ranks = F.array(*[F.col("total") - size * (folds - i) for i in range(folds)])
     cuts = cut_keys(df, ranks).scalar()
     row = F.struct("Date", "Symbol")
-    part = F.size(F.filter(cuts, lambda c: c < row))
-    out = df.withColumn("_part", part)
+    passed = [F.when(F.element_at(cuts, i + 1) < row, 1).otherwise(0) for i in range(folds)]
+    out = df.withColumn("_part", reduce(add, passed))
     out = out.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("_part"), F.lit(1)), F.lit(folds))))
     return out.withColumn("role", F.when(F.col("fold") == F.col("_part"), "test").otherwise("train")).drop("_part")
 

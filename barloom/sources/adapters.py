@@ -29,11 +29,11 @@ def events_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of unit prices, one symbol per supplier; all columns break ties inside a day."""
+    """Daily bars of unit prices in whole cents, one symbol per supplier; all columns break ties inside a day."""
     items = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("Symbol"),
         F.col("l_shipdate").cast("date").alias("Date"),
-        F.try_divide("l_extendedprice", "l_quantity").alias("price"),
+        (F.floor(F.try_divide(F.col("l_extendedprice") * 100, "l_quantity")) / 100.0).alias("price"),
         "l_quantity",
         F.struct(
             "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
