@@ -226,7 +226,7 @@ _LAST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Symbol" ORD
     {**live_ctes(EVENTS_BARS), "t": _LAST.format(50)},
     "Symbol, column_a, column_b, correlation:f",
     " UNION ALL ".join(
-        f"""SELECT "Symbol", '{a}' AS column_a, '{b}' AS column_b, corr("{a}", "{b}") AS correlation FROM t GROUP BY 1"""
+        f"""SELECT "Symbol", '{a}' AS column_a, '{b}' AS column_b, CASE WHEN isfinite(corr("{a}", "{b}")) THEN corr("{a}", "{b}") END AS correlation FROM t GROUP BY 1"""
         for a in CORRELATED
         for b in CORRELATED
     ),

@@ -1,5 +1,7 @@
 """Streaming jobs run to the end over the bars as files; each must give what the batch query gives."""
 
+from pyspark.sql import functions as F
+
 from barloom.catalog.base import BARS_SHOWN, EVENTS_BARS, LIVE_SHOWN, live_ctes, query, strict, with_ctes
 from barloom.plans import features
 from barloom.schema import BAR_COLUMNS
@@ -10,20 +12,23 @@ from barloom.streaming import incremental as inc
 HOURLY = "Symbol string, Date timestamp, Open double, High double, Low double, Close double, Volume double"
 
 
-def _landing(spark, sf_dir, root, files=3):
-    """The bars as files in date order, and a stream of them, one file per micro-batch."""
+def _arrivals(spark, sf_dir, path, slices=3):
+    """Land the bars in a folder, one slice of time after the other; yields after each."""
     bars = events_bars(spark, sf_dir).select(*BAR_COLUMNS)
-    path = f"{root}/landing"
-    # the ranges are in date order and written one after the other
-    ordered = bars.repartitionByRange(files, "Date")
-    ordered.write.csv(path, header=True)
-    return inc.new_bars(spark, path, HOURLY, files_per_batch=1)
+    age = F.unix_timestamp("Date")
+    first, last = bars.agg(F.min(age), F.max(age)).first()
+    width = (last - first + 1) / slices
+    for i in range(slices):
+        bars.filter(F.floor((age - first) / width) == i).write.mode("append").csv(path, header=True)
+        yield i
 
 
 @query("incremental_bars", with_ctes({"bars": EVENTS_BARS}, BARS_SHOWN, "SELECT * FROM bars"))
 def incremental_bars(spark, sf_dir):
     root = scratch_dir(spark)
-    inc.ingest(_landing(spark, sf_dir, root), f"{root}/bars", f"{root}/checkpoint").awaitTermination()
+    for _ in _arrivals(spark, sf_dir, f"{root}/landing"):
+        stream = inc.new_bars(spark, f"{root}/landing", HOURLY)
+        inc.ingest(stream, f"{root}/bars", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(HOURLY).parquet(f"{root}/bars")
 
 
@@ -31,7 +36,8 @@ def incremental_bars(spark, sf_dir):
 def live_feature_stream(spark, sf_dir):
     root = scratch_dir(spark)
     job = inc.LiveFeatures(spark, f"{root}/store", features.live_features)
-    job.start(_landing(spark, sf_dir, root), f"{root}/checkpoint").awaitTermination()
+    for _ in _arrivals(spark, sf_dir, f"{root}/landing"):
+        job.start(inc.new_bars(spark, f"{root}/landing", HOURLY), f"{root}/checkpoint").awaitTermination()
     schema = features.live_features(events_bars(spark, sf_dir)).schema
     return job.read(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
 
@@ -39,8 +45,9 @@ def live_feature_stream(spark, sf_dir):
 @query("running_averages", strict("Symbol, Date:d, Close:f, EMA12:f, RSI:f, MACD:f, MACD_Signal:f"))
 def running_averages(spark, sf_dir):
     root = scratch_dir(spark)
-    stream = inc.running_averages(_landing(spark, sf_dir, root, files=2))
-    inc.ingest(stream, f"{root}/averages", f"{root}/checkpoint").awaitTermination()
+    for _ in _arrivals(spark, sf_dir, f"{root}/landing"):
+        stream = inc.running_averages(inc.new_bars(spark, f"{root}/landing", HOURLY))
+        inc.ingest(stream, f"{root}/averages", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(inc.OUTPUT).parquet(f"{root}/averages")
 
 

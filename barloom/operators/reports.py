@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,12 +48,19 @@ def target_distribution(df: DataFrame, target: str = "Target") -> DataFrame:
     return counts.select(name.alias("label"), "n", pct("n", total).alias("share_pct"))
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson over the rows that have both; null where either is constant (`corr` raises there)."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    spread = F.stddev_pop(F.when(both, F.col(a))) * F.stddev_pop(F.when(both, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlation_matrix(df: DataFrame, cols: Iterable[str] = CORRELATED, last: int = 50) -> DataFrame:
     """Pearson correlation of every pair of columns over the last rows of each symbol, in long form."""
     cols = list(cols)
     pairs = list(combinations_with_replacement(cols, 2))
     wide = last_n(df.select("Symbol", "Date", *cols), last).groupBy("Symbol").agg(
-        *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
+        *[_correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]
     )
     cells = [
         F.struct(F.lit(x).alias("column_a"), F.lit(y).alias("column_b"), F.col(f"{a}|{b}").alias("correlation"))

@@ -163,7 +163,8 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             rsi = 100.0 - 100.0 / (1.0 + gain / loss)
         out.append((key[0], date, c, e12 if n >= 12 else None, rsi, macd, signal))
     state.update((n, close, e12, e26, sig, sigs, gain, loss, last))
-    yield pd.DataFrame(out, columns=["Symbol", "Date", "Close", "EMA12", "RSI", "MACD", "MACD_Signal"])
+    numbers = ["Close", "EMA12", "RSI", "MACD", "MACD_Signal"]
+    yield pd.DataFrame(out, columns=["Symbol", "Date", *numbers]).astype(dict.fromkeys(numbers, "float64"))
 
 
 def running_averages(bars: DataFrame) -> DataFrame:
