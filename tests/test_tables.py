@@ -38,7 +38,7 @@ def test_forward_fill(spark, daily):
     for c in ("Open", "Close"):
         holes.loc[rng.random(len(pdf)) < 0.6, c] = np.nan
     holes.loc[holes.Symbol == "A", "Volume"] = np.where(np.arange(300) < 70, np.nan, 1.0)
-    df = spark.createDataFrame(holes.astype(object).where(holes.notna(), None), "Symbol string, Date timestamp, Open double, High double, Low double, Close double, Volume double")
+    df = spark.createDataFrame(holes, "Symbol string, Date timestamp, Open double, High double, Low double, Close double, Volume double")
     if daily:
         df = df.withColumn("Date", F.to_date("Date"))
     got = ordered(clean.forward_fill(df))
