@@ -101,8 +101,7 @@ def ewm(x: str, alpha: str, min_periods: int) -> str:
     return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER {frame} >= {min_periods} THEN {fold} END"
 
 
-STRICT_CTES = {
-    "bars": EVENTS_BARS,
+_STRICT_STEPS = {
     "f1": f"""SELECT *, {rolling('avg', 'Close', 5)} AS "MA5", {rolling('avg', 'Close', 10)} AS "MA10",
         {rolling('avg', 'Close', 20)} AS "MA20", {rolling('stddev_samp', 'Close', 20)} AS sd,
         {rolling('avg', 'Volume', 5)} AS v5, {rolling('avg', 'Volume', 10)} AS v10,
@@ -129,6 +128,9 @@ STRICT_CTES = {
         CASE WHEN "Future_Return_Pct" > 1.0 THEN 1 WHEN "Future_Return_Pct" < -1.0 THEN 0 END AS "Target" FROM f3""",
 }
 
+STRICT_CTES = {"bars": EVENTS_BARS, **_STRICT_STEPS}
+STRICT_DAILY_CTES = {"bars": LINEITEM_BARS, **_STRICT_STEPS}
+
 STRICT_SHOWN = (
     "Symbol, Date:d, Open:f, High:f, Low:f, Close:f, Volume:f, MA5:f, MA10:f, MA20:f, Daily_Returns:f, Volatility:f,"
     "Price_Change_Pct:f, Lag_1:f, Lag_3:f, RSI:f, Volume_Change_Pct:f, EMA12:f, BB_Position:f, MACD:f, MACD_Signal:f,"

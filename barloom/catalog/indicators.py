@@ -8,6 +8,7 @@ from barloom.catalog.base import (
     EVENTS_BARS,
     LINEITEM_BARS,
     LIVE_SHOWN,
+    STRICT_DAILY_CTES,
     STRICT_SHOWN,
     batch_ctes,
     growth,
@@ -177,6 +178,13 @@ def training_features(spark, sf_dir):
     return plan.training_features(events_bars(spark, sf_dir))
 
 
+@query("training_features_daily", with_ctes(
+    STRICT_DAILY_CTES, STRICT_SHOWN + ", Target:i", f"SELECT * FROM f WHERE {COMPLETE}"
+))
+def training_features_daily(spark, sf_dir):
+    return plan.training_features(lineitem_bars(spark, sf_dir))
+
+
 @query("batch_features", with_ctes(batch_ctes(EVENTS_BARS), BATCH_SHOWN, "SELECT * FROM b"))
 def batch_features(spark, sf_dir):
     return plan.batch_features(events_bars(spark, sf_dir))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import query
+from barloom.catalog.base import EVENTS_BARS, live_ctes, query, with_ctes
+from barloom.catalog.datasets import FEATURES_COMPLETE
 from barloom.operators import datasets, evaluate, ml, reports
 from barloom.operators.ranking import time_split
 from barloom.plans import features
@@ -26,7 +27,11 @@ def _split(rows):
     return rows.filter("role = 'train'"), rows.filter("role = 'test'")
 
 
-@query("assemble")
+@query("assemble", with_ctes(
+    live_ctes(EVENTS_BARS),
+    "Symbol, Date:d, size:i, close:f",
+    f"""SELECT "Symbol", "Date", 21 AS size, "Close" AS close FROM l WHERE {FEATURES_COMPLETE}""",
+))
 def assemble(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 

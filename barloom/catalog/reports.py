@@ -232,7 +232,7 @@ _LAST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Symbol" ORD
     ),
 ))
 def correlation_matrix(spark, sf_dir):
-    return r.correlation_matrix(features.live_features(events_bars(spark, sf_dir)))
+    return r.correlation_matrix(features.recent_live_features(events_bars(spark, sf_dir), 50))
 
 
 _RETURNS = {
@@ -249,7 +249,7 @@ _RETURNS = {
     'SELECT "Symbol", bin, min(lo + bin * w) AS bin_start, count(*) AS n FROM h GROUP BY 1, 2',
 ))
 def returns_histogram(spark, sf_dir):
-    return r.returns_histogram(features.live_features(events_bars(spark, sf_dir)))
+    return r.returns_histogram(features.recent_live_features(events_bars(spark, sf_dir), 100))
 
 
 @query("returns_stats", with_ctes(
@@ -259,7 +259,7 @@ def returns_histogram(spark, sf_dir):
        avg(v) - stddev_samp(v) AS band_low, avg(v) + stddev_samp(v) AS band_high FROM v GROUP BY 1""",
 ))
 def returns_stats(spark, sf_dir):
-    return r.returns_stats(features.live_features(events_bars(spark, sf_dir)))
+    return r.returns_stats(features.recent_live_features(events_bars(spark, sf_dir), 100))
 
 
 @query("candle_label_counts", with_ctes(

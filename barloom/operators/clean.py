@@ -77,7 +77,7 @@ def forward_fill(df: DataFrame, cols: Iterable[str] = NUMERICS, bucket: str = "m
         "Symbol", "_bucket", *[F.last(c, ignorenulls=True).over(earlier).alias(f"_carried_{c}") for c in cols]
     )
     so_far = W.partitionBy("Symbol", "_bucket").orderBy("Date").rowsBetween(W.unboundedPreceding, 0)
-    filled = df.join(carried, ["Symbol", "_bucket"]).withColumns(
+    filled = df.join(carried.hint("shuffle_hash"), ["Symbol", "_bucket"]).withColumns(
         {c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_carried_{c}")) for c in cols}
     )
     return filled.select(*names).dropna(subset=cols)

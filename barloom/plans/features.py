@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions import rolling, scalar
 from barloom.operators import indicators as ind
-from barloom.operators.layout import lay_out, over, settle
+from barloom.operators.datasets import last_n
+from barloom.operators.layout import is_daily, lay_out, over, settle
 from barloom.schema import BAR_COLUMNS, FEATURES, require_columns
 
 Step = Callable[[DataFrame], DataFrame]
@@ -33,6 +34,8 @@ def apply_per_symbol(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame],
     Only for daily bars, where the calendar bounds a symbol; everything in the
     library itself works without it.
     """
+    if not is_daily(df):
+        raise ValueError("bars with a time of day have no bound per symbol: cast Date to date first")
     return df.groupBy("Symbol").applyInPandas(lambda part: fn(part.sort_values("Date")), schema)
 
 
@@ -146,7 +149,7 @@ def batch_features(bars: DataFrame, **layout) -> DataFrame:
 
 def live_features(bars: DataFrame, **layout) -> DataFrame:
     """The live job's set: plain partial means in place of exponential ones, per symbol."""
-    df = lay_out(require_columns(bars, BAR_COLUMNS).select(*BAR_COLUMNS), before=40, **layout)
+    df = lay_out(require_columns(bars, BAR_COLUMNS).select(*BAR_COLUMNS), before=LIVE_CONTEXT, **layout)
     w = over(df)
     df = df.withColumns(
         {
@@ -186,6 +189,15 @@ def live_features(bars: DataFrame, **layout) -> DataFrame:
     return settle(df).select("Symbol", "Date", *FEATURES)
 
 
+# Rows before a bar that its live columns can see: a mean of 9 over means of 26, rounded up.
+LIVE_CONTEXT = 40
+
+
+def recent_live_features(bars: DataFrame, n: int) -> DataFrame:
+    """Live features of the last n bars per symbol; older bars never leave the task that reads them."""
+    return last_n(live_features(last_n(bars, n + LIVE_CONTEXT)), n)
+
+
 def features(bars: DataFrame, mode: str = "strict", **layout) -> DataFrame:
     """strict, partial (the batch set) or sma (the live set)."""
     modes = {"strict": strict_features, "partial": batch_features, "sma": live_features}
