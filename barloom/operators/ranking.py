@@ -12,30 +12,41 @@ from pyspark.sql import functions as F
 
 
 def running_total(
-    df: DataFrame, values: Iterable[str], order: str, coarse: Column, by: Iterable[str] = ()
+    df: DataFrame, values: Iterable[str], order: str, coarse: Column, by: Iterable[str] = (), wider: int | None = None
 ) -> DataFrame:
     """Add `<value>_before`, the exact sum over all rows with a smaller `order`, per `by`.
 
     `order` must be unique per `by`; `coarse` groups neighbouring keys and must
-    not decrease with `order`. The totals per coarse group form a small table
-    that is summed first; the detail is summed inside its coarse group.
+    not decrease with `order`. The totals per coarse group form a smaller table
+    that is summed first; the detail is summed inside its coarse group. Where the
+    coarse groups are numbered and many, `wider` of them are summed together
+    first, in the same way.
     """
     by, values = list(by), list(values)
     df = df.withColumn("_coarse", coarse)
-    totals = df.groupBy(*by, "_coarse").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    earlier = W.partitionBy(*by).orderBy("_coarse").rowsBetween(W.unboundedPreceding, -1)
+    totals = df.groupBy(*by, F.col("_coarse").alias("_group")).agg(*[F.sum(v).alias(v) for v in values])
+    if wider:
+        totals = running_total(totals, values, "_group", F.floor(F.col("_group") / wider), by)
+        before = {v: F.col(f"{v}_before") for v in values}
+    else:
+        earlier = W.partitionBy(*by).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+        before = {v: F.coalesce(F.sum(v).over(earlier), F.lit(0)) for v in values}
+    group = f"_group_of_{order}"
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in by],
-        F.col("_coarse").alias("_k_coarse"),
-        *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values],
+        *[F.col(k).alias(f"_k_{k}") for k in by], F.col("_group").alias(group), *[c.alias(f"_o_{v}") for v, c in before.items()]
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*by]] + [F.col("_coarse") == F.col("_k_coarse")]
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by] + [F.col("_coarse") == F.col(group)]
     inside = W.partitionBy(*by, "_coarse").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = df.join(offsets, same)
+    out = df.join(offsets, same).drop(group)
     out = out.withColumns(
         {f"{v}_before": F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
     )
-    return out.drop("_coarse", "_k_coarse", *[f"_k_{k}" for k in by], *[f"_o_{v}" for v in values])
+    return out.drop("_coarse", *[f"_k_{k}" for k in by], *[f"_o_{v}" for v in values])
+
+
+# Scores between 0 and 1: groups of width 2^-24, summed in runs of 4096.
+SCORE_GROUPS = 1 << 24
+SCORE_RUN = 1 << 12
 
 
 def _dates_with_totals(df: DataFrame) -> DataFrame:
@@ -91,14 +102,16 @@ def global_rank(df: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.col("n_before") + inside).drop("_date", "n_before")
 
 
-def quantiles(df: DataFrame, x: str, probs: dict[str, float], coarse: Column) -> DataFrame:
+def quantiles(
+    df: DataFrame, x: str, probs: dict[str, float], coarse: Column, wider: int | None = None
+) -> DataFrame:
     """Exact linear-interpolated quantiles in one row; equal values count once and carry their number.
 
-    `coarse` groups neighbouring values, as in `running_total`.
+    `coarse` groups neighbouring values `v`, as in `running_total`.
     """
     values = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = values.agg(F.sum("n").alias("total")).scalar()
-    ranked = running_total(values, ["n"], "v", coarse).withColumn("total", total)
+    ranked = running_total(values, ["n"], "v", coarse, wider=wider).withColumn("total", total)
 
     def at(position: Column) -> Column:
         hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
