@@ -95,7 +95,7 @@ def save_and_load_model(spark, sf_dir):
 
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
-    return ml.cross_validate(_training(spark, sf_dir), numTrees=5, maxDepth=4)
+    return ml.cross_validate(_training(spark, sf_dir), numTrees=3, maxDepth=3)
 
 
 @query("sequence_classifier")
