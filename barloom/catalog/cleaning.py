@@ -7,7 +7,6 @@ from barloom.catalog.base import (
     CLEAN_CTES,
     DIRTY_CTES,
     EVENTS_BARS,
-    STRICT_CTES,
     query,
     strict,
     with_ctes,

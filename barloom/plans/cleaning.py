@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import clean as c
@@ -52,12 +52,5 @@ def stage_counts(raw: DataFrame, **options) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).cast("long").alias("step"), F.lit(n).alias("stage"), "rows")
         for i, (n, df) in enumerate(named.items())
     ]
-    before = F.lag("rows").over(_by_step())
+    before = F.lag("rows").over(Window.orderBy("step"))  # six rows, one per stage
     return reduce(DataFrame.unionByName, counted).withColumn("removed", F.coalesce(before - F.col("rows"), F.lit(0)))
-
-
-def _by_step():
-    from pyspark.sql import Window
-
-    # six rows: one per stage
-    return Window.orderBy("step")

@@ -3,11 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barloom.operators import datasets, indicators as ind
-from barloom.operators.ewm import Ewm, span, with_ewm
-from barloom.operators.layout import BLOCK, lay_out, over, settle, with_positions
+from barloom.operators.ewm import Ewm, with_ewm
+from barloom.operators.layout import BLOCK, lay_out, settle, with_positions
 from barloom.plans import features
 from conftest import bars, ordered, series
 
@@ -170,4 +169,3 @@ def test_even_sample(spark, total, most):
 def test_unknown_step_is_named(spark):
     with pytest.raises(RuntimeError, match="broken"):
         features.apply_indicators(bars(spark, series(5)), [("broken", lambda df: df.select("nope"))])
-    assert over is not None and F is not None and span(12) == 2 / 13
