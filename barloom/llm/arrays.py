@@ -122,23 +122,51 @@ def owner(first: np.ndarray, size: int) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first)) if size else np.zeros(0, dtype=np.int64)
 
 
-def repeated(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each item: whether its (group, value) comes more than once, and whether it came before."""
-    many, later = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
-    if len(values):
-        order = np.lexsort((np.arange(len(values)), values, group))
-        same = (values[order][1:] == values[order][:-1]) & (group[order][1:] == group[order][:-1])
-        later[order[1:]] = same
-        many[order[1:]] |= same
-        many[order[:-1]] |= same
+def within(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Hashes of values that also tell groups apart."""
+    return mix(values + mix(group.astype(np.uint64) + np.uint64(_BASE)))
+
+
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: whether it comes more than once, and whether it came before."""
+    many, later = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        many = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
+        at = np.flatnonzero(many)
+        order = np.argsort(keys[at], kind="stable")
+        again = keys[at][order]
+        later[at[order[1:]]] = again[1:] == again[:-1]
     return many, later
 
 
+def repeated_ngrams(hashes: np.ndarray, first: np.ndarray, sizes: set[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By n: (key, position of the first word, whether it came before) of the n-grams that come twice or more in their own text.
+
+    An n-gram can only be repeated where both its shorter ones are, so each size looks at the rest of the one before.
+    """
+    whose = owner(first, len(hashes))
+    out = {}
+    alive = np.ones(len(hashes), dtype=bool)
+    h = within(whose, hashes)
+    for n in range(2, max(sizes) + 1):
+        at = np.flatnonzero(alive[:-1] & alive[1:] & (whose[n - 1 :] == whose[: len(whose) - n + 1])[: len(alive) - 1]) if len(alive) > 1 else np.zeros(0, dtype=np.int64)
+        # h[i] is the key of the (n-1)-gram at i
+        key = mix(h[at] * np.uint64(_BASE) + hashes[at + n - 1])
+        many, later = repeated(key)
+        key, at = key[many], at[many]
+        out[n] = key, at, later[many]
+        alive = np.zeros(max(len(alive) - 1, 0), dtype=bool)
+        alive[at] = True
+        h = np.zeros(len(alive), dtype=np.uint64)
+        h[at] = key
+    return {n: out[n] for n in sizes}
+
+
 def covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """True for positions in at least one of the spans."""
-    step = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, end, -1)
+    step = np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1)
     return np.cumsum(step[:-1]) > 0
 
 
