@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import packing, quality
+from barloom.llm import ngram_join, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,35 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(documents(spark, sf_dir), n=4, percent=85)
+
+
+# words and shingles by the definition, every pair that shares a shingle, and the links followed to the end
+ORACLES["op7_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS sh
+  FROM w
+), g AS (SELECT DISTINCT sh FROM (SELECT list_sort(sh) AS sh FROM s WHERE len(sh) > 0)
+), gi AS (SELECT row_number() OVER (ORDER BY sh) AS g, sh, len(sh) AS n FROM g
+), t AS (SELECT g, n, hash(x) AS x FROM (SELECT g, n, unnest(sh) AS x FROM gi)
+), p AS (
+  SELECT a.g AS a, b.g AS b FROM t a JOIN t b ON a.x = b.x AND a.g <> b.g
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.g, b.g, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (SELECT g AS a, g AS b FROM gi UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a
+), d AS (SELECT s.doc_id, len(s.sh) AS n_shingles, gi.g FROM s LEFT JOIN gi ON gi.sh = list_sort(s.sh)
+), first AS (SELECT reach.a AS g, min(d.doc_id) AS component_id FROM reach JOIN d ON d.g = reach.b GROUP BY 1)
+SELECT d.doc_id, d.n_shingles::BIGINT AS n_shingles, coalesce(first.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN first ON first.g = d.g
+"""
+
+
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(documents(spark, sf_dir))
