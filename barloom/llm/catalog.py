@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import ngram_join, packing, quality
+from barloom.llm import decontaminate, ngram_join, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ FROM d LEFT JOIN first ON first.g = d.g
 @query
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_figures(documents(spark, sf_dir))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
