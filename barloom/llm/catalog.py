@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, ngram_join, packing, pii, quality
+from barloom.llm import decontaminate, ngram_join, packing, pii, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,18 @@ TRIAL_KEY = "trial key"
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), TRIAL_KEY, counts=True)
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir))
+
+    def of(kinds: list[str]) -> F.Column:
+        return F.filter("secrets", lambda x: x.kind.isin(kinds))
+
+    def joined(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+
+    base = [r.kind for r in secrets.BASE]
+    return found.select("doc_id", *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in base),
+                        F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
