@@ -1,25 +1,26 @@
 """Similarity join on word n-grams as a blocked sparse matrix product.
 
 Rows of the matrix are distinct sets of n-grams (documents with equal sets are one row, linked by that), columns are
-n-grams. The product is taken column block by column block and only over the columns that can decide: with all
-columns in one order, rare ones first, two sets of the asked similarity share one of the first
-`n - ceil(t * n) + 1` columns of each. A pair of rows that meets in such a column, and whose sizes allow the
-similarity, has its overlap counted over all columns.
+n-grams, dealt by hash into as many blocks as the sizes of two rows ask for: similarity t leaves two rows of a and b
+columns at most d = (1 - t) / (1 + t) * (a + b) columns in which they differ, so of d + 1 blocks one holds the same columns in
+both. Row blocks are multiplied only where their columns are the same, which they are in few rows that are not near
+copies; pairs whose sizes cannot reach the similarity are dropped, and the overlap of the rest is accumulated over all columns.
 
-The order is by document frequency. Frequencies are counted over all documents from 32 bits of each hash; the
-columns from `SEVERAL` documents on, or from a higher number if they are more than `MOST_FREQUENT`, are sent to every task with
-their frequency, the others count as equally rare. Any such order gives the same links.
+The number of blocks depends on the size class of the smaller row, so a row is dealt once for its own class and once for each
+lower one that may hold a partner. Blocks without columns say nothing: there are `spare` blocks more, and a row with more
+empty blocks than that is dealt again by another hash, as both rows of a pair that could be missed are.
 
-Large groups of near copies: every set is first compared with one set of each of its columns only (a star). The
-product then leaves out the columns whose sets are all connected by that, and pairs that are.
+Large groups of near copies: equal blocks meet within a task before they are shuffled. Every row is first compared with one
+other row of each of its blocks (a star); the product then leaves out blocks whose rows are all connected, and pairs that are.
 
 Defined cases: a text with fewer words than n is one n-gram of all its words; a text without words, or null, has
-no n-grams, links with nothing and is a component of its own; equal rows link; a null doc_id takes part but never names
-a component that has another id; other columns are not read; an empty table gives no rows.
+no n-grams, links with nothing and is a component of its own; equal rows link; rows with a null doc_id link with rows of
+an equal set only and name no component that has another id; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.arrays import IS_SPACE, LOWER, flat, mix, ngrams, owner, pieces, prefix_sums, span_hash, words
+from barloom.llm.arrays import LOWER, flat, mix, ngrams, owner, pieces, prefix_sums, span_hash, words
 from barloom.llm.components import components, saved
 
-# columns in fewer documents than this are not told apart by frequency
-SEVERAL = 16
-# most columns whose frequency is sent to every task: 8 bytes each
-MOST_FREQUENT = 1_000_000
-# incidences that a task counts before it passes them on, and that one counting block has
-BATCH = 1 << 22
-# rows of one column in a block of the product
+# blocks that a task makes before it passes them on
+BATCH = 1 << 21
+# rows with the same block in a tile of the product
 SIDE = 1024
+# growth of the sizes from class to class, and tries by another hash before columns are taken one by one
+GROWTH, TRIES = 1.3, 8
 
 
 def incidence(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,130 +75,137 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     for batch in pieces(batches, "text"):
         _, first, sign = incidence(batch.column("text"), n)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(sign.view(np.int64))],
-                                         names=["doc_id", "n", "sign"])
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as steps of two bytes; steps that need more are written after the mark 65535."""
-    step = np.diff(keys.astype(np.int64), prepend=0)
-    far = step >= 65535
-    return len(step).to_bytes(8, "little") + np.where(far, 65535, step).astype("<u2").tobytes() + step[far].astype("<u4").tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    step = np.frombuffer(raw, "<u2", n, 8).astype(np.int64)
-    step[step == 65535] = np.frombuffer(raw, "<u4", -1, 8 + 2 * n)
-    return np.cumsum(step).astype(np.uint32)
-
-
-def _frequent(docs: DataFrame, n: int, total: int, several: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(upper 32 bits of the n-gram's hash in order, number of documents) of the frequent n-grams, at most `most`."""
-    spark = docs.sparkSession
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BATCH))
-
-    def emit(keys: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.sort(np.concatenate(keys))
-        cut = np.searchsorted(key, (np.arange(1, blocks) * (1 << 32)) // blocks)
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(blocks)), pa.array([_packed(k) for k in np.split(key, cut)], pa.binary())], names=["block", "keys"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in pieces(batches, "text"):
-            held.append((incidence(batch.column("text"), n)[0] >> np.uint64(32)).astype(np.uint32))
-            size += len(held[-1])
-            if size >= BATCH:
-                yield emit(held)
-                held, size = [], 0
-        if size:
-            yield emit(held)
-
-    def count(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpacked(raw) for raw in table.column("keys").to_pylist()])
-        key, df = np.unique(keys, return_counts=True)
-        many = df >= several
-        return pa.table({"key": key[many].astype(np.int64), "df": df[many]})
-
-    counts = saved(docs.mapInArrow(split, "block long, keys binary").groupBy("block").applyInArrow(count, "key long, df long"), "frequent")
-    by_df = Window.orderBy(F.desc("df"))
-    # one row for each frequency: as many as the root of the number of incidences
-    lowest = counts.groupBy("df").count().select("df", F.sum("count").over(by_df).alias("upto")).filter(F.col("upto") <= most).agg(F.min("df")).first()[0]
-    if lowest is None:
-        return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-    table = counts.filter(F.col("df") >= lowest).toArrow()
-    key, df = table.column("key").to_numpy().astype(np.uint32), table.column("df").to_numpy()
-    order = np.argsort(key)
-    return key[order], df[order]
-
-
-def prefix(gram: np.ndarray, first: np.ndarray, percent: int, keys: np.ndarray, dfs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n-gram, text, whether it is frequent) of the columns of each text that decide."""
-    size = np.diff(first)
-    whose = owner(first, len(gram))
-    df = np.zeros(len(gram), dtype=np.uint64)
-    if len(keys):
-        key = (gram >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        df[keys[at] == key] = dfs[at][keys[at] == key]
-    order = np.argsort((whose.astype(np.uint64) << np.uint64(40)) | np.minimum(df, np.uint64((1 << 40) - 1)), kind="stable")
-    place = np.arange(len(gram)) - first[whose]
-    chosen = order[place < (size - -(-percent * size // 100) + 1)[whose]]
-    return gram[chosen], whose[chosen], df[chosen] > 0
-
-
-def _deciding(docs: DataFrame, n: int, percent: int, total: int, keys: np.ndarray, dfs: np.ndarray) -> DataFrame:
-    """(gram, sign, n) of the deciding columns that more than one row may have."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, -(-total // (4 * BATCH)))
-    known = spark.sparkContext.broadcast((keys, dfs))
-
-    def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        gram, sign, size, often = (np.concatenate(x) for x in zip(*held))
-        # the frequent ones need no counting and are dealt out by row, the others by column
-        block = np.where(often, -1 - (sign % np.uint64(blocks)).astype(np.int64), (gram % np.uint64(blocks)).astype(np.int64))
-        order = np.argsort(block, kind="stable")
-        block, gram, sign, size = block[order], gram[order], sign[order], size[order].astype("<i4")
-        at = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, dtype=np.int64)
-        cut = [[x[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(block)))] for x in (gram, sign, size)]
-        return pa.RecordBatch.from_arrays([pa.array(block[at]), *(pa.array(x, pa.binary()) for x in cut)], names=["block", "gram", "sign", "n"])
+                                         names=["doc_id", "n", "row"])
+
+
+class Blocks:
+    """How many blocks the rows of a size class are dealt into."""
+
+    def __init__(self, percent: int, largest: int):
+        self.percent = percent
+        low = [1]
+        while low[-1] <= largest:
+            low.append(max(low[-1] + 1, math.ceil(low[-1] * GROWTH)))
+        self.low = np.array(low)
+        small = np.append(self.low[1:] - 1, self.low[-1])
+        differ = (100 - percent) * (small + small * 100 // percent) // (100 + percent)
+        count = differ + 1
+        for _ in range(3):
+            self.spare = np.ceil(count * np.exp(-self.low / count)).astype(np.int64) + 1
+            count = differ + 1 + self.spare
+        self.count = count
+
+    def classes(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lowest, own) class of a row: those of its possible smaller partners and its own."""
+        least = np.maximum(-(-self.percent * size // 100), 1)
+        return np.searchsorted(self.low, least, side="right") - 1, np.searchsorted(self.low, size, side="right") - 1
+
+    def deal(self, gram: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(block, row) of all blocks that hold columns; a block is known by its class, place and columns."""
+        size = np.diff(first)
+        lowest, own = self.classes(size)
+        filled = np.flatnonzero(size > 0)
+        todo_row, todo_class = filled, own[filled]
+        back = 1
+        while True:  # the lower classes
+            more = filled[own[filled] - back >= lowest[filled]]
+            if not len(more):
+                break
+            todo_row, todo_class = np.append(todo_row, more), np.append(todo_class, own[more] - back)
+            back += 1
+        keys, rows = [], []
+        for attempt in range(TRIES):
+            if not len(todo_row):
+                break
+            at, which = _members(first, todo_row)
+            k = self.count[todo_class]
+            base = np.cumsum(k) - k
+            salt = np.uint64(0xD1B54A32D192ED03 * (attempt + 1) & ((1 << 64) - 1))
+            scrambled = mix(gram[at] ^ salt)
+            place = base[which] + (scrambled % k[which].astype(np.uint64)).astype(np.int64)
+            total = int(k.sum())
+            sums = np.zeros(total, dtype=np.uint64)
+            np.add.at(sums, place, mix(scrambled))
+            held = np.bincount(place, minlength=total) > 0
+            entry = np.repeat(np.arange(len(todo_row)), k)
+            label = (todo_class[entry].astype(np.uint64) << np.uint64(40)) | (np.arange(total) - base[entry]).astype(np.uint64)
+            keys.append(mix(sums + mix(label + salt))[held])
+            rows.append(todo_row[entry][held])
+            again = np.bincount(entry[~held], minlength=len(todo_row)) > self.spare[todo_class]
+            todo_row, todo_class = todo_row[again], todo_class[again]
+        if len(todo_row):  # columns in the order of their hashes: two rows share one of the first of each
+            at, which = _members(first, todo_row)
+            rank = at - first[todo_row][which]
+            n = size[todo_row]
+            early = rank < (n - -(-self.percent * n // 100) + 1)[which]
+            keys.append(mix(gram[at[early]] + np.uint64(3)))
+            rows.append(todo_row[which[early]])
+        empty = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.concatenate([*keys, empty[0]]), np.concatenate([*rows, empty[1]]).astype(np.int64)
+
+
+def _members(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of every n-gram of these rows, place of its row in rows)."""
+    size = first[rows + 1] - first[rows]
+    which = np.repeat(np.arange(len(rows)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[rows][which], which
+
+
+def _shared(docs: DataFrame, n: int, percent: int, total: int, largest: int) -> DataFrame:
+    """(block, row) of the blocks that at least two rows have; a row is the signature of its set."""
+    lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BATCH)))
+    blocks = Blocks(percent, largest)
+
+    def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, row = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])) if len(key) else np.zeros(0, dtype=bool)
+        key, row = key[new], row[new]
+        lead = np.append(True, key[1:] != key[:-1]) if len(key) else new
+        follow = np.append(~lead[1:], False) if len(key) else lead
+        # rows that meet here are passed on as they are, with the first of them as the block's envoy
+        met = ~lead | follow
+        lane = ((key[lead] >> np.uint64(32)) % np.uint64(lanes)).astype(np.int64)
+        order = np.argsort(lane, kind="stable")
+        lane, key_, row_ = lane[order], key[lead][order], row[lead][order]
+        at = np.searchsorted(lane, np.arange(lanes + 1))
+        own = [(-1 - k, key[met][k::lanes], row[met][k::lanes]) for k in range(lanes)]
+        parts = [*((k, key_[a:b], row_[a:b]) for k, (a, b) in enumerate(zip(at[:-1], at[1:]))), *own]
+        parts = [p for p in parts if len(p[1])]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), *(pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in (1, 2))],
+                                         names=["lane", "block", "row"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in pieces(batches, "text"):
             gram, first, sign = incidence(batch.column("text"), n)
-            gram, whose, often = prefix(gram, first, percent, *known.value)
-            held.append((gram, sign[whose], np.diff(first)[whose], often))
-            count += len(gram)
+            key, row = blocks.deal(gram, first)
+            held.append((key, sign[row]))
+            count += len(key)
             if count >= BATCH:
-                yield emit(held)
+                yield from emit(held)
                 held, count = [], 0
-        if count:
-            yield emit(held)
+        if held:
+            yield from emit(held)
 
     def join(table: pa.Table) -> pa.Table:
-        gram, sign, size = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("gram", "<u8"), ("sign", "<u8"), ("n", "<i4")))
-        if table.column("block")[0].as_py() >= 0:
-            order = np.lexsort((sign, gram))
-            gram, sign, size = gram[order], sign[order], size[order]
-            edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-            several = sign[edge] != sign[np.append(edge[1:], len(gram)) - 1]
-            keep = np.repeat(several, np.diff(np.append(edge, len(gram))))
-            keep[1:] &= (gram[1:] != gram[:-1]) | (sign[1:] != sign[:-1])  # copies of a row
-            gram, sign, size = gram[keep], sign[keep], size[keep]
-        return pa.table({"gram": gram.view(np.int64), "sign": sign.view(np.int64), "n": size.astype(np.int64)})
-
-    rows = docs.mapInArrow(split, "block long, gram binary, sign binary, n binary").groupBy("block").applyInArrow(join, "gram long, sign long, n long")
-    return rows.select("gram", F.struct("sign", "n").alias("row"))
-
+        key, row = (np.concatenate([np.frombuffer(x, "<u8") for x in table.column(name).to_pylist()]) for name in ("block", "row"))
+        if table.column("lane")[0].as_py() >= 0:
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = row[edge] != row[np.append(edge[1:], len(key)) - 1]
+            keep = np.repeat(several, np.diff(np.append(edge, len(key))))
+            keep[1:] &= (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            key, row = key[keep], row[keep]
+        return pa.table({"block": key.view(np.int64), "row": row.view(np.int64)})
 
-def _alike(a: str, b: str, percent: int) -> F.Column:
-    """Whether the sizes of two rows allow the similarity."""
-    return 100 * F.least(f"{a}.n", f"{b}.n") >= percent * F.greatest(f"{a}.n", f"{b}.n")
+    return docs.mapInArrow(split, "lane long, block binary, row binary").groupBy("lane").applyInArrow(join, "block long, row long").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, counted over all columns, reaches the similarity."""
+    """The pairs (a, b) whose overlap, accumulated over all columns, reaches the similarity."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,92 +220,86 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     full = (pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a")
             .join(sets.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y"))
-    row = "struct<sign: long, n: long>"
-    return full.mapInArrow(count, f"a {row}, b {row}")
+    return full.mapInArrow(count, "a long, b long")
 
 
-def _sets(docs: DataFrame, rows: DataFrame, signed: DataFrame, n: int) -> DataFrame:
+def _sets(docs: DataFrame, rows: DataFrame, named: DataFrame, n: int) -> DataFrame:
     """(row, grams): the whole set of every row asked for, from the text of one of its documents."""
-    some = signed.groupBy("row").agg(F.min("doc_id").alias("doc_id")).join(rows, "row", "left_semi").filter("doc_id IS NOT NULL")
+    some = named.join(rows, "row", "left_semi").filter("doc_id IS NOT NULL")
     texts = docs.join(some.select("doc_id", F.col("row").alias("_row")), "doc_id")
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             gram, first, sign = incidence(batch.column("text"), n)
-            right = pa.array(sign.view(np.int64) == batch.column("_row").field("sign").to_numpy(zero_copy_only=False))
+            # rows of one id may have other texts
+            right = pa.array(sign.view(np.int64) == batch.column("_row").to_numpy())
             blobs = pa.array([gram[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("_row"), blobs], names=["row", "grams"]).filter(right)
 
-    return texts.mapInArrow(collect, "row struct<sign: long, n: long>, grams binary").dropDuplicates(["row"])
+    return texts.mapInArrow(collect, "row long, grams binary").dropDuplicates(["row"])
 
 
-def _pairs(columns: DataFrame, percent: int, side: int) -> DataFrame:
-    """Distinct pairs of rows of different components that share a column. columns: gram, row, part.
+def _pairs(blocks: DataFrame, percent: int, side: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows of different components that share a block. blocks: block, row, n, part.
 
-    The rows of a long column are dealt into blocks, and every two blocks meet in a task of their own.
+    Blocks are worked off many to a task. The rows of one that many rows have are dealt into tiles, and every two tiles
+    meet in a task of their own.
     """
-    blocks = columns.groupBy("gram").agg(F.ceil(F.count("*") / side).cast("long").alias("k"))
-    dealt = columns.join(blocks, "gram").withColumn("i", F.pmod(F.xxhash64("row"), "k"))
+    lanes = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = blocks.groupBy("block").agg(F.ceil(F.count("*") / side).cast("long").alias("k"))
+    dealt = blocks.join(tiles, "block").withColumn("i", F.pmod(F.xxhash64("row"), "k"))
     met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "gram", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "row", "part", "i")
+        "block", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "row", "n", "part", "i",
+        F.when(F.col("k") == 1, F.pmod(F.xxhash64("block"), F.lit(lanes))).otherwise(F.col("block")).alias("lane"))
 
     def cross(table: pa.Table) -> pa.Table:
-        row = table.column("row").combine_chunks()
-        sign, size = row.field("sign").to_numpy(), row.field("n").to_numpy()
-        part = table.column("part").combine_chunks()
-        a, b = part.field("sign").to_numpy(), part.field("n").to_numpy()
-        block = table.column("i").to_numpy()
-        same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        table = table.sort_by("block")
+        block, row, n, part, tile = (table.column(c).to_numpy() for c in ("block", "row", "n", "part", "i"))
+        p, same = table.column("p")[0].as_py(), table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         left, right = [], []
-        for i in range(len(sign)):
-            if not same and block[i] != table.column("p")[0].as_py():
-                continue
-            fit = ((a != a[i]) | (b != b[i])) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            if same:
-                fit[: i + 1] = False
-            else:
-                fit &= block != block[i]
-            at = np.flatnonzero(fit)
-            left.append(np.full(len(at), i)), right.append(at)
-        left, right = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]).astype(np.int64) for x in (left, right))
-        return pa.table({"a": row.take(pa.array(left)), "b": row.take(pa.array(right))})
-
-    row = "struct<sign: long, n: long>"
-    made = met.groupBy("gram", "p", "q").applyInArrow(cross, f"a {row}, b {row}")
-    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id",
-            several: int = SEVERAL, most: int = MOST_FREQUENT, side: int = SIDE) -> DataFrame:
+        for a, b in zip(edge, np.append(edge[1:], len(block))):
+            x = np.arange(a, b) if same else a + np.flatnonzero(tile[a:b] == p)
+            y = x if same else a + np.flatnonzero(tile[a:b] != p)
+            fit = (part[x][:, None] != part[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
+            i, j = np.nonzero(np.triu(fit, 1) if same else fit)
+            left.append(row[x[i]]), right.append(row[y[j]])
+        left, right = np.concatenate(left), np.concatenate(right)
+        pair = np.unique(np.column_stack([np.minimum(left, right), np.maximum(left, right)]), axis=0)
+        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+
+    return met.groupBy("lane", "p", "q").applyInArrow(cross, "a long, b long").distinct()
+
+
+def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", side: int = SIDE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, linked where 100 * overlap >= percent * union."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = saved(docs.mapInArrow(lambda batches: _signed(batches, n), f"doc_id {kind}, n long, sign long"), "signed")
-    signed = signed.select("doc_id", "n", F.struct("sign", "n").alias("row"))
-    total = signed.agg(F.sum("n")).first()[0] or 0
-    keys, dfs = _frequent(docs, n, total, several, most)
-    columns = saved(_deciding(docs, n, percent, total, keys, dfs), "columns")
-    sets = saved(_sets(docs, columns.select("row").distinct(), signed, n), "sets")
-
-    least = columns.groupBy("gram").agg(F.min("row").alias("b"))
-    star = columns.join(least, "gram").select(F.col("row").alias("a"), "b").filter("a <> b").filter(_alike("a", "b", percent)).distinct()
-    links = saved(_links(star, sets, percent), "star_links")
-    roots = components(links)
-
-    parts = columns.join(roots.withColumnRenamed("node", "row"), "row", "left").select("gram", "row", F.coalesce("root", "row").alias("part"))
+    signed = saved(docs.mapInArrow(lambda batches: _signed(batches, n), f"doc_id {kind}, n long, row long"), "signed")
+    total, largest = signed.agg(F.sum("n"), F.max("n")).first()
+    named = saved(signed.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "rows")
+    blocks = saved(_shared(docs, n, percent, total or 0, largest or 0), "blocks")
+    sets = saved(_sets(docs, blocks.select("row").distinct(), named, n), "sets")
+
+    sized = blocks.join(named.select("row", "n"), "row")
+    least = blocks.groupBy("block").agg(F.min("row").alias("row")).join(named.select("row", "n"), "row")
+    least = least.select("block", F.col("row").alias("b"), F.col("n").alias("m"))
+    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    star = sized.join(least, "block").filter("row <> b").filter(alike).select(F.col("row").alias("a"), "b").distinct()
+    roots = components(saved(_links(star, sets, percent), "star_links"))
+
+    parts = sized.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", "n", F.coalesce("root", "row").alias("part"))
     parts = saved(parts, "parts")
-    mixed = parts.groupBy("gram").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("gram")
-    rest = _links(_pairs(parts.join(mixed, "gram", "left_semi"), percent, side), sets, percent)
-    rest = saved(rest, "other_links")
+    mixed = parts.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("block")
+    rest = saved(_links(_pairs(parts.join(mixed, "block", "left_semi"), percent, side), sets, percent), "other_links")
     if rest.limit(1).count():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
-    rows = signed.groupBy("row").agg(F.min("doc_id").alias("first")).join(roots.withColumnRenamed("node", "row"), "row", "left")
-    rows = rows.select("row", "first", F.coalesce("root", "row").alias("root"))
-    smallest = rows.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rows.join(smallest, "root").select("row", "component_id")
+    whole = named.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+    smallest = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = whole.join(smallest, "root").select("row", "component_id")
     some, none = signed.filter("n > 0"), signed.filter("n = 0")
-    return some.join(named, "row", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
+    return some.join(labels, "row", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
