@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, ngram_join, packing, pii, quality, secrets
+from barloom.llm import decontaminate, ngram_join, packing, pii, quality, ranking, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,9 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [r.kind for r in secrets.BASE]
     return found.select("doc_id", *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in base),
                         F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+@query
+def op10_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return ranking.score(docs, ranking.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
