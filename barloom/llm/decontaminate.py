@@ -51,6 +51,12 @@ class Rules:
 
 def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the total); words are runs of letters and digits without case."""
+    hashes, _, _, first = plain_spans(column)
+    return hashes, first
+
+
+def plain_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end of every word, first word of each text and the total)."""
     buf, offsets = flat(column)
     buf = buf.copy()
     before = np.zeros(len(buf), dtype=np.uint8)
@@ -61,7 +67,7 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for at in np.flatnonzero((before == 0xE2) & (buf == 0x80)):  # general punctuation
         inside[at - 1 : at + 2] = False
     start, end, first = spans(inside, offsets)
-    return span_hash(prefix_sums(buf), start, end), first
+    return span_hash(prefix_sums(buf), start, end), start, end, first
 
 
 class Vocabulary:
