@@ -10,8 +10,11 @@ The number of blocks depends on the size class of the smaller row, so a row is d
 lower one that may hold a partner. Blocks without columns say nothing: there are `spare` blocks more, and a row with more
 empty blocks than that is dealt again by another hash, as both rows of a pair that could be missed are.
 
-Large groups of near copies: equal blocks meet within a task before they are shuffled. Every row is first compared with one
-other row of each of its blocks (a star); the product then leaves out blocks whose rows are all connected, and pairs that are.
+Rows that blocks connect, directly or by others, form a cluster. Within clusters the overlap of all pairs of rows is
+accumulated column block by column block, as a dense product for columns in many rows and pair by pair for columns in few.
+Clusters of more than `SIDE` rows are dealt by size class and hash into tiles of about that many; tiles of equal
+or neighbouring classes meet in pairs, each in a task of its own. A task passes on links that connect what it found
+connected, no pairs, so large groups of near copies make no more rows than they have.
 
 Defined cases: a text with fewer words than n is one n-gram of all its words; a text without words, or null, has
 no n-grams, links with nothing and is a component of its own; equal rows link; rows with a null doc_id link with rows of
@@ -30,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.llm.arrays import LOWER, flat, mix, ngrams, owner, pieces, prefix_sums, span_hash, words
-from barloom.llm.components import components, saved
+from barloom.llm.components import components, release, saved
 
 # blocks that a task makes before it passes them on
 BATCH = 1 << 21
-# rows with the same block in a tile of the product
-SIDE = 1024
+# rows in a tile of the product
+SIDE = 128
 # growth of the sizes from class to class, and tries by another hash before columns are taken one by one
 GROWTH, TRIES = 1.3, 8
 
@@ -83,9 +86,11 @@ class Blocks:
 
     def __init__(self, percent: int, largest: int):
         self.percent = percent
+        # partners are of the same class or the next one
+        growth = max(GROWTH, 100 / percent)
         low = [1]
         while low[-1] <= largest:
-            low.append(max(low[-1] + 1, math.ceil(low[-1] * GROWTH)))
+            low.append(max(low[-1] + 1, math.ceil(low[-1] * growth)))
         self.low = np.array(low)
         small = np.append(self.low[1:] - 1, self.low[-1])
         differ = (100 - percent) * (small + small * 100 // percent) // (100 + percent)
@@ -151,10 +156,8 @@ def _members(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[rows][which], which
 
 
-def _shared(docs: DataFrame, n: int, percent: int, total: int, largest: int) -> DataFrame:
+def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int) -> DataFrame:
     """(block, row) of the blocks that at least two rows have; a row is the signature of its set."""
-    lanes = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 * BATCH)))
-    blocks = Blocks(percent, largest)
 
     def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, row = (np.concatenate(x) for x in zip(*held))
@@ -204,96 +207,127 @@ def _shared(docs: DataFrame, n: int, percent: int, total: int, largest: int) ->
     return docs.mapInArrow(split, "lane long, block binary, row binary").groupBy("lane").applyInArrow(join, "block long, row long").distinct()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, accumulated over all columns, reaches the similarity."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if len(p) > len(q):
-                    p, q = q, p
-                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    full = (pairs.join(sets.select(F.col("row").alias("a"), F.col("grams").alias("x")), "a")
-            .join(sets.select(F.col("row").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y"))
-    return full.mapInArrow(count, "a long, b long")
-
-
-def _sets(docs: DataFrame, rows: DataFrame, named: DataFrame, n: int) -> DataFrame:
-    """(row, grams): the whole set of every row asked for, from the text of one of its documents."""
-    some = named.join(rows, "row", "left_semi").filter("doc_id IS NOT NULL")
-    texts = docs.join(some.select("doc_id", F.col("row").alias("_row")), "doc_id")
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the smallest place of a set that it reaches by links. sets: sorted distinct n-grams, none empty."""
+    rows = len(sets)
+    size = np.array([len(x) for x in sets])
+    gram = np.concatenate(sets)
+    order = np.argsort(gram, kind="stable")
+    gram, row = gram[order], np.repeat(np.arange(rows), size)[order]
+    edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    count = np.diff(np.append(edge, len(gram)))
+    overlap = np.zeros((rows, rows), dtype=np.float32)
+    for c in range(2, min(rows, 8) + 1):
+        members = row[edge[count == c][:, None] + np.arange(c)]
+        for i in range(c):
+            for j in range(i + 1, c):
+                np.add.at(overlap, (members[:, i], members[:, j]), 1)
+    many = np.flatnonzero(count > 8)
+    for at in range(0, len(many), 4096):
+        columns = many[at : at + 4096]
+        block = np.zeros((rows, len(columns)), dtype=np.float32)
+        block[row[np.concatenate([np.arange(edge[c], edge[c] + count[c]) for c in columns])], np.repeat(np.arange(len(columns)), count[columns])] = 1
+        overlap += np.triu(block @ block.T, 1)
+    overlap += overlap.T
+    linked = 100 * overlap.astype(np.float64) >= percent * (size[:, None] + size - overlap.astype(np.float64))
+    np.fill_diagonal(linked, True)
+    label = np.arange(rows)
+    while True:
+        least = np.where(linked, label, rows).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _tiles(rows: DataFrame, blocks: Blocks, lanes: int, side: int) -> DataFrame:
+    """(row, tasks): the tasks that need the row's set. rows: row, n, cluster.
+
+    A task is (lane, cluster, c, i, d, j): a lane of small clusters, or tile i of class c and tile j of class d of a large one.
+    """
+    low = F.array(*(F.lit(int(x)) for x in blocks.low))
+    classed = rows.withColumn("c", F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1)
+    counts = classed.groupBy("cluster", "c").agg(F.count("*").alias("rows"))
+    large = counts.groupBy("cluster").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > side).select("cluster", F.lit(True).alias("large"))
+    counts = counts.join(large, "cluster").select("cluster", "c", F.ceil(F.col("rows") / side).cast("int").alias("t"))
+
+    def near(step: int, name: str) -> DataFrame:
+        return counts.select("cluster", (F.col("c") - step).alias("c"), F.col("t").alias(name))
+
+    wide = classed.join(large, "cluster", "left")
+    for step, name in ((0, "own"), (1, "up"), (-1, "down")):
+        wide = wide.join(near(step, name), ["cluster", "c"], "left")
+    wide = wide.withColumn("i", F.when(F.col("large"), F.pmod(F.xxhash64("row"), F.col("own")).cast("int")))
+
+    def task(c: F.Column, i: F.Column, d: F.Column, j: F.Column) -> F.Column:
+        return F.struct(F.lit(-1).cast("long").alias("lane"), F.col("cluster").alias("cluster"), c.cast("int").alias("c"), i.cast("int").alias("i"), d.cast("int").alias("d"), j.cast("int").alias("j"))
+
+    def each(n: F.Column) -> F.Column:
+        return F.sequence(F.lit(0), n - 1)
+
+    c, i = F.col("c"), F.col("i")
+    none = F.array().cast("array<struct<lane:bigint,cluster:bigint,c:int,i:int,d:int,j:int>>")
+    same = F.transform(each(F.col("own")), lambda j: task(c, F.least(i, j), c, F.greatest(i, j)))
+    up = F.when(F.col("up").isNotNull(), F.transform(each(F.col("up")), lambda j: task(c, i, c + 1, j))).otherwise(none)
+    reaches = F.ceil(F.col("n") * blocks.percent / 100) < F.element_at(low, c + 1)
+    down = F.when(F.col("down").isNotNull() & reaches, F.transform(each(F.col("down")), lambda j: task(c - 1, j, c, i))).otherwise(none)
+    zero = F.lit(0)
+    small = F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(lanes)).alias("lane"), F.col("cluster"), zero.alias("c"), zero.alias("i"), zero.alias("d"), zero.alias("j")))
+    return wide.select("row", F.when(F.col("large"), F.concat(same, up, down)).otherwise(small).alias("tasks"))
+
+
+def _links(docs: DataFrame, tiles: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the rows which the similarity connects within a task."""
+    some = named.filter("doc_id IS NOT NULL").join(tiles, "row").select("doc_id", F.col("row").alias("_row"), "tasks")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             gram, first, sign = incidence(batch.column("text"), n)
             # rows of one id may have other texts
             right = pa.array(sign.view(np.int64) == batch.column("_row").to_numpy())
             blobs = pa.array([gram[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), blobs], names=["row", "grams"]).filter(right)
-
-    return texts.mapInArrow(collect, "row long, grams binary").dropDuplicates(["row"])
-
-
-def _pairs(blocks: DataFrame, percent: int, side: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows of different components that share a block. blocks: block, row, n, part.
-
-    Blocks are worked off many to a task. The rows of one that many rows have are dealt into tiles, and every two tiles
-    meet in a task of their own.
-    """
-    lanes = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = blocks.groupBy("block").agg(F.ceil(F.count("*") / side).cast("long").alias("k"))
-    dealt = blocks.join(tiles, "block").withColumn("i", F.pmod(F.xxhash64("row"), "k"))
-    met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "block", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "row", "n", "part", "i",
-        F.when(F.col("k") == 1, F.pmod(F.xxhash64("block"), F.lit(lanes))).otherwise(F.col("block")).alias("lane"))
-
-    def cross(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        block, row, n, part, tile = (table.column(c).to_numpy() for c in ("block", "row", "n", "part", "i"))
-        p, same = table.column("p")[0].as_py(), table.column("p")[0].as_py() == table.column("q")[0].as_py()
-        edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        left, right = [], []
-        for a, b in zip(edge, np.append(edge[1:], len(block))):
-            x = np.arange(a, b) if same else a + np.flatnonzero(tile[a:b] == p)
-            y = x if same else a + np.flatnonzero(tile[a:b] != p)
-            fit = (part[x][:, None] != part[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
-            i, j = np.nonzero(np.triu(fit, 1) if same else fit)
-            left.append(row[x[i]]), right.append(row[y[j]])
-        left, right = np.concatenate(left), np.concatenate(right)
-        pair = np.unique(np.column_stack([np.minimum(left, right), np.maximum(left, right)]), axis=0)
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
-
-    return met.groupBy("lane", "p", "q").applyInArrow(cross, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("tasks"), blobs], names=["row", "tasks", "grams"]).filter(right)
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cluster")
+        cluster, row = table.column("cluster").to_numpy(), table.column("row").to_numpy()
+        blobs = table.column("grams").combine_chunks()
+        edge = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+        a, b = [], []
+        for x, y in zip(edge.tolist(), np.append(edge[1:], len(cluster)).tolist()):
+            # a row with repeated ids comes more than once
+            own, at = np.unique(row[x:y], return_index=True)
+            if len(own) > 1:
+                label = connected([np.frombuffer(blobs[x + k].as_buffer(), "<u8") for k in at.tolist()], percent)
+                joined = np.flatnonzero(label != np.arange(len(own)))
+                a.append(own[joined]), b.append(own[label[joined]])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate([*a, none]), "b": np.concatenate([*b, none])})
+
+    kind = "array<struct<lane:bigint,cluster:bigint,c:int,i:int,d:int,j:int>>"
+    dealt = docs.join(some, "doc_id").mapInArrow(sets, f"row long, tasks {kind}, grams binary").select("row", "grams", F.inline("tasks"))
+    hot = F.when(F.col("lane") < 0, F.col("cluster")).otherwise(0)
+    return dealt.groupBy("lane", hot.alias("hot"), "c", "i", "d", "j").applyInArrow(product, "a long, b long")
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", side: int = SIDE) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, linked where 100 * overlap >= percent * union."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = saved(docs.mapInArrow(lambda batches: _signed(batches, n), f"doc_id {kind}, n long, row long"), "signed")
     total, largest = signed.agg(F.sum("n"), F.max("n")).first()
     named = saved(signed.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "rows")
-    blocks = saved(_shared(docs, n, percent, total or 0, largest or 0), "blocks")
-    sets = saved(_sets(docs, blocks.select("row").distinct(), named, n), "sets")
-
-    sized = blocks.join(named.select("row", "n"), "row")
-    least = blocks.groupBy("block").agg(F.min("row").alias("row")).join(named.select("row", "n"), "row")
-    least = least.select("block", F.col("row").alias("b"), F.col("n").alias("m"))
-    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    star = sized.join(least, "block").filter("row <> b").filter(alike).select(F.col("row").alias("a"), "b").distinct()
-    roots = components(saved(_links(star, sets, percent), "star_links"))
-
-    parts = sized.join(roots.withColumnRenamed("node", "row"), "row", "left").select("block", "row", "n", F.coalesce("root", "row").alias("part"))
-    parts = saved(parts, "parts")
-    mixed = parts.groupBy("block").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("block")
-    rest = saved(_links(_pairs(parts.join(mixed, "block", "left_semi"), percent, side), sets, percent), "other_links")
-    if rest.limit(1).count():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
+    plan = Blocks(percent, largest or 0)
+    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (4 * BATCH)))
+    blocks = saved(_shared(docs, n, plan, lanes), "blocks")
+    release(spark)
+
+    least = blocks.groupBy("block").agg(F.min("row").alias("b"))
+    clusters = components(blocks.join(least, "block").select(F.col("row").alias("a"), "b"))
+    rows = clusters.withColumnsRenamed({"node": "row", "root": "cluster"}).join(named.select("row", "n"), "row")
+    tiles = saved(_tiles(rows, plan, 4 * lanes, side), "tiles")
+    roots = components(saved(_links(docs, tiles, named, n, percent), "links"))
+    release(spark)
 
     whole = named.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
     smallest = whole.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -20,7 +20,6 @@ doc_id is kept; a text shorter than `length` bytes keeps everything; other colum
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import itertools
 from collections.abc import Callable, Iterator
@@ -28,11 +27,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.arrays import covered, flat, mix, owner, pieces, prefix_sums, span_hash
-from barloom.llm.components import saved
+from barloom.llm.components import release, saved
 
 LENGTH = 400
 # the cover's prime: 14 of every 183 places are sampled
@@ -60,12 +59,6 @@ def difference_cover(q: int) -> tuple[int, ...]:
     raise ValueError("q must be a prime")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of steps whose results have been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _other_hash(buf: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     """A second hash of the strings of one length, of other multiples of the bytes."""
     return span_hash(prefix_sums(mix(buf.astype(np.uint64) + np.uint64(0x7F4A7C15))), start, start + length)
@@ -182,9 +175,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, te
         return np.flatnonzero(cover[(np.arange(size) - offsets[:-1][owner(offsets, size)]) % period])
 
     flags = saved(_meet(single, sampled, length - period + 1, True, lanes), "samples")
-    _release(spark)
+    release(spark)
     texts = saved(single.select("h", "text").join(flags, "h").dropDuplicates(["h"]), "texts")
-    _release(spark)
+    release(spark)
 
     def near(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
         out = []
@@ -194,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, te
         return np.concatenate([*out, np.zeros(0, dtype=np.int64)])
 
     found = saved(_meet(texts, near, length, False, lanes), "strings")
-    _release(spark)
+    release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
