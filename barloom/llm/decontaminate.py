@@ -17,6 +17,7 @@ reported as null; other columns are not read; an empty table gives no rows, an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,14 +39,14 @@ class Rules:
     """cosine: least similarity of a candidate. lcs: share of an item's words that a leak holds in order; answer_lcs: the
     share that is enough if the answer, the item's last `answer` words, is there too (`answer_share` of them, in order)."""
 
-    cosine: float = 0.55
+    cosine: float = 0.65
     lcs: float = 0.75
     answer_lcs: float = 0.6
     answer: int = 6
     answer_share: float = 0.8
     passage: int = 32
     rank: int = 48
-    common: float = 0.02
+    common: float = 0.005
     rare: int = 8
 
 
@@ -100,6 +101,16 @@ def _starts(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, dtype=np.int64)
 
 
+def _row_sums(table: np.ndarray, rows: np.ndarray, edge: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of table[rows] over runs that begin at edge: one addition for each place in a run, of the runs that have it."""
+    out = table[rows[edge]]
+    order = np.argsort(-count, kind="stable")
+    live = len(count) - np.searchsorted(np.sort(count), np.arange(2, count.max() + 1))
+    for k, n in enumerate(live.tolist(), 1):
+        out[order[:n]] += table[rows[edge[order[:n]] + k]]
+    return out
+
+
 def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
     """Bits of the item (masks: word -> its places) that a longest common subsequence with words leaves set to 0."""
     full = (1 << size) - 1
@@ -136,7 +147,7 @@ class Model:
 
     vocabulary: Vocabulary
     idf: np.ndarray
-    basis: np.ndarray
+    corpus: np.ndarray
     items: list[np.ndarray]
     rules: Rules
 
@@ -151,10 +162,18 @@ class Model:
             for k, w in enumerate(words.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << k
             self.masks.append(masks)
-        latent = np.stack([self._vector(w) for w in self.items]) @ self.basis if self.items else np.zeros((0, self.basis.shape[1]))
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-        self.scores = (self.basis @ latent.T).astype(np.float32)
-        self.basis = self.basis.astype(np.float32)
+        self.sorted = [np.unique(w) for w in self.items]
+        # by class: weights of a word for the corpus directions and the class's items, for its items' cosines, and the
+        # fewest weighted words that some two neighbouring blocks of a leak hold: it spans three, and lacks few words
+        self.spaces = {}
+        for size, members in self.classes.items():
+            vectors = np.stack([self._vector(self.items[i]) for i in members])
+            basis = np.linalg.qr(np.hstack([self.corpus, vectors.T]))[0]
+            latent = vectors @ basis
+            latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
+            weighted = basis * self.idf[:, None]
+            least = min(int((self.idf[self.vocabulary.find(self.items[i])[1]] > 0).sum()) - (1 - self.rules.answer_lcs) * len(self.items[i]) for i in members)
+            self.spaces[size] = weighted.astype(np.float32), (weighted @ latent.T).astype(np.float32), max(2, math.ceil(least / 2))
 
     def _vector(self, words: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.idf))
@@ -175,20 +194,18 @@ class Model:
             edge = _starts(block)
             number = block[edge]
             count = np.diff(np.append(edge, len(block)))
-            # blocks that alone or with a neighbour hold two known words
+            # blocks that with a neighbour hold enough weighted words
+            weighted, scores, need = self.spaces[size]
             follows = np.append(number[1:] == number[:-1] + 1, False) if len(number) else np.zeros(0, dtype=bool)
-            pair = count + np.where(follows, np.append(count[1:], 0), 0)
-            rich = pair >= 2
+            rich = count + np.where(follows, np.append(count[1:], 0), 0) >= need
             rich[1:] |= follows[:-1] & rich[:-1]
             keep = np.repeat(rich, count)
             if not keep.any():
                 continue
             hit, where, block = at[keep], place[keep], block[keep]
             edge = _starts(block)
-            number = block[edge]
-            weight = self.idf[where].astype(np.float32)[:, None]
-            near = np.add.reduceat(self.scores[where][:, members] * weight, edge)
-            latent = np.add.reduceat(self.basis[where] * weight, edge)
+            number, count = block[edge], np.diff(np.append(edge, len(block)))
+            near, latent = (_row_sums(x, where, edge, count) for x in (scores, weighted))
             follows = np.flatnonzero(number[1:] == number[:-1] + 1)
             both = latent[follows] + latent[follows + 1]
             close = near / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
@@ -200,20 +217,23 @@ class Model:
                 begin = hit[edge[b]]
                 begin = first[text[b]] + (begin - first[text[b]]) // half * half
                 region = hashes[max(first[text[b]], begin - size) : min(first[text[b] + 1], begin + 2 * size)]
-                found = self._judge(item, region.tolist())
+                found = self._judge(item, region)
                 if found is not None:
                     key = int(text[b]), item
                     value = round(float(close[b, m]), 4), *found
                     best[key] = max(best.get(key, value), value, key=lambda x: (x[1], x[2], x[0]))
         return [(*key, *value) for key, value in sorted(best.items())]
 
-    def _judge(self, item: int, region: list[int]) -> tuple[int, bool] | None:
-        n = len(self.items[item])
-        row = lcs(self.masks[item], n, region)
+    def _judge(self, item: int, region: np.ndarray) -> tuple[int, bool] | None:
+        n, known = len(self.items[item]), self.sorted[item]
+        words = region[known[np.minimum(np.searchsorted(known, region), len(known) - 1)] == region].tolist()
+        if len(words) < self.rules.answer_lcs * n:
+            return None
+        row = lcs(self.masks[item], n, words)
         held = n - row.bit_count()
         size = min(self.rules.answer, n)
         tail = {w: m >> (n - size) for w, m in self.masks[item].items() if m >> (n - size)}
-        answer = size - lcs(tail, size, region).bit_count() >= self.rules.answer_share * size
+        answer = size - lcs(tail, size, words).bit_count() >= self.rules.answer_share * size
         return (held, answer) if held >= self.rules.lcs * n or answer and held >= self.rules.answer_lcs * n else None
 
 
@@ -275,12 +295,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], rules: Rules) -> Model:
     q = np.linalg.qr(gram(rng.standard_normal((size, rank))))[0] if size else np.zeros((0, 0))
     values, turn = np.linalg.eigh(q.T @ gram(q)) if size else (np.zeros(0), np.zeros((0, 0)))
     corpus = q @ turn[:, values > 1e-9 * max(values.max(initial=0), 1e-300)]
-    vectors = np.zeros((size, len(items)))
-    for i, item in enumerate(items):
-        _, place = words.find(item)
-        np.add.at(vectors[:, i], place, idf[place])
-    basis = np.linalg.qr(np.hstack([corpus, vectors]))[0] if size else np.zeros((0, 0))
-    return Model(words, idf, basis, items, rules)
+    return Model(words, idf, corpus if size else np.zeros((0, 0)), items, rules)
 
 
 def _used(made: Iterator[tuple[np.ndarray, np.ndarray, int]], idf: Broadcast) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], None, None]]:
