@@ -12,7 +12,7 @@ A name is a hash of the bytes: 32 bits beside the lane for the samples, where a
 and 64 bits of one hash beside a lane by another for the strings themselves. Equal names are brought together
 within a task before they are shuffled, so a string that very many documents hold is sent once for each batch of a task.
 
-Texts that are equal as a whole are covered wherever they are as long as a string; one of each goes on to be compared.
+Texts that are equal as a whole are covered wherever they are as long as a string; their places count as those of one text.
 
 Defined cases: a null text is an empty one, of 0 bytes and nothing removed; equal rows are covered by one another; a null
 doc_id is kept; a text shorter than `length` bytes keeps everything; other columns are not read; an empty table gives no rows.
@@ -64,6 +64,21 @@ def _other_hash(buf: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
     return span_hash(prefix_sums(mix(buf.astype(np.uint64) + np.uint64(0x7F4A7C15))), start, start + length)
 
 
+def _several(key: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a name stands at more than one place; the same place in copies of a text is one."""
+    out = np.zeros(len(key), dtype=bool)
+    ordered = np.sort(key)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if len(twice):
+        many = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+        many = many[np.argsort(key[many], kind="stable")]
+        place = mix(text[many] + at[many].astype(np.uint64))
+        edge = np.flatnonzero(np.append(True, key[many][1:] != key[many][:-1]))
+        differ = np.minimum.reduceat(place, edge) != np.maximum.reduceat(place, edge)
+        out[many[np.repeat(differ, np.diff(np.append(edge, len(many))))]] = True
+    return out
+
+
 Places = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
 
 
@@ -76,9 +91,7 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
 
     def emit(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         key, lane, text, at = (np.concatenate(x) for x in zip(*held))
-        ordered = np.sort(key)
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        met = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key if len(twice) else np.zeros(len(key), dtype=bool)
+        met = _several(key, text, at)
         sent = ~met
         if met.any():  # one envoy for each name that met here
             where = np.flatnonzero(met)
@@ -102,8 +115,11 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
             yield pa.RecordBatch.from_arrays([pa.array(lane_, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["lane", "texts", "counts", "steps", "keys"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
+        held, count, seen = [], 0, set()
         for batch in pieces(batches, "text"):
+            # copies of a text that this batch of names holds already add nothing
+            new = [h not in seen and not seen.add(h) for h in batch.column("h").to_pylist()]
+            batch = batch.filter(pa.array(new))
             buf, offsets = flat(batch.column("text"))
             whose = owner(offsets, len(buf))
             at = places(batch, offsets)
@@ -118,7 +134,7 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
             count += len(at)
             if count >= BATCH:
                 yield from emit(held)
-                held, count = [], 0
+                held, count, seen = [], 0, set()
         if held:
             yield from emit(held)
 
@@ -130,9 +146,7 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
         total = np.cumsum(step.astype(np.int64))
         at = total - np.repeat(total[first] - step[first], count)
         if table.column("lane")[0].as_py() >= 0:
-            ordered = np.sort(key)
-            twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-            found = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key if len(twice) else np.zeros(len(key), dtype=bool)
+            found = _several(key, np.repeat(text, count), at)
         else:
             found = np.ones(len(at), dtype=bool)
         run = np.repeat(np.arange(len(count)), count)[found]
@@ -161,11 +175,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, te
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     lanes = min(60_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * BATCH))))
 
-    classes = facts.filter(F.col("n_bytes") >= length).groupBy("h", "sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    classes = saved(classes, "classes")
-    # a text without an id of its own cannot be told from its copies and is compared with them, which changes nothing
-    others = facts.join(classes, ["h", "sha"]).filter(F.col("doc_id") != F.col("first")).select("doc_id", "h").distinct()
-    single = read.filter(F.octet_length("text") >= length).join(others, ["doc_id", "h"], "left_anti")
+    classes = facts.filter(F.col("n_bytes") >= length).groupBy("h", "sha").agg(F.count("*").alias("n")).filter("n > 1")
+    single = read.filter(F.octet_length("text") >= length).select("h", "text")
 
     cover = np.zeros(period, dtype=bool)
     cover[list(difference_cover(prime))] = True
@@ -176,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, te
 
     flags = saved(_meet(single, sampled, length - period + 1, True, lanes), "samples")
     release(spark)
-    texts = saved(single.select("h", "text").join(flags, "h").dropDuplicates(["h"]), "texts")
+    texts = saved(single.join(flags, "h").dropDuplicates(["h"]), "texts")
     release(spark)
 
     def near(batch: pa.RecordBatch, offsets: np.ndarray) -> np.ndarray:
