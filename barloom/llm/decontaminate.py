@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.arrays import flat, pieces, prefix_sums, span_hash, spans
+from barloom.llm.components import release
 
 ITEMS = 1000
 _WORD = np.zeros(256, dtype=bool)
@@ -123,22 +124,37 @@ def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
 
 
 def _summed(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over all tasks of make(their rows), a matrix of a size that the item group bounds."""
-    parts = 8
+    """The sum over all tasks of make(their rows), a matrix of a size that the item group bounds. Tasks send the rows they touched."""
+    slices = 8
+    each = -(-max(shape[0], 1) // slices)
+    width = int(np.prod(shape[1:]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = make(batches)
+        whole = make(batches).reshape(shape[0], width)
+        touched = np.flatnonzero(whole.any(axis=1))
+        cut = [touched[(touched >= k * each) & (touched < (k + 1) * each)] for k in range(slices)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(parts)), pa.array([x.astype("<f8").tobytes() for x in np.array_split(whole, parts)], pa.binary())], names=["part", "sums"])
+            [pa.array(np.arange(slices)), *(pa.array(x, pa.binary()) for x in ([c.astype("<i4").tobytes() for c in cut], [whole[c].astype("<f4").tobytes() for c in cut]))],
+            names=["part", "rows", "sums"])
+
+    def total(rows: list[bytes], sums: list[bytes]) -> np.ndarray:
+        out = np.zeros((shape[0], width))
+        for r, x in zip(rows, sums):
+            out[np.frombuffer(r, "<i4")] += np.frombuffer(x, "<f4").reshape(-1, width)
+        return out
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(raw, "<f8") for raw in table.column("sums").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        part = table.column("part")[0].as_py()
+        out = total(table.column("rows").to_pylist(), table.column("sums").to_pylist())
+        own = np.arange(part * each, min((part + 1) * each, shape[0]), dtype="<i4")
+        return pa.table({"part": table.column("part")[:1], "rows": pa.array([own.tobytes()], pa.binary()), "sums": pa.array([out[own].astype("<f4").tobytes()], pa.binary())})
 
-    schema = "part long, sums binary"
+    schema = "part long, rows binary, sums binary"
     rows = docs.mapInArrow(task, schema).groupBy("part", F.pmod(F.spark_partition_id(), F.lit(32)).alias("_lane")).applyInArrow(add, schema)
-    found = {r.part: np.frombuffer(r.sums, "<f8") for r in rows.groupBy("part").applyInArrow(add, schema).collect()}
-    return np.concatenate([found[p] for p in sorted(found)]).reshape(shape) if found else np.zeros(shape)
+    found = rows.groupBy("part").applyInArrow(add, schema).collect()
+    out = total([r.rows for r in found], [r.sums for r in found]).reshape(shape)
+    release(docs.sparkSession)
+    return out
 
 
 @dataclass
@@ -253,14 +269,14 @@ def fit(docs: DataFrame, items: list[np.ndarray], rules: Rules) -> Model:
             yield key % size, _starts(key // size), int((-(-np.diff(first) // rules.passage)).sum())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        out = np.zeros(size + 1)
+        out = np.zeros(size + 2)
         for place, _, n in passages(batches):
             out[:size] += np.bincount(place, minlength=size)
-            out[size] += n
+            out[size:] += divmod(n, 1 << 16)
         return out
 
-    counted = _summed(docs, frequencies, (size + 1,))
-    df, total = counted[:size], counted[size]
+    counted = _summed(docs, frequencies, (size + 2,))
+    df, total = counted[:size], counted[size] * (1 << 16) + counted[size + 1]
     idf = np.log((total + 1) / (df + 1)) + 1e-3
     # words in very many passages tell little; every item keeps its rarest ones
     used = df <= max(rules.common * total, 1)
