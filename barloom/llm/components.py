@@ -23,7 +23,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of steps whose results have been written."""
+    """Lets Spark's cleaner remove the shuffle files of steps whose results have been written.
+
+    The plan that ran last stays referenced until another one runs, so a tiny one comes first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

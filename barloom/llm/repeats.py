@@ -79,6 +79,19 @@ def _several(key: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(steps: np.ndarray) -> bytes:
+    """Steps as two bytes each; those that need more follow after the mark 65535."""
+    far = steps >= 65535
+    return len(steps).to_bytes(8, "little") + np.where(far, 65535, steps).astype("<u2").tobytes() + steps[far].astype("<u4").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    steps = np.frombuffer(raw, "<u2", n, 8).astype(np.int64)
+    steps[steps == 65535] = np.frombuffer(raw, "<u4", -1, 8 + 2 * n)
+    return steps
+
+
 Places = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
 
 
@@ -109,7 +122,7 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
                 step = np.diff(at[part], prepend=0)
                 step[run] = at[part][run]
                 rows.append((k if kind == 0 else -1 - k, text[part][run].tobytes(), np.diff(np.append(run, len(part))).astype("<u4").tobytes(),
-                             step.astype("<u4").tobytes(), key[part].astype(width).tobytes() if kind == 0 else b""))
+                             _packed(step), key[part].astype(width).tobytes() if kind == 0 else b""))
         if rows:
             lane_, *blobs = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(lane_, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["lane", "texts", "counts", "steps", "keys"])
@@ -139,20 +152,21 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
             yield from emit(held)
 
     def join(table: pa.Table) -> pa.Table:
-        blobs = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("texts", "<u8"), ("counts", "<u4"), ("steps", "<u4"), ("keys", width))]
-        text, count, step, key = (np.concatenate(b) for b in blobs)
+        blobs = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("texts", "<u8"), ("counts", "<u4"), ("keys", width))]
+        text, count, key = (np.concatenate(b) for b in blobs)
+        step = np.concatenate([_unpacked(x) for x in table.column("steps").to_pylist()])
         count = count.astype(np.int64)
         first = np.cumsum(count) - count
-        total = np.cumsum(step.astype(np.int64))
+        total = np.cumsum(step)
         at = total - np.repeat(total[first] - step[first], count)
         if table.column("lane")[0].as_py() >= 0:
             found = _several(key, np.repeat(text, count), at)
         else:
             found = np.ones(len(at), dtype=bool)
         run = np.repeat(np.arange(len(count)), count)[found]
-        at = at[found].astype("<u4")
+        at = at[found]
         edge = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, dtype=np.int64)
-        return pa.table({"h": pa.array(text[run[edge]].view(np.int64)), "places": pa.array([x.tobytes() for x in np.split(at, edge[1:])] if len(edge) else [], pa.binary())})
+        return pa.table({"h": pa.array(text[run[edge]].view(np.int64)), "places": pa.array([_packed(np.diff(x, prepend=0)) for x in np.split(at, edge[1:])] if len(edge) else [], pa.binary())})
 
     made = texts.mapInArrow(split, "lane long, texts binary, counts binary, steps binary, keys binary")
     return made.groupBy("lane").applyInArrow(join, "h long, places binary").groupBy("h").agg(F.collect_list("places").alias("places"))
@@ -160,7 +174,7 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
 
 def _listed(column: pa.Array, row: int) -> np.ndarray:
     """The places of a row's lists, in order."""
-    return np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in column[row].as_py()])).astype(np.int64)
+    return np.unique(np.concatenate([np.cumsum(_unpacked(x)) for x in column[row].as_py()]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
