@@ -38,7 +38,7 @@ from barloom.llm.components import components, release, saved
 # blocks that a task makes before it passes them on
 BATCH = 1 << 21
 # rows in a tile of the product
-SIDE = 128
+SIDE = 256
 # growth of the sizes from class to class, and tries by another hash before columns are taken one by one
 GROWTH, TRIES = 1.3, 8
 
@@ -239,40 +239,39 @@ def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
         label = least
 
 
-def _tiles(rows: DataFrame, blocks: Blocks, lanes: int, side: int) -> DataFrame:
-    """(row, tasks): the tasks that need the row's set. rows: row, n, cluster.
+def _tiles(rows: DataFrame, shared: DataFrame, blocks: Blocks, lanes: int, side: int) -> DataFrame:
+    """(row, tasks): the tasks that need the row's set. rows: row, n, cluster; shared: block, row.
 
     A task is (lane, cluster, c, i, d, j): a lane of small clusters, or tile i of class c and tile j of class d of a large one.
+    A row of a large cluster goes where its tile meets one with a row that shares a block with it.
     """
     low = F.array(*(F.lit(int(x)) for x in blocks.low))
     classed = rows.withColumn("c", F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1)
     counts = classed.groupBy("cluster", "c").agg(F.count("*").alias("rows"))
-    large = counts.groupBy("cluster").agg(F.sum("rows").alias("rows")).filter(F.col("rows") > side).select("cluster", F.lit(True).alias("large"))
-    counts = counts.join(large, "cluster").select("cluster", "c", F.ceil(F.col("rows") / side).cast("int").alias("t"))
+    large = counts.groupBy("cluster").agg(F.sum("rows").alias("all")).filter(F.col("all") > side)
+    counts = counts.join(large, "cluster").select("cluster", "c", F.ceil(F.col("rows") / side).alias("t"))
 
-    def near(step: int, name: str) -> DataFrame:
-        return counts.select("cluster", (F.col("c") - step).alias("c"), F.col("t").alias(name))
+    placed = classed.join(counts, ["cluster", "c"]).select("row", "cluster", "c", F.pmod(F.xxhash64("row"), "t").cast("int").alias("i"))
+    entries = shared.join(placed, "row")
+    # at most as many tiles as the cluster has
+    met = entries.groupBy("block").agg(F.collect_set(F.struct("c", "i")).alias("tiles"))
+    wide = entries.join(met, "block").groupBy("row", "cluster", "c", "i").agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles"))
 
-    wide = classed.join(large, "cluster", "left")
-    for step, name in ((0, "own"), (1, "up"), (-1, "down")):
-        wide = wide.join(near(step, name), ["cluster", "c"], "left")
-    wide = wide.withColumn("i", F.when(F.col("large"), F.pmod(F.xxhash64("row"), F.col("own")).cast("int")))
+    def task(tile: F.Column) -> F.Column:
+        own = F.struct(F.col("c").cast("int").alias("c"), F.col("i").alias("i"))
+        tile = F.struct(tile.c.cast("int").alias("c"), tile.i.alias("i"))
+        a, b = F.least(own, tile), F.greatest(own, tile)
+        return F.struct(F.lit(-1).cast("long").alias("lane"), F.col("cluster").alias("cluster"), a.c.alias("c"), a.i.alias("i"), b.c.alias("d"), b.i.alias("j"))
 
-    def task(c: F.Column, i: F.Column, d: F.Column, j: F.Column) -> F.Column:
-        return F.struct(F.lit(-1).cast("long").alias("lane"), F.col("cluster").alias("cluster"), c.cast("int").alias("c"), i.cast("int").alias("i"), d.cast("int").alias("d"), j.cast("int").alias("j"))
+    def near(tile: F.Column) -> F.Column:
+        return F.abs(tile.c - F.col("c")) <= 1
 
-    def each(n: F.Column) -> F.Column:
-        return F.sequence(F.lit(0), n - 1)
-
-    c, i = F.col("c"), F.col("i")
-    none = F.array().cast("array<struct<lane:bigint,cluster:bigint,c:int,i:int,d:int,j:int>>")
-    same = F.transform(each(F.col("own")), lambda j: task(c, F.least(i, j), c, F.greatest(i, j)))
-    up = F.when(F.col("up").isNotNull(), F.transform(each(F.col("up")), lambda j: task(c, i, c + 1, j))).otherwise(none)
-    reaches = F.ceil(F.col("n") * blocks.percent / 100) < F.element_at(low, c + 1)
-    down = F.when(F.col("down").isNotNull() & reaches, F.transform(each(F.col("down")), lambda j: task(c - 1, j, c, i))).otherwise(none)
+    dealt = wide.select("row", F.transform(F.filter("tiles", near), task).alias("tasks"))
     zero = F.lit(0)
-    small = F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(lanes)).alias("lane"), F.col("cluster"), zero.alias("c"), zero.alias("i"), zero.alias("d"), zero.alias("j")))
-    return wide.select("row", F.when(F.col("large"), F.concat(same, up, down)).otherwise(small).alias("tasks"))
+    lane = F.pmod(F.xxhash64("cluster"), F.lit(lanes))
+    small = classed.join(large, "cluster", "left_anti").select(
+        "row", F.array(F.struct(lane.alias("lane"), F.col("cluster"), zero.alias("c"), zero.alias("i"), zero.alias("d"), zero.alias("j"))).alias("tasks"))
+    return dealt.unionByName(small)
 
 
 def _links(docs: DataFrame, tiles: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
@@ -325,7 +324,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     least = blocks.groupBy("block").agg(F.min("row").alias("b"))
     clusters = components(blocks.join(least, "block").select(F.col("row").alias("a"), "b"))
     rows = clusters.withColumnsRenamed({"node": "row", "root": "cluster"}).join(named.select("row", "n"), "row")
-    tiles = saved(_tiles(rows, plan, 4 * lanes, side), "tiles")
+    tiles = saved(_tiles(rows, blocks, plan, 4 * lanes, side), "tiles")
     roots = components(saved(_links(docs, tiles, named, n, percent), "links"))
     release(spark)
 
