@@ -92,6 +92,21 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return steps
 
 
+def _runs(text: np.ndarray, at: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places in order as (texts, number of places of each, steps that begin anew with each text)."""
+    run = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    step = np.diff(at, prepend=0)
+    step[run] = at[run]
+    return text[run].tobytes(), np.diff(np.append(run, len(text))).astype("<u4").tobytes(), _packed(step)
+
+
+def _places(step: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places from their steps."""
+    first = np.cumsum(count) - count
+    total = np.cumsum(step)
+    return total - np.repeat(total[first] - step[first], count)
+
+
 Places = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
 
 
@@ -101,6 +116,8 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
     places(batch, offsets) gives the positions to look at in the batch's bytes, in order; strings that do not fit are left out.
     """
     width = "<u4" if narrow else "<u8"
+    # what is found is gathered by text, many texts to a shelf
+    shelves = max(16, lanes // 8)
 
     def emit(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         key, lane, text, at = (np.concatenate(x) for x in zip(*held))
@@ -118,11 +135,7 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
             cut = np.searchsorted(to, np.arange(lanes + 1))
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 part = order[cut[k] : cut[k + 1]]
-                run = np.flatnonzero(np.append(True, text[part][1:] != text[part][:-1]))
-                step = np.diff(at[part], prepend=0)
-                step[run] = at[part][run]
-                rows.append((k if kind == 0 else -1 - k, text[part][run].tobytes(), np.diff(np.append(run, len(part))).astype("<u4").tobytes(),
-                             _packed(step), key[part].astype(width).tobytes() if kind == 0 else b""))
+                rows.append((k if kind == 0 else -1 - k, *_runs(text[part], at[part]), key[part].astype(width).tobytes() if kind == 0 else b""))
         if rows:
             lane_, *blobs = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(lane_, pa.int64()), *(pa.array(b, pa.binary()) for b in blobs)], names=["lane", "texts", "counts", "steps", "keys"])
@@ -155,26 +168,38 @@ def _meet(texts: DataFrame, places: Places, length: int, narrow: bool, lanes: in
         blobs = [[np.frombuffer(x, kind) for x in table.column(name).to_pylist()] for name, kind in (("texts", "<u8"), ("counts", "<u4"), ("keys", width))]
         text, count, key = (np.concatenate(b) for b in blobs)
         step = np.concatenate([_unpacked(x) for x in table.column("steps").to_pylist()])
-        count = count.astype(np.int64)
-        first = np.cumsum(count) - count
-        total = np.cumsum(step)
-        at = total - np.repeat(total[first] - step[first], count)
+        at = _places(step, count.astype(np.int64))
         if table.column("lane")[0].as_py() >= 0:
             found = _several(key, np.repeat(text, count), at)
         else:
             found = np.ones(len(at), dtype=bool)
-        run = np.repeat(np.arange(len(count)), count)[found]
-        at = at[found]
-        edge = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else np.zeros(0, dtype=np.int64)
-        return pa.table({"h": pa.array(text[run[edge]].view(np.int64)), "places": pa.array([_packed(np.diff(x, prepend=0)) for x in np.split(at, edge[1:])] if len(edge) else [], pa.binary())})
+        text, at = np.repeat(text, count)[found], at[found]
+        to = (text % np.uint64(shelves)).astype(np.int64)
+        order = np.lexsort((at, text, to))
+        to, text, at = to[order], text[order], at[order]
+        cut = np.searchsorted(to, np.arange(shelves + 1))
+        rows = [(k, *_runs(text[a:b], at[a:b])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if b > a]
+        return pa.table({n: pa.array([r[i] for r in rows], kind) for i, (n, kind) in enumerate((("shelf", pa.int64()), ("texts", pa.binary()), ("counts", pa.binary()), ("steps", pa.binary())))})
+
+    def gather(table: pa.Table) -> pa.Table:
+        text, count = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("texts", "<u8"), ("counts", "<u4")))
+        at = _places(np.concatenate([_unpacked(x) for x in table.column("steps").to_pylist()]), count.astype(np.int64))
+        text = np.repeat(text, count)
+        order = np.lexsort((at, text))
+        text, at = text[order], at[order]
+        new = np.append(True, (text[1:] != text[:-1]) | (at[1:] != at[:-1]))
+        text, at = text[new], at[new]
+        edge = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        return pa.table({"h": text[edge].view(np.int64), "places": pa.array([_packed(np.diff(x, prepend=0)) for x in np.split(at, edge[1:])], pa.binary())})
 
     made = texts.mapInArrow(split, "lane long, texts binary, counts binary, steps binary, keys binary")
-    return made.groupBy("lane").applyInArrow(join, "h long, places binary").groupBy("h").agg(F.collect_list("places").alias("places"))
+    found = made.groupBy("lane").applyInArrow(join, "shelf long, texts binary, counts binary, steps binary")
+    return found.groupBy("shelf").applyInArrow(gather, "h long, places binary")
 
 
 def _listed(column: pa.Array, row: int) -> np.ndarray:
-    """The places of a row's lists, in order."""
-    return np.unique(np.concatenate([np.cumsum(_unpacked(x)) for x in column[row].as_py()]))
+    """The places of a row, in order."""
+    return np.cumsum(_unpacked(column[row].as_py()))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, text: str = "text", doc_id: str = "doc_id", with_text: bool = False) -> DataFrame:
