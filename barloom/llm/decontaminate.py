@@ -2,7 +2,7 @@
 
 Texts are read as words of letters and digits without case, so punctuation, symbols and shouting do not hide a passage.
 Passages are blocks of words. Their TF-IDF vectors over the benchmark's vocabulary are factored by a distributed
-randomised SVD: tasks sum their share of A'(A X) for a narrow X, the small sums meet on the driver. The items
+randomised SVD: tasks sum their share of A'(A X) for a narrow random X, the small sums meet on the driver. The items
 are folded in, so the latent space holds every item exactly beside the corpus directions. Passages near an item by
 the cosine in that space are candidates; a candidate is a leak if the longest common subsequence covers most
 of the item, or a good part of it including its answer.
@@ -308,10 +308,16 @@ def fit(docs: DataFrame, items: list[np.ndarray], rules: Rules) -> Model:
         return _summed(docs, share, (size, x.shape[1]))
 
     rank = min(rules.rank, size)
-    q = np.linalg.qr(gram(rng.standard_normal((size, rank))))[0] if size else np.zeros((0, 0))
-    values, turn = np.linalg.eigh(q.T @ gram(q)) if size else (np.zeros(0), np.zeros((0, 0)))
-    corpus = q @ turn[:, values > 1e-9 * max(values.max(initial=0), 1e-300)]
-    return Model(words, idf, corpus if size else np.zeros((0, 0)), items, rules)
+    corpus = np.zeros((size, 0))
+    if size:
+        # one pass: A'A is near Y W^-1 Y' with Y = A'A X and W = X'Y, whose eigenvectors are those of Y W^-1/2
+        x = np.linalg.qr(rng.standard_normal((size, rank)))[0]
+        y = gram(x)
+        values, turn = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
+        held = values > 1e-6 * max(values.max(), 1e-300)
+        u, strength, _ = np.linalg.svd(y @ turn[:, held] / np.sqrt(values[held]), full_matrices=False)
+        corpus = u[:, strength > 1e-6 * max(strength.max(initial=0), 1e-300)]
+    return Model(words, idf, corpus, items, rules)
 
 
 def _used(made: Iterator[tuple[np.ndarray, np.ndarray, int]], idf: Broadcast) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], None, None]]:
