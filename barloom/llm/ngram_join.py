@@ -38,7 +38,7 @@ from barloom.llm.components import components, release, saved
 # blocks that a task makes before it passes them on
 BATCH = 1 << 21
 # rows in a tile of the product
-SIDE = 256
+SIDE = 1024
 # growth of the sizes from class to class, and tries by another hash before columns are taken one by one
 GROWTH, TRIES = 1.3, 8
 
