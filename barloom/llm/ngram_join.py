@@ -39,6 +39,8 @@ from barloom.llm.components import components, release, saved
 BATCH = 1 << 21
 # rows in a tile of the product
 SIDE = 1024
+# clusters of at most so many tiles have all of them meet
+TILES = 8
 # growth of the sizes from class to class, and tries by another hash before columns are taken one by one
 GROWTH, TRIES = 1.3, 8
 
@@ -243,7 +245,7 @@ def _tiles(rows: DataFrame, shared: DataFrame, blocks: Blocks, lanes: int, side:
     """(row, tasks): the tasks that need the row's set. rows: row, n, cluster; shared: block, row.
 
     A task is (lane, cluster, c, i, d, j): a lane of small clusters, or tile i of class c and tile j of class d of a large one.
-    A row of a large cluster goes where its tile meets one with a row that shares a block with it.
+    In a cluster of more than `TILES` tiles a row goes only where its tile meets one with a row that shares a block with it.
     """
     low = F.array(*(F.lit(int(x)) for x in blocks.low))
     classed = rows.withColumn("c", F.size(F.filter(low, lambda x: x <= F.col("n"))) - 1)
@@ -251,8 +253,15 @@ def _tiles(rows: DataFrame, shared: DataFrame, blocks: Blocks, lanes: int, side:
     large = counts.groupBy("cluster").agg(F.sum("rows").alias("all")).filter(F.col("all") > side)
     counts = counts.join(large, "cluster").select("cluster", "c", F.ceil(F.col("rows") / side).alias("t"))
 
+    every = counts.withColumn("each", F.sequence(F.lit(0), F.col("t") - 1))
+    every = every.select("cluster", F.transform("each", lambda i: F.struct("c", i.cast("int").alias("i"))).alias("own"))
+    some = counts.groupBy("cluster").agg(F.sum("t").alias("all")).filter(F.col("all") <= TILES).select("cluster")
+    # at most TILES of them
+    every = every.join(some, "cluster").groupBy("cluster").agg(F.flatten(F.collect_list("own")).alias("tiles"))
+
     placed = classed.join(counts, ["cluster", "c"]).select("row", "cluster", "c", F.pmod(F.xxhash64("row"), "t").cast("int").alias("i"))
-    entries = shared.join(placed, "row")
+    few = placed.join(every, "cluster")
+    entries = shared.join(placed.join(some, "cluster", "left_anti"), "row")
     # at most as many tiles as the cluster has
     met = entries.groupBy("block").agg(F.collect_set(F.struct("c", "i")).alias("tiles"))
     wide = entries.join(met, "block").groupBy("row", "cluster", "c", "i").agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles"))
@@ -266,6 +275,7 @@ def _tiles(rows: DataFrame, shared: DataFrame, blocks: Blocks, lanes: int, side:
     def near(tile: F.Column) -> F.Column:
         return F.abs(tile.c - F.col("c")) <= 1
 
+    wide = wide.unionByName(few.select("row", "cluster", "c", "i", "tiles"))
     dealt = wide.select("row", F.transform(F.filter("tiles", near), task).alias("tasks"))
     zero = F.lit(0)
     lane = F.pmod(F.xxhash64("cluster"), F.lit(lanes))
