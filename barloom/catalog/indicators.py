@@ -11,6 +11,7 @@ from barloom.catalog.base import (
     STRICT_DAILY_CTES,
     STRICT_SHOWN,
     batch_ctes,
+    ewm,
     growth,
     lag,
     live_ctes,
@@ -48,6 +49,13 @@ _step("range_abs", ["Volatility"], [ind.volatility], "Volatility:f")
 _step("intraday_change", ["Price_Change_Pct"], [ind.price_change], "Price_Change_Pct:f")
 _step("rsi_wilder", ["RSI"], [ind.rsi_wilder], "RSI:f")
 _step("volume_change", ["Volume_Change_Pct"], [ind.volume_change], "Volume_Change_Pct:f")
+@query("ema_long_span", with_ctes({"bars": EVENTS_BARS, "e": f"SELECT *, {ewm('\"Close\"', '(2.0/201)', 200)} AS \"EMA200\" FROM bars"}, "Symbol, Date:d, EMA200:f", "SELECT * FROM e"))
+def ema_long_span(spark, sf_dir):
+    """A long average over small blocks: the blocks get the rows that it needs."""
+    steps = [("ema", lambda df: ind.ema(df, 200))]
+    return plan.apply_indicators(events_bars(spark, sf_dir), steps, core=64, bucket="day").select(*KEY, "EMA200")
+
+
 _step("ema", ["EMA12"], [ind.ema], "EMA12:f")
 _step("bb_position", ["BB_Position"], [ind.bollinger_position], "BB_Position:f")
 _step("macd", ["MACD", "MACD_Signal", "MACD_Hist"], [ind.macd], "MACD:f, MACD_Signal:f, MACD_Hist:f")

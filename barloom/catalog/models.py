@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import EVENTS_BARS, live_ctes, query, with_ctes
+from barloom.catalog.base import COMPLETE, EVENTS_BARS, STRICT_CTES, live_ctes, query, with_ctes
 from barloom.catalog.datasets import FEATURES_COMPLETE
 from barloom.operators import datasets, evaluate, ml, reports
 from barloom.operators.ranking import time_split
-from barloom.plans import features
+from barloom.plans import features, training
 from barloom.schema import FEATURES
 from barloom.sources import writers
 from barloom.sources.adapters import embeddings_keyed, events_bars, table
@@ -39,63 +39,106 @@ def assemble(spark, sf_dir):
     return rows.select("Symbol", "Date", F.size(vector_to_array("vector")).alias("size"), vector_to_array("vector")[3].alias("close"))
 
 
-@query("train_forest")
+# Trees differ from engine to engine, so the SQL holds what is certain of a model's output: keys, counts and bounds.
+
+_RANKED = """SELECT *, row_number() OVER (ORDER BY "Date", "Symbol") AS r, count(*) OVER () AS n FROM t"""
+_CTES = {**STRICT_CTES, "t": f"SELECT * FROM f WHERE {COMPLETE}", "s": _RANKED}
+_CUT = "greatest(least(floor(n * 0.8), n - 1), 1)"
+_NAMES = ", ".join(f"('{c}')" for c in FEATURES)
+
+
+def _within(*names):
+    return F.forall(F.array(*[F.col(n) for n in names]), lambda x: x.between(0.0, 1.0))
+
+
+@query("train_forest", with_ctes(_CTES, "valid, tested:i", f"SELECT true AS valid, count(*) AS tested FROM s WHERE r > {_CUT}"))
 def train_forest(spark, sf_dir):
     """Train on the first 80 %, evaluate on the rest."""
-    train, test = _split(_training(spark, sf_dir))
-    scored = ml.score(test, ml.train_forest(train, **SMALL))
-    rows = evaluate.predicted(scored.select(F.col("Target").alias("y"), F.col("p_up").alias("p")))
-    return evaluate.classification_metrics(rows).withColumn("roc_auc", evaluate.roc_auc(rows).scalar())
+    run = training.train_structured(_training(spark, sf_dir), folds=0, **SMALL)
+    tested = run.confusion.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n")).scalar()
+    return run.metrics.select(_within("accuracy", "precision", "recall", "f1_score", "roc_auc").alias("valid"), tested.alias("tested"))
 
 
-@query("score")
+@query("score", with_ctes(_CTES, "Symbol, Date:d, consistent", f'SELECT "Symbol", "Date", true AS consistent FROM s WHERE r > {_CUT}'))
 def score(spark, sf_dir):
+    """Every test row: the two probabilities sum to one, the larger one is the confidence, and it names the label."""
     train, test = _split(_training(spark, sf_dir))
-    return ml.score(test, ml.train_forest(train, **SMALL)).select("Symbol", "Date", "prediction", "p_up", "p_down", "confidence")
+    scored = ml.score(test, ml.train_forest(train, **SMALL))
+    best = F.greatest("p_up", "p_down")
+    consistent = (
+        (F.abs(F.col("p_up") + F.col("p_down") - 1.0) < 1e-9) & (F.abs(F.col("confidence") - 100.0 * best) < 1e-9)
+        & (F.col("prediction") == F.when(F.col("p_up") >= F.col("p_down"), "UP").otherwise("DOWN"))
+    )
+    return scored.select("Symbol", "Date", consistent.alias("consistent"))
 
 
-@query("score_batch")
+@query("score_batch", with_ctes(
+    {**live_ctes(EVENTS_BARS), "k": f"""SELECT "Symbol", max("Date") AS "Date" FROM l WHERE {FEATURES_COMPLETE} GROUP BY 1"""},
+    "Symbol, Date:d, status, valid",
+    """SELECT "Symbol", "Date", 'ok' AS status, true AS valid FROM k
+       UNION ALL SELECT n_name, NULL, 'unknown symbol', NULL FROM nation""",
+))
 def score_batch(spark, sf_dir):
-    """All symbols that events or nations name; the latter have no bars."""
-    rows = _training(spark, sf_dir)
-    asked = rows.select("Symbol").distinct().unionByName(
-        table(spark, sf_dir, "nation").select(F.col("n_name").alias("Symbol"))
-    )
-    return ml.score_batch(asked, rows, ml.train_forest(rows, **SMALL)).select("Symbol", "Date", "prediction", "confidence", "status")
+    """The latest complete bar of all symbols that events or nations name; the latter have no bars."""
+    model = ml.train_forest(_split(_training(spark, sf_dir))[0], **SMALL)
+    live = features.live_features(events_bars(spark, sf_dir))
+    asked = live.select("Symbol").distinct().unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("Symbol")))
+    scored = ml.score_batch(asked, live, model)
+    return scored.select("Symbol", "Date", "status", (F.col("confidence").between(50, 100) & F.col("prediction").isin("UP", "DOWN")).alias("valid"))
+
+
+def _importances(spark, sf_dir):
+    return training.train_structured(_training(spark, sf_dir), folds=0, **SMALL).importances
 
 
-@query("feature_importance")
+@query("feature_importance", f"SELECT feature, 'structured' AS type, true AS valid, true AS whole FROM (VALUES {_NAMES}) AS v(feature)")
 def feature_importance(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    return ml.feature_importance(ml.train_forest(rows, **SMALL), FEATURES)
+    """All features, weights between 0 and 1 that sum to one."""
+    found = _importances(spark, sf_dir)
+    total = found.agg(F.sum("importance")).scalar()
+    return found.select("feature", "type", _within("importance").alias("valid"), (F.abs(total - 1.0) < 1e-9).alias("whole"))
 
 
-@query("top_importances")
+@query("top_importances", "SELECT 12::BIGINT AS rows, true AS highest")
 def top_importances(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    return reports.top_importances(ml.feature_importance(ml.train_forest(rows, **SMALL), FEATURES))
+    """The twelve strongest: none of the others is stronger."""
+    found = _importances(spark, sf_dir)
+    top = reports.top_importances(found)
+    others = found.join(top, "feature", "left_anti").agg(F.coalesce(F.max("importance"), F.lit(0.0))).scalar()
+    return top.agg(F.count(F.lit(1)).alias("rows"), (F.min("importance") >= others).alias("highest"))
 
 
-@query("fusion_forest")
+@query("fusion_forest", """SELECT type, true AS valid, true AS whole FROM (VALUES ('structured'), ('embedding')) AS v(type)""")
 def fusion_forest(spark, sf_dir):
-    """Features fused with embeddings: importance by family."""
-    fused = datasets.fuse(_training(spark, sf_dir), embeddings_keyed(spark, sf_dir))
-    rows = ml.assemble(fused, embedding="embedding")
-    names = FEATURES + [f"embedding_{i}" for i in range(64)]
-    return reports.importance_by_type(ml.feature_importance(ml.train_on_vectors(rows, **SMALL), names))
+    """Features fused with embeddings, trained and judged like the structured model: importance by family."""
+    rows = _training(spark, sf_dir)
+    base = training.train_structured(rows, folds=0, **SMALL)
+    path = scratch_dir(spark) + "/fused"
+    writers.write_parquet(datasets.fuse(rows, embeddings_keyed(spark, sf_dir)), path)
+    run, gain = training.train_fusion(spark.read.parquet(path), size=64, structured=base.metrics, folds=0, **SMALL)
+    valid = gain.select(F.col("accuracy_gain").between(-1.0, 1.0) & F.col("roc_auc_gain").between(-1.0, 1.0)).scalar()
+    families = reports.importance_by_type(run.importances)
+    total = families.agg(F.sum("importance")).scalar()
+    return families.select("type", (_within("importance") & valid).alias("valid"), (F.abs(total - 1.0) < 1e-9).alias("whole"))
 
 
-@query("save_and_load_model")
+@query("save_and_load_model", with_ctes(_CTES, "rows:i, different:i", "SELECT count(*) AS rows, 0 AS different FROM t"))
 def save_and_load_model(spark, sf_dir):
+    """A loaded model scores every row as the saved one does."""
     path = scratch_dir(spark) + "/model"
     rows = _training(spark, sf_dir)
-    ml.save_model(ml.train_forest(rows, **SMALL), path)
-    return ml.score(rows, ml.load_model(path)).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    model = ml.train_forest(_split(rows)[0], **SMALL)
+    ml.save_model(model, path)
+    loaded = ml.score(rows, ml.load_model(path)).select("Symbol", "Date", F.col("p_up").alias("q"))
+    both = ml.score(rows, model).select("Symbol", "Date", "p_up").join(loaded, ["Symbol", "Date"])
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p_up") != F.col("q")).alias("different"))
 
 
-@query("cross_validate")
+@query("cross_validate", with_ctes(
+    {**_CTES, "c": "SELECT max(n) AS n FROM s"}, "fold:i, rows:i, valid", "SELECT unnest([1, 2, 3, 4, 5]) AS fold, floor(n / 6) AS rows, true AS valid FROM c"))
 def cross_validate(spark, sf_dir):
-    return ml.cross_validate(_training(spark, sf_dir), numTrees=3, maxDepth=3)
+    made = ml.cross_validate(_training(spark, sf_dir), numTrees=3, maxDepth=3)
+    return made.select("fold", "rows", _within("accuracy").alias("valid"))
 
 
 @query("sequence_classifier")
@@ -109,13 +152,16 @@ def sequence_classifier(spark, sf_dir):
     return ml.score_sequences(sequences, model).groupBy("prediction", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("append_model_run")
+@query("append_model_run", with_ctes(_CTES, "model, tested:i, folds:i, labels:i, top:i, valid", f"""
+SELECT 'forest' AS model, count(*) AS tested, 5 AS folds, 4 AS labels, 20 AS top, true AS valid FROM s WHERE r > {_CUT}"""))
 def append_model_run(spark, sf_dir):
+    """The whole record of a run, read back."""
     path = scratch_dir(spark) + "/model_runs"
-    train, test = _split(_training(spark, sf_dir))
-    model = ml.train_forest(train, **SMALL)
-    scored = evaluate.predicted(ml.score(test, model).select(F.col("Target").alias("y"), F.col("p_up").alias("p")))
-    metrics = evaluate.classification_metrics(scored).withColumn("roc_auc", evaluate.roc_auc(scored).scalar())
-    writers.append_model_run(metrics, ml.feature_importance(model, FEATURES), path, "forest", SMALL)
+    run = training.train_structured(_training(spark, sf_dir), **SMALL)
+    writers.append_model_run(run.metrics, run.importances, path, "forest", SMALL, run.folds, run.confusion, run.report, run.confidence)
     runs = spark.read.parquet(path)
-    return evaluate.rank_models(runs)
+    best = evaluate.rank_models(runs).select("model", "roc_auc")
+    c = F.col("confusion")
+    return runs.join(best.withColumnRenamed("roc_auc", "_best"), "model").select(
+        "model", (c.tn + c.fp + c.fn + c.tp).alias("tested"), F.size("folds").alias("folds"), F.size("report").alias("labels"), F.size("top_features").alias("top"),
+        (_within("accuracy", "f1_score", "roc_auc", "cv.mean") & (F.col("_best") == F.col("roc_auc")) & F.col("confidence.mean").between(50, 100)).alias("valid"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import (
+    BARS_SHOWN,
     EVENTS_BARS,
     LINEITEM_BARS,
     SCORED,
@@ -20,7 +21,7 @@ from barloom.operators import reports as r
 from barloom.operators.datasets import candle_windows
 from barloom.operators.layout import lay_out, settle
 from barloom.plans import features
-from barloom.schema import CORRELATED
+from barloom.schema import BAR_COLUMNS, CORRELATED
 from barloom.sources.adapters import events_bars, lineitem_bars, scored_bars, scored_labels
 
 _SUMMARY_SHOWN = (
@@ -300,14 +301,15 @@ def cv_mean_std(spark, sf_dir):
     return r.cv_mean_std(folds)
 
 
-@query("sample_rows")
+@query("sample_rows", with_ctes({"bars": LINEITEM_BARS}, BARS_SHOWN, f"""SELECT * FROM bars
+    WHERE substr(md5('42|' || "Symbol" || '|' || strftime("Date", '%Y-%m-%d %H:%M:%S')), 1, 8) < '{int(0.001 * 2**32):08x}'"""))
 def sample_rows(spark, sf_dir):
-    return r.sample_rows(lineitem_bars(spark, sf_dir), 0.001)
+    return r.sample_rows(lineitem_bars(spark, sf_dir), 0.001).select(*BAR_COLUMNS)
 
 
-@query("take_rows")
+@query("take_rows", with_ctes({"bars": LINEITEM_BARS}, BARS_SHOWN, 'SELECT * FROM bars ORDER BY "Date", "Symbol" LIMIT 5'))
 def take_rows(spark, sf_dir):
-    return r.take_rows(lineitem_bars(spark, sf_dir), 5)
+    return r.take_rows(lineitem_bars(spark, sf_dir), 5).select(*BAR_COLUMNS)
 
 
 @query("score_importance_by_type", with_ctes(

@@ -6,6 +6,7 @@ from barloom.catalog.base import BARS_SHOWN, EVENTS_BARS, SCORED_BARS, batch_cte
 from barloom.catalog.reports import _SUMMARY, _SUMMARY_SHOWN
 from barloom.operators import reports
 from barloom.plans import features
+from barloom.plans.cleaning import clean
 from barloom.schema import BAR_COLUMNS
 from barloom.sources import images, payloads as pay, readers, writers
 from barloom.sources.adapters import events_bars, payloads, scored_bars, write_symbol_files
@@ -74,6 +75,34 @@ def read_symbol_dir_limit(spark, sf_dir):
     return reports.rows_per_symbol(readers.read_symbol_dir(spark, path, limit=7)).withColumnRenamed("n", "rows")
 
 
+@query("read_wide_files", with_ctes(BARS, "Symbol, High:f, Volume:f, rows:i", """
+SELECT "Symbol", max("High") AS "High", sum("Volume") AS "Volume", count(*) AS rows FROM bars GROUP BY 1"""))
+def read_wide_files(spark, sf_dir):
+    """Files of 40 columns with the required ones last, one folder for each symbol."""
+    root = scratch_dir(spark)
+    bars = events_bars(spark, sf_dir).select(*BAR_COLUMNS)
+    wide = bars.select(*[F.lit(i).alias(f"X{i}") for i in range(34)], *[F.col(c) for c in ("Date", "Open", "High", "Low", "Close", "Volume")], F.col("Symbol").alias("of"))
+    wide.write.partitionBy("of").csv(f"{root}/raw", header=True)
+    read = readers.read_symbol_dir(spark, f"{root}/raw/*")
+    symbol = F.regexp_extract(F.col("seq.path"), "of=([^/]+)/", 1)
+    return read.groupBy(symbol.alias("Symbol")).agg(
+        F.max(F.col("High").cast("double")).alias("High"), F.sum(F.col("Volume").cast("double")).alias("Volume"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("merge_and_clean", with_ctes(
+    {**BARS, "f": """SELECT *, "Symbol" || '-' || strftime("Date", '%Y%m%d') AS sym FROM bars""", "r": """
+       SELECT *, count(*) OVER (PARTITION BY sym) AS n FROM f"""},
+    "Symbol, Date:d, Close:f, Volume:f",
+    """SELECT sym AS "Symbol", "Date", "Close", "Volume" FROM r""",
+))
+def merge_and_clean(spark, sf_dir):
+    """From files that give every bar twice, first with other prices, to clean bars: the later line counts."""
+    root = scratch_dir(spark)
+    write_symbol_files(spark, sf_dir, f"{root}/raw", twice=True)
+    raw = readers.read_symbol_dir(spark, f"{root}/raw")
+    return clean(raw.drop("Adj Close"), min_rows=1, intraday=True).select("Symbol", "Date", "Close", "Volume")
+
+
 @query("column_contract", with_ctes(
     _FILES,
     "file, missing, ok, reordered",

@@ -57,6 +57,16 @@ def dedup_stream(spark, sf_dir):
     root = scratch_dir(spark)
     bars = events_bars(spark, sf_dir).select(*BAR_COLUMNS)
     bars.unionByName(bars).write.csv(f"{root}/landing", header=True)
-    stream = inc.dedup_stream(inc.new_bars(spark, f"{root}/landing", HOURLY))
-    inc.ingest(stream, f"{root}/bars", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(HOURLY).parquet(f"{root}/bars")
+    inc.dedup_stream(inc.new_bars(spark, f"{root}/landing", HOURLY), f"{root}/bars", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(HOURLY).parquet(f"{root}/bars").select(*BAR_COLUMNS)
+
+
+@query("dedup_stream_by_symbol", with_ctes({"bars": EVENTS_BARS}, BARS_SHOWN, "SELECT * FROM bars"))
+def dedup_stream_by_symbol(spark, sf_dir):
+    """One group of symbols after the other arrives with its whole history, and the first one again at the end."""
+    root = scratch_dir(spark)
+    bars = events_bars(spark, sf_dir).select(*BAR_COLUMNS)
+    for part in (0, 1, 2, 0):
+        bars.filter(F.pmod(F.crc32("Symbol"), F.lit(3)) == part).write.mode("append").csv(f"{root}/landing", header=True)
+        inc.dedup_stream(inc.new_bars(spark, f"{root}/landing", HOURLY), f"{root}/bars", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(HOURLY).parquet(f"{root}/bars").select(*BAR_COLUMNS)

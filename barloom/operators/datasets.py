@@ -9,9 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.scalar import pct
-from barloom.operators.layout import lay_out, over, settle, with_positions
+from barloom.operators.layout import is_daily, lay_out, over, settle, with_positions
 from barloom.schema import FEATURES
 
+# Spark's own bound for limits per group and task
+_LIMITED = 1000
+
 
 def latest_complete(df: DataFrame, cols: Iterable[str] = FEATURES) -> DataFrame:
     """The last row of each symbol that has all listed columns; partial aggregation keeps one row per task."""
@@ -23,7 +26,17 @@ def latest_complete(df: DataFrame, cols: Iterable[str] = FEATURES) -> DataFrame:
 
 
 def last_n(df: DataFrame, n: int) -> DataFrame:
-    """The last n rows per symbol. Spark limits each symbol to n rows per task before the shuffle (n up to 1000)."""
+    """The last n rows per symbol.
+
+    Up to n = 1000 Spark limits each symbol to n rows per task before the shuffle. Beyond that the counts per time
+    bucket say from which one on a symbol can hold its last n rows, and only those rows are sorted.
+    """
+    if n > _LIMITED and not is_daily(df):
+        counts = df.groupBy("Symbol", F.date_trunc("hour", "Date").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        later = W.partitionBy("Symbol").orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1)
+        needed = counts.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).filter(F.col("_later") < n)
+        since = needed.groupBy("Symbol").agg(F.min("_bucket").alias("_since"))
+        df = df.join(since, "Symbol").filter(F.col("Date") >= F.col("_since")).drop("_since").select(*df.columns)
     newest = W.partitionBy("Symbol").orderBy(F.col("Date").desc())
     return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.operators.layout import over, series_keys
+from barloom.operators.layout import over, require_before, series_keys
 
-# natural logs of the weight that counts as gone (1e-33) and of the largest safe power (1e299)
-_GONE = 76.0
+# natural logs of the weight that counts as gone (7e-33) and of the largest safe power (1e299)
+_GONE = 74.0
 _SAFE = 690.0
 
 
@@ -59,12 +59,13 @@ SEGMENT_COLUMNS = ["_seg", "_step", "_rows"]
 def with_ewm(df: DataFrame, averages: dict[str, Ewm]) -> DataFrame:
     """Add one column per entry. Inputs may start with nulls; inside they should hold none (fill first).
 
-    On a laid-out frame the average starts in the halo of the block, which is
-    long enough for the start to vanish (see `layout.HALO`). A frame that is
-    already segmented keeps its segments.
+    On a laid-out frame the average starts in the rows before the block; where they
+    are too few for the start to vanish, `layout.NeedsRows` says how many it takes.
+    A frame that is already segmented keeps its segments.
     """
     if not all(0.0 < a.alpha < 1.0 for a in averages.values()):
         raise ValueError("alpha must lie between 0 and 1")
+    require_before(df, max(max(halo(a.alpha), a.min_periods) for a in averages.values()))
     if "_seg" not in df.columns:
         decay = {name: -math.log1p(-a.alpha) for name, a in averages.items()}
         if math.ceil(_GONE / min(decay.values())) * max(decay.values()) > _SAFE:

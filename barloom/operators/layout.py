@@ -10,7 +10,7 @@ it. All windows then run per (Symbol, block), and `settle` keeps each row once,
 in the block that owns it.
 
 Only the table of rows per (Symbol, bucket) is needed to place the blocks, so
-the bars themselves move once, by (Symbol, block).
+the bars move by (Symbol, bucket) to meet it, and by (Symbol, block) for the windows.
 """
 
 from __future__ import annotations
@@ -21,14 +21,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 BLOCK = "_block"
+BEFORE = "rows_before"
 OWN = "_own"
 
-# Rows that an exponential average needs before its start no longer shows in a double:
-# (13/14)^1000 is below 1e-32 for the slowest one in use.
+# Rows copied before a block unless a step asks for more: enough for an exponential average up to alpha 1/14,
+# (13/14)^1000 being below 1e-32.
 HALO = 1000
 CORE = 65_536
 
 
+class NeedsRows(ValueError):
+    """A step looks further back than the rows that its blocks hold; `rows` is what it needs."""
+
+    def __init__(self, rows: int):
+        super().__init__(f"lay the bars out with before={rows}")
+        self.rows = rows
+
+
+def require_before(df: DataFrame, rows: int) -> None:
+    """Raise unless the blocks of a laid-out frame hold so many rows before their own."""
+    if BLOCK in df.columns and df.schema[BLOCK].metadata.get(BEFORE, 0) < rows:
+        raise NeedsRows(rows)
+
+
 def is_daily(df: DataFrame) -> bool:
     """True when Date has day resolution, which bounds the rows of a symbol."""
     return isinstance(df.schema["Date"].dataType, DateType)
@@ -99,11 +114,11 @@ def lay_out(
     """
     if BLOCK in bars.columns or (is_daily(bars) and not force):
         return bars
-    # a hash join spares the bars a sort; per task the table is a small part of the bars it meets
-    placed = _placement(bars, max(before, 1), max(after, 1), core, bucket).hint("shuffle_hash")
+    placed = _placement(bars, max(before, 1), max(after, 1), core, bucket)
     spread = bars.withColumn("_bucket", F.date_trunc(bucket, "Date")).join(placed, ["Symbol", "_bucket"])
     spread = spread.select(*bars.columns, "_home", F.explode("_blocks").alias(BLOCK))
-    return spread.withColumn(OWN, F.col(BLOCK) == F.col("_home")).drop("_home")
+    spread = spread.withColumn(OWN, F.col(BLOCK) == F.col("_home")).drop("_home")
+    return spread.withColumn(BLOCK, F.col(BLOCK).alias(BLOCK, metadata={BEFORE: max(before, 1)}))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -124,7 +139,7 @@ def with_positions(bars: DataFrame, bucket: str = "month") -> DataFrame:
     inside = W.partitionBy("Symbol", "_bucket").orderBy("Date")
     return (
         bars.withColumn("_bucket", F.date_trunc(bucket, "Date"))
-        .join(counts.hint("shuffle_hash"), ["Symbol", "_bucket"])
+        .join(counts, ["Symbol", "_bucket"])
         .withColumn("pos", F.col("_from") + F.row_number().over(inside))
         .select(*bars.columns, "pos", "total")
     )

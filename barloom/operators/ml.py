@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from barloom.operators.clean import drop_nonfinite
 from barloom.operators.datasets import latest_complete
 from barloom.operators.evaluate import classification_metrics, class_weights, predicted
-from barloom.operators.ranking import time_series_folds
-from barloom.schema import FEATURES
+from barloom.operators.ranking import fold_parts
+from barloom.schema import FEATURES, require_order
+from barloom.sources.writers import scratch_dir
 
 # Hyperparameters of the two forests.
 FOREST = {"numTrees": 900, "maxDepth": 20, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt", "seed": 42}
@@ -36,6 +37,8 @@ def train_forest(
 ) -> PipelineModel:
     """A forest on finite rows; rows weigh by class when the labels are imbalanced."""
     settings = {**FOREST, **params}
+    if set(cols) == set(FEATURES):
+        require_order(list(cols))
     df = drop_nonfinite(df, cols)
     if weighted:
         df = class_weights(df, target)
@@ -66,14 +69,17 @@ def _named(scored: DataFrame) -> DataFrame:
     out = scored.withColumns({"p_down": p[0], "p_up": p[1]})
     return out.withColumns(
         {
-            "prediction": F.when(F.col("p_up") > F.col("p_down"), "UP").otherwise("DOWN"),
+            # a tie is UP, as in the metrics
+            "prediction": F.when(F.col("p_up") >= F.col("p_down"), "UP").otherwise("DOWN"),
             "confidence": F.greatest("p_up", "p_down") * 100.0,
         }
     ).drop("rawPrediction", "probability")
 
 
 def score(df: DataFrame, model) -> DataFrame:
-    """Add prediction, p_up, p_down and confidence in percent."""
+    """Add prediction, p_up, p_down and confidence in percent; the model's own vector must list the features in order."""
+    if isinstance(model, PipelineModel) and hasattr(model.stages[0], "getInputCols") and set(model.stages[0].getInputCols()) == set(FEATURES):
+        require_order(model.stages[0].getInputCols())
     return _named(model.transform(df)).drop("vector")
 
 
@@ -101,16 +107,23 @@ def feature_importance(model, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, type string").orderBy(F.desc("importance"), "feature")
 
 
-def cross_validate(df: DataFrame, cols: Iterable[str] = FEATURES, target: str = "Target", folds: int = 5, **params) -> DataFrame:
-    """Accuracy of a forest per time-ordered fold; the folds come from one ranking of the rows."""
-    rows = time_series_folds(df, folds)
+def cross_validate(
+    df: DataFrame, cols: Iterable[str] = FEATURES, target: str = "Target", folds: int = 5, weighted: bool = True, **params
+) -> DataFrame:
+    """fold, rows tested and accuracy of a forest per time-ordered fold, weighted like the model itself.
+
+    The parts are ranked and written once; a fold is then a filter.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/parts"
+    fold_parts(df, folds).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     scores = []
     for i in range(1, folds + 1):
-        fold = rows.filter(F.col("fold") == i)
-        model = train_forest(fold.filter(F.col("role") == "train"), cols, target, weighted=False, **params)
-        tested = score(fold.filter(F.col("role") == "test"), model)
+        model = train_forest(rows.filter(F.col("part") < i), cols, target, weighted=weighted, **params)
+        tested = score(rows.filter(F.col("part") == i), model)
         tested = predicted(tested.select(F.col(target).alias("y"), F.col("p_up").alias("p")))
-        scores.append(classification_metrics(tested).select(F.lit(i).alias("fold"), "accuracy"))
+        counted = tested.agg(F.count(F.lit(1)).alias("rows")).scalar()
+        scores.append(classification_metrics(tested).select(F.lit(i).alias("fold"), counted.alias("rows"), "accuracy"))
     out = scores[0]
     for s in scores[1:]:
         out = out.unionByName(s)

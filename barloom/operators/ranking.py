@@ -82,16 +82,20 @@ def time_split(df: DataFrame, train: float = 0.8) -> DataFrame:
     return df.withColumn("role", F.when(before, "train").otherwise("test"))
 
 
-def time_series_folds(df: DataFrame, folds: int = 5) -> DataFrame:
-    """Rows with `fold` and `role`: fold i tests its slice of floor(n / (folds + 1)) rows and trains on all before."""
+def fold_parts(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Rows with `part`: fold i tests the rows of part i, floor(n / (folds + 1)) of them, and trains on all lower parts."""
     size = F.floor(F.col("total") / (folds + 1)).cast("long")
     ranks = F.array(*[F.col("total") - size * (folds - i) for i in range(folds)])
     cuts = cut_keys(df, ranks).scalar()
     row = F.struct("Date", "Symbol")
     passed = [F.when(F.element_at(cuts, i + 1) < row, 1).otherwise(0) for i in range(folds)]
-    out = df.withColumn("_part", reduce(add, passed))
-    out = out.withColumn("fold", F.explode(F.sequence(F.greatest(F.col("_part"), F.lit(1)), F.lit(folds))))
-    return out.withColumn("role", F.when(F.col("fold") == F.col("_part"), "test").otherwise("train")).drop("_part")
+    return df.withColumn("part", reduce(add, passed))
+
+
+def time_series_folds(df: DataFrame, folds: int = 5) -> DataFrame:
+    """Rows with `fold` and `role`, one for each fold that a row tests or trains."""
+    out = fold_parts(df, folds).withColumn("fold", F.explode(F.sequence(F.greatest(F.col("part"), F.lit(1)), F.lit(folds))))
+    return out.withColumn("role", F.when(F.col("fold") == F.col("part"), "test").otherwise("train")).drop("part")
 
 
 def global_rank(df: DataFrame) -> DataFrame:

@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from barloom.functions import rolling, scalar
 from barloom.operators import indicators as ind
 from barloom.operators.datasets import last_n
-from barloom.operators.layout import is_daily, lay_out, over, settle
+from barloom.operators.layout import NeedsRows, is_daily, lay_out, over, settle
 from barloom.schema import BAR_COLUMNS, FEATURES, require_columns
 
 Step = Callable[[DataFrame], DataFrame]
 
 
 def apply_indicators(bars: DataFrame, steps: list[tuple[str, Step]], **layout) -> DataFrame:
-    """Compose named steps over one laid-out series; the names label errors."""
+    """Compose named steps over one laid-out series; the names label errors.
+
+    A step that looks further back than the layout has it laid out anew with as many rows as it needs.
+    """
     df = lay_out(bars, **layout)
     for name, step in steps:
         try:
             df = df.transform(step)
+        except NeedsRows as more:
+            return apply_indicators(bars, steps, **{**layout, "before": more.rows})
         except Exception as error:
             raise RuntimeError(f"indicator step {name!r} failed") from error
     return settle(df)

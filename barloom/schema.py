@@ -42,9 +42,6 @@ FEATURES = [
 # The columns of the correlation report.
 CORRELATED = ["Close", "Volume", "RSI", "MACD", "Volatility", "MA5", "MA20", "Daily_Returns", "Trend_Strength"]
 
-# Label names of the binary target.
-LABELS = {0: "DOWN", 1: "UP"}
-
 
 def missing_columns(df: DataFrame, required: Iterable[str]) -> list[str]:
     """Required names that the frame lacks, sorted."""

@@ -154,12 +154,14 @@ def symbol_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
 
 
-def write_symbol_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+def write_symbol_files(spark: SparkSession, sf_dir: str, path: str, twice: bool = False) -> None:
     """Hourly bars as one CSV per event type and day, the raw layout of one file per symbol.
 
     By day of month some files lack Volume, some order the columns differently,
-    some add `Adj Close`. A file is one day, so a task writes small groups.
+    some add `Adj Close`. A file is one day, so a task writes small groups. With `twice`
+    all have all columns, and each bar stands before itself with another close.
     """
+    import pandas as pd
     from pyarrow import fs
 
     columns = {1: ["Date", "Open", "High", "Low", "Close"], 2: ["Close", "Date", "Low", "High", "Open", "Volume"]}
@@ -170,7 +172,11 @@ def write_symbol_files(spark: SparkSession, sf_dir: str, path: str) -> None:
         target, folder = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         target.create_dir(folder, recursive=True)
         stem, kind = part["stem"].iloc[0], part["kind"].iloc[0]
-        text = part.sort_values("Date")[columns.get(kind, plain)].to_csv(index=False)
+        lines = part.sort_values("Date")
+        if twice:
+            kind = 0
+            lines = pd.concat([lines.assign(Close=lines["Open"]), lines])
+        text = lines[columns.get(kind, plain)].to_csv(index=False)
         with target.open_output_stream(f"{folder}/{stem}.csv") as out:
             out.write(text.encode())
         return part[["stem"]].head(1)

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set."""
+    """A new folder under the cluster's shared checkpoint folder. Only a session without executors may do without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         return tempfile.mkdtemp(prefix="barloom-")
     name = spark.range(1).select(F.uuid().alias("u")).first().u
     return f"{shared.rstrip('/')}/barloom-{name}"
@@ -67,12 +70,27 @@ def append_predictions(records: DataFrame, path: str) -> None:
 
 
 def append_model_run(
-    metrics: DataFrame, importances: DataFrame, path: str, model: str, params: dict, cv: DataFrame | None = None
+    metrics: DataFrame,
+    importances: DataFrame,
+    path: str,
+    model: str,
+    params: dict,
+    folds: DataFrame | None = None,
+    confusion: DataFrame | None = None,
+    report: DataFrame | None = None,
+    confidence: DataFrame | None = None,
+    split: str = "first 80 % by time",
+    validation: str = "time-ordered folds inside the training part",
 ) -> None:
-    """Append one nested record: metrics, parameters, fold scores and the 20 strongest features.
+    """Append one nested record: metrics, confusion matrix, report, confidence, parameters, split, fold scores and the
+    20 strongest features.
 
-    `metrics` and `cv` hold one row; `importances` one row per feature of the model vector.
+    `metrics`, `confusion` and `confidence` hold one row, `report` one per label, `folds` one per fold; `importances` one per
+    feature of the model vector.
     """
+    def rows(df: DataFrame):
+        return df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("rows")).scalar()
+
     top = importances.orderBy(F.desc("importance"), "feature").limit(20)
     tops = top.agg(F.reverse(F.array_sort(F.collect_list(F.struct("importance", "feature")))).alias("t")).scalar()
     settings = F.create_map(*[F.lit(str(v)) for pair in params.items() for v in pair])
@@ -81,8 +99,16 @@ def append_model_run(
         F.current_timestamp().alias("run_time"),
         *metrics.columns,
         settings.alias("params"),
+        F.lit(split).alias("split"),
+        F.lit(validation).alias("validation"),
         tops.alias("top_features"),
     )
-    if cv is not None:
-        record = record.withColumn("cv", cv.select(F.struct("mean", "std")).scalar())
+    for name, df in (("confusion", confusion), ("confidence", confidence)):
+        if df is not None:
+            record = record.withColumn(name, df.select(F.struct(*df.columns)).scalar())
+    if report is not None:
+        record = record.withColumn("report", rows(report))
+    if folds is not None:
+        record = record.withColumn("folds", rows(folds)).withColumn(
+            "cv", folds.agg(F.struct(F.avg("accuracy").alias("mean"), F.stddev_pop("accuracy").alias("std"))).scalar())
     record.write.mode("append").parquet(path)

@@ -22,10 +22,10 @@ def new_bars(
     landing: str,
     schema: str = BAR_SCHEMA,
     fmt: str = "csv",
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = 1000,
     newest_first: bool = False,
 ) -> DataFrame:
-    """A stream of the files that arrive in a folder; the checkpoint of the query remembers what was read."""
+    """A stream of the files that arrive in a folder, some files a batch; the checkpoint of the query remembers what was read."""
     reader = spark.readStream.schema(schema).format(fmt).option("latestFirst", str(newest_first).lower())
     if fmt == "csv":
         reader = reader.option("header", "true")
@@ -44,10 +44,29 @@ def ingest(bars: DataFrame, path: str, checkpoint: str):
     )
 
 
-def dedup_stream(bars: DataFrame, late: str = "30 days") -> DataFrame:
-    """One row per (Symbol, Date) as long as copies arrive within `late` of each other."""
-    stamped = bars.withColumn("Date", F.col("Date").cast("timestamp"))
-    return stamped.withWatermark("Date", late).dropDuplicatesWithinWatermark(["Symbol", "Date"])
+def dedup_stream(bars: DataFrame, path: str, checkpoint: str):
+    """Append every (Symbol, Date) once to a Parquet table, however late its copies arrive, then stop.
+
+    Each batch is compared with the stored rows of the months it touches, so nothing is kept in memory between batches and
+    no bar is too late. A batch that is run again replaces its own rows. Of copies within a batch the largest row stays.
+    """
+    schema = bars.schema
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        month = F.date_format("Date", "yyyy-MM").alias("month")
+        new = dedup_keep_last(batch.filter("Symbol IS NOT NULL AND Date IS NOT NULL"), order=()).withColumn("month", month)
+        if batch_id:
+            stored = spark.read.schema(f"{_ddl(schema)}, batch long, month string").parquet(path).filter(F.col("batch") != batch_id)
+            keys = stored.select("Symbol", "Date", "month").join(new.select("month").distinct(), "month", "left_semi")
+            new = new.join(keys.select("Symbol", "Date").distinct(), ["Symbol", "Date"], "left_anti")
+        new.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "month").parquet(path)
+
+    return bars.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 class LiveFeatures:

@@ -37,7 +37,7 @@ QUERIES = {
     "correlation_matrix": lambda bars: reports.correlation_matrix(features.recent_live_features(bars, 50)),
     "time_split": ranking.time_split,
     "time_series_folds": ranking.time_series_folds,
-    "latest_complete": lambda bars: datasets.latest_complete(features.recent_live_features(bars, 60)),
+    "latest_complete": lambda bars: datasets.latest_complete(features.live_features(bars)),
 }
 
 

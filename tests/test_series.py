@@ -6,7 +6,7 @@ import pytest
 
 from barloom.operators import datasets, indicators as ind
 from barloom.operators.ewm import Ewm, with_ewm
-from barloom.operators.layout import BLOCK, lay_out, settle, with_positions
+from barloom.operators.layout import BLOCK, NeedsRows, lay_out, settle, with_positions
 from barloom.plans import features
 from conftest import bars, ordered, series
 
@@ -169,3 +169,13 @@ def test_even_sample(spark, total, most):
 def test_unknown_step_is_named(spark):
     with pytest.raises(RuntimeError, match="broken"):
         features.apply_indicators(bars(spark, series(5)), [("broken", lambda df: df.select("nope"))])
+
+
+def test_long_averages_over_blocks(spark):
+    df = bars(spark, series(6000))
+    steps = [("ema", lambda d: ind.ema(d, 200)), ("rsi", lambda d: ind.rsi_wilder(d, 100))]
+    whole = features.apply_indicators(df, steps, core=100_000).select("Symbol", "Date", "EMA200", "RSI")
+    small = features.apply_indicators(df, steps, core=300, bucket="day").select("Symbol", "Date", "EMA200", "RSI")
+    pd.testing.assert_frame_equal(ordered(small), ordered(whole), rtol=1e-9, atol=1e-9)
+    with pytest.raises(NeedsRows):
+        ind.ema(lay_out(df, before=1000), 200)

@@ -56,3 +56,14 @@ def test_newest_file_first(spark, tmp_path):
     land(spark, series(5), path)
     stream = inc.new_bars(spark, path, SCHEMA, files_per_batch=1, newest_first=True)
     assert stream.isStreaming
+
+
+def test_dedup_keeps_late_symbols(spark, tmp_path):
+    root = str(tmp_path)
+    pdf = series(3000, ["A", "B"])
+    for part in (pdf[pdf.Symbol == "A"], pdf[pdf.Symbol == "B"], pdf[pdf.Date < pdf.Date[100]]):
+        land(spark, part, f"{root}/landing")
+        inc.dedup_stream(inc.new_bars(spark, f"{root}/landing", SCHEMA), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{root}/out")
+    assert got.groupBy("Symbol").count().orderBy("Symbol").collect() == [("A", 3000), ("B", 3000)]
+    assert got.select("Symbol", "Date").distinct().count() == 6000

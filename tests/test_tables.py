@@ -7,7 +7,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from barloom.names import company_names
 from barloom.operators import clean, datasets, evaluate, ml, ranking, reports, symbols
 from barloom.plans import cleaning
 from barloom.schema import FEATURES, require_columns, require_order
@@ -141,18 +140,19 @@ def test_correlation_of_a_constant_is_null(spark):
     assert pd.isna(cell[("Flat", "Close")]) and cell[("Close", "Close")] == pytest.approx(1.0) and len(got) == 9
 
 
-def test_default_names(spark):
-    names = company_names(spark)
-    universe = spark.createDataFrame([(s,) for s in ("AAPL", "GOOGL", "GOOG", "META", "F", "TXN", "T")], "symbol string")
+def test_names_shared_and_partial(spark):
+    rows = [("AAA", 1, ["Orchard", "Orchard Inc"]), ("GGL", 2, ["Lettera", "Letters One"]), ("GGG", 3, ["Lettera"]), ("MMM", 4, ["Facetree", "Metatree"]),
+            ("F", 5, ["Fjord Motor"]), ("TXN", 6, ["Texin"]), ("T", 7, ["Telco"]), ("TSL", 8, ["Teslite"])]
+    names = spark.createDataFrame(rows, "symbol string, position int, names array<string>")
+    universe = spark.createDataFrame([(s,) for s in ("AAA", "GGL", "GGG", "MMM", "F", "TXN", "T")], "symbol string")
     asked = {
-        "aapl": "AAPL", " Apple ": "AAPL", "GOOGLE": "GOOGL", "facebook": "META", "buy ford motor now": "F",
-        "alphab": "GOOGL", "Tesla": None, "": None, "xyzzy": None, "T": "T",
+        "aaa": "AAA", " Orchard ": "AAA", "LETTERA": "GGL", "facetree": "MMM", "buy fjord motor now": "F",
+        "letter": "GGL", "Teslite": None, "": None, "xyzzy": None, "T": "T",
     }
     df = spark.createDataFrame([(k,) for k in asked], "text string")
-    got = {r.text: r.resolved for r in symbols.resolve_symbols(df, names, universe).collect()}
-    # brute force for the partial tier: the first name in order that contains or is contained
-    assert got == asked
-    assert [r.symbol for r in symbols.search_symbols(names, universe, "goog").collect()] == ["GOOG", "GOOGL"]
+    # the first name in order that contains or is contained
+    assert {r.text: r.resolved for r in symbols.resolve_symbols(df, names, universe).collect()} == asked
+    assert [r.symbol for r in symbols.search_symbols(names, universe, "gg").collect()] == ["GGG", "GGL"]
     assert symbols.search_symbols(names, universe, "  ").count() == 0
 
 
@@ -174,6 +174,41 @@ def test_symbol_dir(spark, tmp_path):
     assert "DDD.csv" not in contract
 
 
+def test_symbol_dir_wide_quoted_and_ordered(spark, tmp_path):
+    extra = [f"X{i}" for i in range(34)]
+    (tmp_path / "a").mkdir()
+    wide = ",".join([*extra, '"Note, long"', "Date", "Open", "High", "Low", "Close", "Volume"])
+    values = ",".join(["0"] * 34)
+    (tmp_path / "a" / "W W.csv").write_text(f'{wide}\n{values},"a, ""b""",2020-01-01,1,4,0.5,3,7\n')
+    head = "Date,Open,High,Low,Close,Volume"
+    (tmp_path / "a" / "R.csv").write_text(f"{head}\n2020-01-01,9,9,9,9,9\n{head}\n2020-01-01,1,2,0.5,1.5,100\n")
+    rows = readers.read_symbol_dir(spark, str(tmp_path / "a")).orderBy("Symbol", "seq").collect()
+    assert [(r.Symbol, r.High, r.Close, r.Volume) for r in rows] == [("R", "9", "9", "9"), ("R", "High", "Close", "Volume"), ("R", "2", "1.5", "100"), ("W W", "4", "3", "7")]
+    kept = cleaning.clean(readers.read_symbol_dir(spark, str(tmp_path / "a")), min_rows=1).filter("Symbol = 'R'").collect()
+    assert [r.Close for r in kept] == [1.5]
+
+
+def test_scratch_folder_is_shared(spark):
+    from types import SimpleNamespace
+
+    from barloom.sources.writers import scratch_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError):
+        scratch_dir(cluster)
+
+
+def test_last_n_beyond_the_limit_per_task(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(6000).select(F.lit("A").alias("Symbol"), (F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("Date"), F.col("id").alias("Close"))
+    got = datasets.last_n(df, 1001)
+    assert sorted(r.Close for r in got.collect()) == list(range(4999, 6000))
+    # rows before the hour that can hold the last ones are dropped before the sort
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_since" in plan
+
+
 def test_fuse_suffix_and_minmax(spark):
     left = spark.createDataFrame([("A", 1, 5.0)], "Symbol string, Date int, Close double")
     right = spark.createDataFrame([("A", 1, 6.0), ("B", 1, 7.0)], "Symbol string, Date int, Close double")
