@@ -1,8 +1,8 @@
 """Licence scan: windows of normalised words against licence templates by the Dice coefficient of their word bigrams.
 
-A text is read as words of letters and digits without case. Bigrams that a text shares with a template say where the
-template would have to begin; the windows that enough bigrams agree on are compared as sets of bigrams. A template is
-passed over where sizes alone rule the similarity out: a text of too few words for it, or a begin with too few shared bigrams.
+A text is read as words of letters and digits without case. Every window of a template's length (shorter at the text's end)
+is compared with it as sets of bigrams. A template is passed over for a text only where sizes rule the similarity out: the whole
+text holds too few of its bigrams. Elsewhere running sums give the coefficient of all windows in time linear in the text.
 
 Defined cases: null and empty texts hold no licence; of windows of one licence that overlap the best counts, the first of equal
 ones; equal rows each give their rows; a null doc_id is kept; other columns are not read; an empty table gives no rows.
@@ -10,6 +10,7 @@ ones; equal rows each give their rows; a null doc_id is kept; other columns are
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,18 +70,43 @@ def bigrams(words: np.ndarray) -> np.ndarray:
     return ngrams(words, np.array([0, len(words)]), 2)[0]
 
 
+def previous(values: np.ndarray) -> np.ndarray:
+    """The place of the same value before each place, or -1."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1, dtype=np.int64)
+    same = np.flatnonzero(values[order[1:]] == values[order[:-1]])
+    out[order[same + 1]] = order[same]
+    return out
+
+
+class Apart:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Take the span in unless it overlaps one that is here."""
+        k = bisect.bisect_right(self.ends, start)
+        if k < len(self.starts) and self.starts[k] < end:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 @dataclass
 class Templates:
-    """The bigrams of all templates and where they stand."""
+    """The bigrams of all templates."""
 
     names: list[str]
     words: list[int]
     sets: list[np.ndarray]
     vocabulary: Vocabulary
-    # of each known bigram: its (template, place) pairs as one run
+    # of each known bigram: the templates that hold it, as one run
     first: np.ndarray
     template: np.ndarray
-    place: np.ndarray
     dice: float
 
     @staticmethod
@@ -89,60 +115,65 @@ class Templates:
         lists = [hashes[a:b] for a, b in zip(at[:-1], at[1:])]
         if min(map(len, lists), default=2) < 2:
             raise ValueError("a template needs two words")
-        grams = [bigrams(w) for w in lists]
-        key = np.concatenate(grams)
-        which = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams])
-        order = np.lexsort((place, which, key))
+        sets = [np.unique(bigrams(w)) for w in lists]
+        key = np.concatenate(sets)
+        which = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+        order = np.lexsort((which, key))
         known = Vocabulary(key)
-        return Templates([n for n, _ in templates], [len(w) for w in lists], [np.unique(g) for g in grams], known,
-                         np.append(np.searchsorted(key[order], known.keys), len(key)), which[order], place[order], dice)
+        return Templates([n for n, _ in templates], [len(w) for w in lists], sets, known,
+                         np.append(np.searchsorted(key[order], known.keys), len(key)), which[order], dice)
+
+    def near(self, gram: np.ndarray, at: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """(text, template) wherever the text holds as many of the template's bigrams as the least Dice needs."""
+        hit, which = self.vocabulary.find(gram)
+        own = np.unique(owner(first, int(first[-1]))[at[hit]] * len(self.vocabulary.keys) + which)
+        text, which = np.divmod(own, max(len(self.vocabulary.keys), 1))
+        count = self.first[which + 1] - self.first[which]
+        entry = np.repeat(self.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        key, held = np.unique(np.repeat(text, count) * len(self.sets) + self.template[entry], return_counts=True)
+        # Dice is 2 * shared / (sum of sizes), and no window holds fewer bigrams than it shares
+        least = self.dice / (2 - self.dice) * np.array([len(s) for s in self.sets])
+        return [divmod(k, len(self.sets)) for k in key[held >= least[key % len(self.sets)] - 1e-9].tolist()]
+
+    def windows(self, gram: np.ndarray, before: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, Dice) of every window of a text that is like template t; before: the place of the same bigram before, or -1."""
+        size, place = self.words[t] - 1, np.arange(len(gram))
+        # a window's first of each bigram counts: the one at p does where the window begins after its last copy and reaches p
+        low = np.maximum(before, place - size) + 1
+        near = np.isin(gram, self.sets[t])
+        shared = np.cumsum(np.bincount(low[near], minlength=len(gram) + 1) - np.bincount(place[near] + 1, minlength=len(gram) + 1))[:-1]
+        distinct = np.cumsum(np.bincount(low, minlength=len(gram) + 1) - np.bincount(place + 1, minlength=len(gram) + 1))[:-1]
+        value = 2 * shared / (distinct + len(self.sets[t]))
+        begin = np.flatnonzero(value >= self.dice)
+        return begin, value[begin]
 
     def find(self, column: pa.Array) -> list[tuple[int, str, float, int, int]]:
         """(text, licence, Dice coefficient, start, end in bytes) of the licences, apart from one another."""
         hashes, start, end, first = plain_spans(column)
         gram, at = ngrams(hashes, first, 2)
-        hit, which = self.vocabulary.find(gram)
-        if not len(hit):
+        if not len(gram):
             return []
-        count = self.first[which + 1] - self.first[which]
-        entry = np.repeat(self.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        template = self.template[entry]
-        text = owner(first, len(hashes))[np.repeat(at[hit], count)]
-        begin = np.repeat(at[hit], count) - self.place[entry]
-        size = np.array(self.words)[template]
-        # sizes that rule a template out: a window holds at most the text, and Dice is 2 * shared / (sum of sizes)
-        ratio = self.dice / (2 - self.dice)
-        fit = (first[text + 1] - first[text]) - 1 >= ratio * (size - 1)
-        begin = np.maximum(begin, first[text])
-        key, votes = np.unique(begin[fit] * len(self.words) + template[fit], return_counts=True)
+        edge = np.searchsorted(at, first)
         out: dict[tuple[int, str], list[tuple[float, int, int]]] = {}
-        whose = owner(first, len(hashes))
-        enough = votes >= np.maximum(1, 0.35 * (np.array(self.words)[key % len(self.words)] - 1))
-        for k in key[enough].tolist():
-            b, t = divmod(k, len(self.words))
-            doc = int(whose[b])
-            upto = min(b + self.words[t], int(first[doc + 1]))
-            window = np.unique(bigrams(hashes[b:upto]))
-            shared = len(np.intersect1d(window, self.sets[t], assume_unique=True))
-            value = 2 * shared / (len(window) + len(self.sets[t]))
-            if value >= self.dice:
-                out.setdefault((doc, self.names[t]), []).append((value, b - int(first[doc]), upto - b))
+        last, own, before = -1, gram[:0], at[:0]
+        for doc, t in self.near(gram, at, first):
+            if doc != last:
+                last, own = doc, gram[edge[doc] : edge[doc + 1]]
+                before = previous(own)
+            begin, value = self.windows(own, before, t)
+            length = np.minimum(self.words[t], len(own) + 1 - begin)
+            out.setdefault((doc, self.names[t]), []).extend(zip(value.tolist(), begin.tolist(), length.tolist()))
         made = []
         for (doc, name), windows in out.items():
-            taken: list[tuple[int, int]] = []
+            taken = Apart()
             for value, b, n in sorted(windows, key=lambda w: (-w[0], -w[2], w[1])):
-                if all(b + n <= x or y <= b for x, y in taken):
-                    taken.append((b, b + n))
+                if taken.add(b, b + n):
                     made.append((doc, name, value, b, n))
         # a notice that names one licence is not also a weaker match of a similar one
-        made.sort(key=lambda m: (m[0], -m[2], -m[4], m[1], m[3]))
-        kept: list[tuple[int, str, float, int, int]] = []
-        own: dict[int, list[tuple[int, str, float, int, int]]] = {}
-        for m in made:
-            before = own.setdefault(m[0], [])
-            if all(k[1] == m[1] or m[3] + m[4] <= k[3] or k[3] + k[4] <= m[3] for k in before):
-                before.append(m)
+        kept = []
+        texts: dict[int, Apart] = {}
+        for m in sorted(made, key=lambda m: (m[0], -m[2], -m[4], m[1], m[3])):
+            if texts.setdefault(m[0], Apart()).add(m[3], m[3] + m[4]):
                 kept.append(m)
         return [(d, name, value, int(start[first[d] + b]), int(end[first[d] + b + n - 1])) for d, name, value, b, n in sorted(kept, key=lambda m: (m[0], m[3], m[1]))]
 

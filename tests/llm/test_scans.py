@@ -92,6 +92,44 @@ def test_license_query(spark, sf_dir):
         assert {n for n, d in best.items() if d == top} <= {n for i, n in got if i == r.doc_id} <= set(best)
 
 
+def plain_windows(words, template):
+    """Begin and Dice of every window of the template's length, shorter at the end, that is like the template."""
+    all_of = ((i, plain_dice(words[i : i + len(template)], template)) for i in range(len(words) - 1))
+    return [(i, d) for i, d in all_of if d >= licenses.DICE]
+
+
+def changed(words, rng, how, times):
+    words = list(words)
+    for k in range(times):
+        i = (k + 1) * len(words) // (times + 1) + rng.randint(-1, 1)
+        words[i : i + (how != "insert")] = [] if how == "drop" else [rng.choice(["page", "7", "xvi", "the"])]
+    return words
+
+
+@pytest.mark.parametrize("how", ["insert", "drop", "change"])
+def test_license_windows_equal_brute_force(how):
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    rng = random.Random(3)
+    # one template each, so that every window of it can be held against the definition
+    for name, template in licenses.TEMPLATES[:23]:
+        t = split(template)
+        known = licenses.Templates.of(((name, template),), licenses.DICE)
+        texts = [" ".join([*odd.prose(9, k).split(), *changed(t, rng, how, k), *odd.prose(5, k).split()]) for k in range(1, 7) if len(t) > 2 * k]
+        found = known.find(pa.array([*texts, template]))
+        for d, text in enumerate([*texts, template]):
+            windows = plain_windows(split(text), t)
+            got = [v for i, _, v, _, _ in found if i == d]
+            assert bool(got) == bool(windows) and max(got, default=0) == max((v for _, v in windows), default=0)
+
+
+def test_license_with_words_inserted_evenly():
+    known = licenses.Templates.of(licenses.TEMPLATES, licenses.DICE)
+    t = re.findall(r"[^\W_]+", licenses.TEMPLATES[3][1].lower())
+    for times in range(1, 7):
+        text = " ".join(changed(t, random.Random(times), "insert", times))
+        assert [n for _, n, *_ in known.find(pa.array([text]))] == ["MIT"]
+
+
 PRIVATE = ("mail und.34@mail7.example.com and UND.34@mail7.example.com, 192.168.0.1. date 2024-02-29, 2023-02-29 31/12/1999 ssn 123-45-6789 000-12-3456 "
            "+1 (017) 555-7713 card 4111 1111 1111 1111 or 4111111111111111 bad 4111111111111112 iban DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 x")
 
