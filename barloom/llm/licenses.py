@@ -3,6 +3,7 @@
 A text is read as words of letters and digits without case. Every window of a template's length (shorter at the text's end)
 is compared with it as sets of bigrams. A template is passed over for a text only where sizes rule the similarity out: the whole
 text holds too few of its bigrams. Elsewhere running sums give the coefficient of all windows in time linear in the text.
+The best window of a place counts if it also names the licence: notices that differ in a version or family word are not each other's.
 
 Defined cases: null and empty texts hold no licence; of windows of one licence that overlap the best counts, the first of equal
 ones; equal rows each give their rows; a null doc_id is kept; other columns are not read; an empty table gives no rows.
@@ -11,8 +12,11 @@ ones; equal rows each give their rows; a null doc_id is kept; other columns are
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,10 @@ from barloom.llm.decontaminate import Vocabulary, plain_spans, plain_words
 
 DICE = 0.7
 
-# Names by SPDX and the notices that works carry under these licences.
+# Names by SPDX and the notices that works carry under these licences; then whole licence texts.
+# Whether later versions are allowed is not told apart. AGPL-3.0 is the text of GPL-3.0 with the passages that differ written in.
+BODIES = ("AGPL-3.0", "Apache-2.0", "Artistic-1.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC",
+          "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense")
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -63,8 +70,28 @@ distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((name, f"""This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {family} as published by the
+Free Software Foundation; either version {version} of the License, or (at your option) any later version.""") for name, work, family, version in (
+        ("GPL-1.0", "program", "General Public License", "1"), ("GPL-2.0", "program", "General Public License", "2"),
+        ("LGPL-2.0", "library", "Library General Public License", "2"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "library", "Lesser General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3"))),
+    *((f"{short}-{version}.0", f"This {work} is licensed under the GNU {family} General Public License, version {version}.") for short, work, family, version in (
+        ("LGPL", "library", "Library", "2"), ("GPL", "work", "", "1"))),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("MPL-1.1", """The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file
+except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/"""),
+    *((f"CC-BY-{kind}-4.0", f"Licensed under CC BY-{kind} 4.0.") for kind in ("ND", "NC-SA", "NC-ND")),
+    *((f"CC-BY-{kind}-4.0", f"This work is licensed under a Creative Commons Attribution-{words} 4.0 International License.") for kind, words in (
+        ("ND", "NoDerivatives"), ("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"), ("SA", "Share Alike"), ("NC", "Non-Commercial"),
+        ("ND", "No Derivatives"), ("NC-SA", "Non-Commercial-Share Alike"), ("NC-ND", "Non-Commercial-No Derivatives"))),
+    *((name, files(__package__).joinpath(f"license_texts/{name}.txt").read_text(encoding="utf-8")) for name in BODIES),
 )
 
+# A notice must hold its template's family words and version, and no other family's; of a body, whose text names other licences, only the title counts.
+FAMILY = ("affero", "lesser", "mit", "apache", "mozilla", "eclipse", "bsd", "isc", "noncommercial", "commercial", "sharealike", "alike", "noderivatives", "noderivs",
+          "derivatives", "derivs", "nc", "sa", "nd")
+BODY, TITLE = 100, 12  # words
+
 
 def bigrams(words: np.ndarray) -> np.ndarray:
     return ngrams(words, np.array([0, len(words)]), 2)[0]
@@ -79,6 +106,17 @@ def previous(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def named(words: list[str | None]) -> tuple[set[str], set[tuple[str, ...]]]:
+    """The family words and the versions, without a closing 0, that words name."""
+    family = {w for w in words if w in FAMILY} | {"gnu library" for a, b in zip(words, words[1:]) if (a, b) == ("gnu", "library")}
+    versions = set()
+    for i, w in enumerate(words):
+        if w in ("version", "v"):
+            run = tuple(itertools.takewhile(lambda x: x is not None and x.isdigit(), words[i + 1 :]))
+            versions.add(run[:-1] if len(run) > 1 and run[-1] == "0" else run)
+    return family, versions - {()}
+
+
 class Apart:
     """Spans that do not overlap, in order."""
 
@@ -108,6 +146,11 @@ class Templates:
     first: np.ndarray
     template: np.ndarray
     dice: float
+    # words that tell licences apart, by hash; of each template: its family words and versions, and what a notice cannot lack
+    marks: dict[int, str]
+    named: list[tuple[set[str], set[tuple[str, ...]]]]
+    needs: list[set[str]]
+    titles: list[np.ndarray]
 
     @staticmethod
     def of(templates: tuple[tuple[str, str], ...], dice: float) -> Templates:
@@ -120,8 +163,16 @@ class Templates:
         which = np.repeat(np.arange(len(sets)), [len(g) for g in sets])
         order = np.lexsort((which, key))
         known = Vocabulary(key)
+        listed = [*FAMILY, "gnu", "library", "version", "v", *map(str, range(100))]
+        marks = dict(zip(plain_words(pa.array(listed))[0].tolist(), listed))
+        tell, needs = [], []
+        for (name, _), words in zip(templates, lists):
+            seen = [marks.get(h) for h in words.tolist()]
+            tell.append(named(seen[:TITLE] if len(words) > BODY else seen))
+            version = set(re.findall(r"(?<![A-Za-z\d])\d+", name)) - {"0"} if "Clause" not in name else set()
+            needs.append({w for w in seen if w in FAMILY or w in version})
         return Templates([n for n, _ in templates], [len(w) for w in lists], sets, known,
-                         np.append(np.searchsorted(key[order], known.keys), len(key)), which[order], dice)
+                         np.append(np.searchsorted(key[order], known.keys), len(key)), which[order], dice, marks, tell, needs, [bigrams(w[:TITLE]) for w in lists])
 
     def near(self, gram: np.ndarray, at: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
         """(text, template) wherever the text holds as many of the template's bigrams as the least Dice needs."""
@@ -147,6 +198,29 @@ class Templates:
         begin = np.flatnonzero(value >= self.dice)
         return begin, value[begin]
 
+    def means(self, t: int, words: np.ndarray, gram: np.ndarray, b: int, n: int) -> bool:
+        """Whether the window of n words at b, like template t, names its licence and not one that differs in a version or family word."""
+        body = self.words[t] > BODY
+        if body:
+            # the title, with a word more on either side, near the begin
+            low = max(b - 4 * TITLE, 0)
+            held = low + np.flatnonzero(np.isin(gram[low : b + 2 * TITLE], self.titles[t]))
+            if not any(self.named[t]) or not len(held):
+                return True
+            seen = words[max(held[0] - 1, 0) : held[-1] + 3]
+        else:
+            # inserted words push others out of the window: as many more as it lacks, from the first to the last that the template has
+            held = b + np.flatnonzero(np.isin(gram[b : b + n - 1], self.sets[t]))
+            more = len(self.sets[t]) - len(np.unique(gram[held]))
+            low = max(b - more, 0)
+            held = low + np.flatnonzero(np.isin(gram[low : b + n - 1 + more], self.sets[t]))
+            seen = words[held[0] : held[-1] + 2]
+        seen = [self.marks.get(h) for h in seen.tolist()]
+        family, versions = named(seen)
+        if family - self.named[t][0] or versions and self.named[t][1] and not versions & self.named[t][1]:
+            return False
+        return body or self.needs[t] <= set(seen)
+
     def find(self, column: pa.Array) -> list[tuple[int, str, float, int, int]]:
         """(text, licence, Dice coefficient, start, end in bytes) of the licences, apart from one another."""
         hashes, start, end, first = plain_spans(column)
@@ -154,7 +228,8 @@ class Templates:
         if not len(gram):
             return []
         edge = np.searchsorted(at, first)
-        out: dict[tuple[int, str], list[tuple[float, int, int]]] = {}
+        # bodies and notices apart: a body that is another licence's does not hide the notices in it
+        out: dict[tuple[int, str, bool], list[tuple[float, int, int, int]]] = {}
         last, own, before = -1, gram[:0], at[:0]
         for doc, t in self.near(gram, at, first):
             if doc != last:
@@ -162,19 +237,19 @@ class Templates:
                 before = previous(own)
             begin, value = self.windows(own, before, t)
             length = np.minimum(self.words[t], len(own) + 1 - begin)
-            out.setdefault((doc, self.names[t]), []).extend(zip(value.tolist(), begin.tolist(), length.tolist()))
+            out.setdefault((doc, self.names[t], self.words[t] > BODY), []).extend(zip(value.tolist(), begin.tolist(), length.tolist(), [t] * len(begin)))
         made = []
-        for (doc, name), windows in out.items():
+        for (doc, name, body), windows in out.items():
             taken = Apart()
-            for value, b, n in sorted(windows, key=lambda w: (-w[0], -w[2], w[1])):
-                if taken.add(b, b + n):
-                    made.append((doc, name, value, b, n))
-        # a notice that names one licence is not also a weaker match of a similar one
+            for value, b, n, t in sorted(windows, key=lambda w: (-w[0], -w[2], w[1])):
+                if taken.add(b, b + n) and self.means(t, hashes[first[doc] : first[doc + 1]], gram[edge[doc] : edge[doc + 1]], b, n):
+                    made.append((doc, name, value, b, n, body))
+        # a notice that names one licence is not also a weaker match of a similar one, nor a second find inside a whole text
         kept = []
         texts: dict[int, Apart] = {}
-        for m in sorted(made, key=lambda m: (m[0], -m[2], -m[4], m[1], m[3])):
+        for m in sorted(made, key=lambda m: (m[0], not m[5], -m[2], -m[4], m[1], m[3])):
             if texts.setdefault(m[0], Apart()).add(m[3], m[3] + m[4]):
-                kept.append(m)
+                kept.append(m[:5])
         return [(d, name, value, int(start[first[d] + b]), int(end[first[d] + b + n - 1])) for d, name, value, b, n in sorted(kept, key=lambda m: (m[0], m[3], m[1]))]
 
 

@@ -115,11 +115,12 @@ def test_license_windows_equal_brute_force(how):
         t = split(template)
         known = licenses.Templates.of(((name, template),), licenses.DICE)
         texts = [" ".join([*odd.prose(9, k).split(), *changed(t, rng, how, k), *odd.prose(5, k).split()]) for k in range(1, 7) if len(t) > 2 * k]
-        found = known.find(pa.array([*texts, template]))
-        for d, text in enumerate([*texts, template]):
-            windows = plain_windows(split(text), t)
-            got = [v for i, _, v, _, _ in found if i == d]
-            assert bool(got) == bool(windows) and max(got, default=0) == max((v for _, v in windows), default=0)
+        for text in [*texts, template]:
+            hashes, first = licenses.plain_words(pa.array([text]))
+            gram, at = licenses.ngrams(hashes, first, 2)
+            near = known.near(gram, at, first)
+            got = list(zip(*(x.tolist() for x in known.windows(gram, licenses.previous(gram), 0)))) if near else []
+            assert got == plain_windows(split(text), t)
 
 
 def test_license_with_words_inserted_evenly():
@@ -130,6 +131,44 @@ def test_license_with_words_inserted_evenly():
         assert [n for _, n, *_ in known.find(pa.array([text]))] == ["MIT"]
 
 
+def named(*texts):
+    known = licenses.Templates.of(licenses.TEMPLATES, licenses.DICE)
+    out = [[] for _ in texts]
+    for i, name, _, a, b in known.find(pa.array(texts)):
+        out[i].append((name, a, b))
+    return out
+
+
+def test_license_headers_and_bodies_by_their_own_name():
+    gnu = """This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software
+Foundation{} either version {} of the License, or (at your option) any later version. It is distributed in the hope that it will be useful."""
+    cases = {
+        gnu.format("program", ";", "General Public License", ";", "2"): ["GPL-2.0"],
+        gnu.format("program", ":", "General Public License", ",", "3"): ["GPL-3.0"],
+        gnu.format("program", ":", "Affero General Public License", ",", "3"): ["AGPL-3.0"],
+        gnu.format("library", ";", "Lesser General Public License", ";", "2.1"): ["LGPL-2.1"],
+        gnu.format("library", ";", "Library General Public License", ";", "2"): ["LGPL-2.0"],
+        gnu.format("program", ";", "General Public License", ";", "4"): [],
+        gnu.format("program", ";", "Unheard Affero General Public License", ";", "2"): [],
+        "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": ["CC-BY-ND-4.0"],
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": [],
+        "This project is licensed under the terms of the Apache license.": [],
+        "Licensed under the Apache License 2.0": ["Apache-2.0"],
+    }
+    assert [[n for n, *_ in found] for found in named(*cases)] == list(cases.values())
+    bodies = dict(licenses.TEMPLATES[-len(licenses.BODIES) :])
+    assert tuple(bodies) == licenses.BODIES
+    # each body is one find over nearly its whole text, also when its end is cut off or it stands in other words
+    for cut in (1.0, 0.8):
+        texts = [f"{odd.prose(20, 1)} {t[: int(len(t) * cut)]} {odd.prose(20, 2)}" for t in bodies.values()]
+        for (name, whole), found in zip(bodies.items(), named(*texts)):
+            assert found[0][0] == name and found[0][2] - found[0][1] > 0.75 * len(whole) * cut, (name, cut, found)
+            assert cut < 1 or len(found) == 1, (name, found)
+    untitled = bodies["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE", "GNU UNHEARD LESSER PUBLIC LICENSE", 1)
+    assert "GPL-3.0" not in {n for n, a, b in named(untitled)[0] if b - a > 10_000}
+
+
 PRIVATE = ("mail und.34@mail7.example.com and UND.34@mail7.example.com, 192.168.0.1. date 2024-02-29, 2023-02-29 31/12/1999 ssn 123-45-6789 000-12-3456 "
            "+1 (017) 555-7713 card 4111 1111 1111 1111 or 4111111111111111 bad 4111111111111112 iban DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 x")
 
