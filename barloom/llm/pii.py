@@ -6,6 +6,8 @@ date. The permutation is a Feistel network of alternating keyed additions on two
 pseudonyms in all documents, different values get different ones, and whoever has the key can restore them with
 `inverse=True`. What only looks like personal data and fails its check stays.
 
+nn/nn/yyyy is dd/MM/yyyy where that is a date, else MM/dd/yyyy; the latter stay such dates, so that both can be restored.
+
 E-mail addresses keep their domain; their local part is permuted in lower case. Letters beyond ASCII in it make it
 a permuted number in base 16 of its bytes.
 
@@ -23,6 +25,19 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "iban", "card")
 
+# characters of an IBAN by country, as registered
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD MR PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z\d]{{4}}){{{groups}}}" + (f" ?[A-Z\\d]{{{rest}}}" if rest else "")
+
+
 _BEFORE, _AFTER = r"(?<![\p{L}\d_.@+-])", r"(?![\p{L}\d_])"
 FORMS = {
     "email": r"(?<![\p{L}\d._%+-])[\p{L}\d._%+-]++@(?:[A-Za-z\d-]+\.)+[A-Za-z]{2,24}(?![A-Za-z\d-])",
@@ -30,7 +45,9 @@ FORMS = {
     "date": _BEFORE + r"(?:(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])|\d{2}/\d{2}/(?:19|20)\d{2}(?![\d/]))",
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}(?!-)" + _AFTER,
     "phone": r"(?<![\p{L}\d_.@+(-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!-)" + _AFTER,
-    "iban": r"(?<![\p{L}\d_])[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?" + _AFTER,
+    # by the country's length, so that a word or number behind it is not taken in; any other by groups of four
+    "iban": r"(?<![\p{L}\d_])(?:" + "|".join(f"{_iban(n, c)}{_AFTER}" for n, c in IBAN_LENGTHS.items())
+    + r"|[A-Z]{2}\d{2}(?: ?[A-Z\d]{4}){2,7}(?: ?[A-Z\d]{1,3})?" + _AFTER + ")",
     "card": _BEFORE + r"(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3})(?!-)" + _AFTER,
 }
 
@@ -119,6 +136,51 @@ def _date(value: Column) -> Column:
     return F.when(iso, F.try_to_date(value, "yyyy-MM-dd")).otherwise(F.try_to_date(value, "dd/MM/yyyy"))
 
 
+def _month_first(value: Column) -> Column:
+    """The day of MM/dd/yyyy; only where it is no dd/MM/yyyy, so that its day is after the 12th."""
+    return F.when(_date(value).isNull() & (F.substring(value, 3, 1) == "/"), F.try_to_date(value, "MM/dd/yyyy"))
+
+
+# days after the 12th before each month of a year, and their number from 1900 to 2099; 1900 is no leap year
+_LATE = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
+_LATE_DAYS, _SIDE = 200 * 221 + 49, 210
+
+
+def _late_rank(day: Column) -> Column:
+    """Number of a day after the 12th of its month among those since 1900. Four years, the last a leap year, have 885."""
+    since = F.year(day) - 1897
+    leap = F.when((since % 4 == 3) & (F.month(day) > 2), 1).otherwise(0)
+    x = F.floor(since / 4) * 885 + since % 4 * 221 + F.array(*map(F.lit, _LATE))[F.month(day) - 1] + leap + F.dayofmonth(day) - 13 - 663
+    return (x - F.when(x > 35, 1).otherwise(0)).cast("long")
+
+
+def _late_day(rank: Column) -> Column:
+    """The day of a number of _late_rank."""
+    x = rank + 663 + F.when(rank >= 35, 1).otherwise(0)
+    year = F.least(F.floor(x % 885 / 221), F.lit(3))
+    starts = F.array(*(F.lit(n) + (F.when(year == 3, 1).otherwise(0) if k > 1 else 0) for k, n in enumerate(_LATE)))
+    inside = x % 885 - year * 221
+    month = F.size(F.filter(starts, lambda n: n <= inside))
+    return F.make_date((F.floor(x / 885) * 4 + year + 1897).cast("int"), month, (inside - starts[month - 1] + 13).cast("int"))
+
+
+def _late_moved(rank: Column, key: str, inverse: bool) -> Column:
+    """rank permuted: all but the last ones, then all but the first ones."""
+    most, side = _SIDE * _SIDE, F.lit(_SIDE).cast("long")
+
+    def part(from_: int) -> Callable[[Column], Column]:
+        def moved(r: Column) -> Column:
+            pair = feistel(F.floor((r - from_) / _SIDE), (r - from_) % _SIDE, side, side, key, F.lit(f"late{from_}"), inverse)
+            return F.when(r.between(from_, from_ + most - 1), F.transform(F.array(pair), lambda p: p.a * _SIDE + p.b + from_)[0]).otherwise(r)
+
+        return moved
+
+    out = F.array(rank)
+    for from_ in (_LATE_DAYS - most, 0) if inverse else (0, _LATE_DAYS - most):
+        out = F.transform(out, part(from_))
+    return out[0]
+
+
 def kind_of(value: Column) -> Column:
     """The kind of a match whose check holds, else null."""
     digits = _digits(value)
@@ -127,7 +189,7 @@ def kind_of(value: Column) -> Column:
     checks = {
         "email": F.lit(True),
         "ip": F.forall(octets, lambda x: x <= 255),
-        "date": _date(value).isNotNull(),
+        "date": _date(value).isNotNull() | _month_first(value).isNotNull(),
         "ssn": ~digits.rlike("^(000|666|9)") & ~digits.rlike("^...00") & ~digits.rlike("0000$"),
         "phone": F.lit(True),
         "iban": F.length(plain).between(15, 34) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.lit(40)), F.substring(plain, 1, 4))) == 1),
@@ -174,7 +236,9 @@ def pseudonym(value: Column, kind: Column, key: str, inverse: bool = False) -> C
     moved = F.transform(
         F.array(feistel(F.floor(inside / 200), inside % 200, F.lit(365).cast("long"), F.lit(200).cast("long"), key, F.concat(F.lit("date"), block.cast("string")), inverse)),
         lambda p: F.date_add(F.lit("1900-01-01").cast("date"), (block * 73000 + p.a * 200 + p.b).cast("int")))[0]
-    date = F.when(F.substring(value, 5, 1) == "-", F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
+    late = F.transform(F.array(_late_moved(_late_rank(_month_first(value)), key, inverse)), _late_day)[0]
+    date = F.when(_month_first(value).isNotNull(), F.date_format(late, "MM/dd/yyyy")).when(
+        F.substring(value, 5, 1) == "-", F.date_format(moved, "yyyy-MM-dd")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
 
     # areas 1 to 899 without 666, groups 1 to 99, serial numbers 1 to 9999
     area = F.substring(digits, 1, 3).cast("long")

@@ -204,6 +204,39 @@ def test_pii_is_a_permutation(spark):
     assert made.filter(pii.kind_of(F.col("text")) == "ip").count() == 3000
 
 
+def test_pii_iban_before_words_and_numbers(spark):
+    ibans = ["ES9121000418450200051332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "PL61109010140000071219812874",
+             "CZ65 0800 0000 1920 0014 5399", "LU28 0019 4006 4475 0000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"]
+    rows = [(i, f"{iban}{after}") for i, (iban, after) in enumerate((x, a) for x in ibans for a in ("", " EUR 500", " BIC KREDBEBB", " BIC x", " 12 A", ", ABCD", " ABCD 1234"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = pii.pseudonymise(docs, "k", counts=True).collect()
+    assert all(r.n_iban == 1 for r in made)
+    for (_, before), r in zip(rows, made):
+        iban = next(x for x in ibans if before.startswith(x))
+        assert not r.text.startswith(iban) and r.text[len(iban) :] == before[len(iban) :]
+    back = pii.pseudonymise(spark.createDataFrame([(r.doc_id, r.text) for r in made], docs.schema), "k", inverse=True).collect()
+    assert [(r.doc_id, r.text) for r in back] == rows
+
+
+def test_pii_month_first(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73049)]
+    late = [d for d in days if d.day > 12]
+    assert len(late) == pii._LATE_DAYS
+    rows = [(i, f"on {d:%m/%d/%Y}") for i, d in enumerate(late)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    made = pii.pseudonymise(docs, "k", counts=True).cache()
+    assert {r.text for r in made.select("text").collect()} == {t for _, t in rows}
+    assert made.filter("n_date != 1").count() == 0 and made.join(docs, ["doc_id", "text"]).count() < 20
+    back = pii.pseudonymise(made.select("doc_id", "text"), "k", inverse=True)
+    assert sorted((r.doc_id, r.text) for r in back.collect()) == rows
+    both = spark.createDataFrame([("31/12/1999",), ("12/31/1999",), ("13/13/1999",), ("02/30/2000",), ("00/13/2000",)], "text string")
+    assert [r.text for r in both.select(pii.kind_of(F.col("text")).alias("text")).collect()] == ["date", "date", None, None, None]
+
+
 def test_pii_odd(spark):
     docs = odd.docs(spark)
     made = pii.pseudonymise(docs, "k")
