@@ -1,4 +1,7 @@
-"""Models over the feature tables. Few trees here, so that a check runs fast; the defaults are the full ones."""
+"""Models over the feature tables, with the operators' own numbers of trees, depths and lengths.
+
+The structured forest is trained once per application and table folder and saved; the other queries load it.
+"""
 
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from barloom.sources import writers
 from barloom.sources.adapters import embeddings_keyed, events_bars, table
 from barloom.sources.writers import scratch_dir
 
-SMALL = {"numTrees": 10, "maxDepth": 5}
+_TRAINED: dict[tuple[str, str], tuple[training.Run, str]] = {}
 
 
 def _training(spark, sf_dir):
@@ -22,6 +25,17 @@ def _training(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _trained(spark, sf_dir):
+    """The run of the structured forest over a table folder, without cross-validation, and where its model is saved."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        path = scratch_dir(spark) + "/model"
+        run = training.train_structured(_training(spark, sf_dir), folds=0)
+        ml.save_model(run.model, path)
+        _TRAINED[key] = run, path
+    return _TRAINED[key]
+
+
 def _split(rows):
     rows = time_split(rows)
     return rows.filter("role = 'train'"), rows.filter("role = 'test'")
@@ -54,7 +68,7 @@ def _within(*names):
 @query("train_forest", with_ctes(_CTES, "valid, tested:i", f"SELECT true AS valid, count(*) AS tested FROM s WHERE r > {_CUT}"))
 def train_forest(spark, sf_dir):
     """Train on the first 80 %, evaluate on the rest."""
-    run = training.train_structured(_training(spark, sf_dir), folds=0, **SMALL)
+    run, _ = _trained(spark, sf_dir)
     tested = run.confusion.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n")).scalar()
     return run.metrics.select(_within("accuracy", "precision", "recall", "f1_score", "roc_auc").alias("valid"), tested.alias("tested"))
 
@@ -62,8 +76,8 @@ def train_forest(spark, sf_dir):
 @query("score", with_ctes(_CTES, "Symbol, Date:d, consistent", f'SELECT "Symbol", "Date", true AS consistent FROM s WHERE r > {_CUT}'))
 def score(spark, sf_dir):
     """Every test row: the two probabilities sum to one, the larger one is the confidence, and it names the label."""
-    train, test = _split(_training(spark, sf_dir))
-    scored = ml.score(test, ml.train_forest(train, **SMALL))
+    _, test = _split(_training(spark, sf_dir))
+    scored = ml.score(test, ml.load_model(_trained(spark, sf_dir)[1]))
     best = F.greatest("p_up", "p_down")
     consistent = (
         (F.abs(F.col("p_up") + F.col("p_down") - 1.0) < 1e-9) & (F.abs(F.col("confidence") - 100.0 * best) < 1e-9)
@@ -80,7 +94,7 @@ def score(spark, sf_dir):
 ))
 def score_batch(spark, sf_dir):
     """The latest complete bar of all symbols that events or nations name; the latter have no bars."""
-    model = ml.train_forest(_split(_training(spark, sf_dir))[0], **SMALL)
+    model = ml.load_model(_trained(spark, sf_dir)[1])
     live = features.live_features(events_bars(spark, sf_dir))
     asked = live.select("Symbol").distinct().unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("Symbol")))
     scored = ml.score_batch(asked, live, model)
@@ -88,7 +102,7 @@ def score_batch(spark, sf_dir):
 
 
 def _importances(spark, sf_dir):
-    return training.train_structured(_training(spark, sf_dir), folds=0, **SMALL).importances
+    return _trained(spark, sf_dir)[0].importances
 
 
 @query("feature_importance", f"SELECT feature, 'structured' AS type, true AS valid, true AS whole FROM (VALUES {_NAMES}) AS v(feature)")
@@ -112,10 +126,10 @@ def top_importances(spark, sf_dir):
 def fusion_forest(spark, sf_dir):
     """Features fused with embeddings, trained and judged like the structured model: importance by family."""
     rows = _training(spark, sf_dir)
-    base = training.train_structured(rows, folds=0, **SMALL)
+    base, _ = _trained(spark, sf_dir)
     path = scratch_dir(spark) + "/fused"
     writers.write_parquet(datasets.fuse(rows, embeddings_keyed(spark, sf_dir)), path)
-    run, gain = training.train_fusion(spark.read.parquet(path), size=64, structured=base.metrics, folds=0, **SMALL)
+    run, gain = training.train_fusion(spark.read.parquet(path), size=64, structured=base.metrics, folds=0)
     valid = gain.select(F.col("accuracy_gain").between(-1.0, 1.0) & F.col("roc_auc_gain").between(-1.0, 1.0)).scalar()
     families = reports.importance_by_type(run.importances)
     total = families.agg(F.sum("importance")).scalar()
@@ -125,19 +139,17 @@ def fusion_forest(spark, sf_dir):
 @query("save_and_load_model", with_ctes(_CTES, "rows:i, different:i", "SELECT count(*) AS rows, 0 AS different FROM t"))
 def save_and_load_model(spark, sf_dir):
     """A loaded model scores every row as the saved one does."""
-    path = scratch_dir(spark) + "/model"
     rows = _training(spark, sf_dir)
-    model = ml.train_forest(_split(rows)[0], **SMALL)
-    ml.save_model(model, path)
+    run, path = _trained(spark, sf_dir)
     loaded = ml.score(rows, ml.load_model(path)).select("Symbol", "Date", F.col("p_up").alias("q"))
-    both = ml.score(rows, model).select("Symbol", "Date", "p_up").join(loaded, ["Symbol", "Date"])
+    both = ml.score(rows, run.model).select("Symbol", "Date", "p_up").join(loaded, ["Symbol", "Date"])
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p_up") != F.col("q")).alias("different"))
 
 
 @query("cross_validate", with_ctes(
     {**_CTES, "c": "SELECT max(n) AS n FROM s"}, "fold:i, rows:i, valid", "SELECT unnest([1, 2, 3, 4, 5]) AS fold, floor(n / 6) AS rows, true AS valid FROM c"))
 def cross_validate(spark, sf_dir):
-    made = ml.cross_validate(_training(spark, sf_dir), numTrees=3, maxDepth=3)
+    made = ml.cross_validate(_training(spark, sf_dir))
     return made.select("fold", "rows", _within("accuracy").alias("valid"))
 
 
@@ -146,9 +158,9 @@ def sequence_classifier(spark, sf_dir):
     rows = _training(spark, sf_dir)
     scaled = datasets.minmax_transform(rows, datasets.minmax_fit(rows, FEATURES), FEATURES)
     path = scratch_dir(spark) + "/sequences"
-    writers.write_parquet(datasets.sequences(scaled, length=20), path)
+    writers.write_parquet(datasets.sequences(scaled), path)
     sequences = spark.read.parquet(path)
-    model = ml.sequence_classifier(sequences, maxIter=5)
+    model = ml.sequence_classifier(sequences)
     return ml.score_sequences(sequences, model).groupBy("prediction", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -157,8 +169,9 @@ SELECT 'forest' AS model, count(*) AS tested, 5 AS folds, 4 AS labels, 20 AS top
 def append_model_run(spark, sf_dir):
     """The whole record of a run, read back."""
     path = scratch_dir(spark) + "/model_runs"
-    run = training.train_structured(_training(spark, sf_dir), **SMALL)
-    writers.append_model_run(run.metrics, run.importances, path, "forest", SMALL, run.folds, run.confusion, run.report, run.confidence)
+    run, _ = _trained(spark, sf_dir)
+    folds = ml.cross_validate(_split(_training(spark, sf_dir))[0])
+    writers.append_model_run(run.metrics, run.importances, path, "forest", ml.FOREST, folds, run.confusion, run.report, run.confidence)
     runs = spark.read.parquet(path)
     best = evaluate.rank_models(runs).select("model", "roc_auc")
     c = F.col("confusion")
