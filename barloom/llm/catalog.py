@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import align, decontaminate, lexical, licenses, ngram_join, packing, pii, quality, ranking, repeats, secrets, shards
+from barloom.llm import align, chat, decontaminate, lexical, licenses, ngram_join, packing, pii, quality, ranking, repeats, secrets, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,6 +130,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(documents(spark, sf_dir), default_tokenizer(), default_pieces())
 
 
+@query
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings."""
+    own = spark.createDataFrame([(-1, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.formatted(turns, default_tokenizer()), default_tokenizer())
+
+
 @query
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
