@@ -8,6 +8,7 @@ from barloom.schema import BAR_COLUMNS
 from barloom.sources.adapters import events_bars
 from barloom.sources.writers import scratch_dir
 from barloom.streaming import incremental as inc
+from barloom.streaming.averages import RunningAverages
 
 HOURLY = "Symbol string, Date timestamp, Open double, High double, Low double, Close double, Volume double"
 
@@ -45,10 +46,10 @@ def live_feature_stream(spark, sf_dir):
 @query("running_averages", strict("Symbol, Date:d, Close:f, EMA12:f, RSI:f, MACD:f, MACD_Signal:f"))
 def running_averages(spark, sf_dir):
     root = scratch_dir(spark)
+    job = RunningAverages(spark, f"{root}/store")
     for _ in _arrivals(spark, sf_dir, f"{root}/landing"):
-        stream = inc.running_averages(inc.new_bars(spark, f"{root}/landing", HOURLY))
-        inc.ingest(stream, f"{root}/averages", f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(inc.OUTPUT).parquet(f"{root}/averages")
+        job.start(inc.new_bars(spark, f"{root}/landing", HOURLY), f"{root}/checkpoint").awaitTermination()
+    return job.read()
 
 
 @query("dedup_stream", with_ctes({"bars": EVENTS_BARS}, BARS_SHOWN, "SELECT * FROM bars"))

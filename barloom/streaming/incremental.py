@@ -1,18 +1,17 @@
-"""Structured Streaming over new bar files: ingest, live features, running averages, dedup."""
+"""Structured Streaming over new bar files: ingest, live features, dedup."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.clean import dedup_keep_last
 from barloom.operators.datasets import last_n
 from barloom.operators.layout import HALO
 from barloom.schema import BAR_COLUMNS, BAR_SCHEMA
+from barloom.streaming.store import EVERY, SHARDS, VersionedStore
 
 BarsToFeatures = Callable[[DataFrame], DataFrame]
 
@@ -72,64 +71,52 @@ def _ddl(schema) -> str:
 class LiveFeatures:
     """Keeps a feature table up to date with a stream of bars.
 
-    The store holds, per batch, the bars as they came, the features of every row
-    the batch changed, and the last rows of each symbol as context for the next
-    batch. Each batch writes its own folders and overwrites them when it is run
-    again, so a repeated batch changes nothing. Bars at or before the last known
-    bar of their symbol make that symbol recompute from the stored bars.
+    Three stores hold the bars as they came, the features of every row that a batch changed, and the last rows of
+    each symbol as context for its next bars. A batch reads the shards of its symbols and writes rows of no
+    other symbol; stores are compacted as they grow. A batch that is run again replaces its own rows, so it
+    changes nothing. Bars at or before the last known bar of their symbol make that symbol recompute from the
+    stored bars of its shard.
     """
 
     def __init__(
-        self, spark: SparkSession, store: str, compute: BarsToFeatures, history: int = HALO, lookahead: int = 1
+        self, spark: SparkSession, store: str, compute: BarsToFeatures, history: int = HALO, lookahead: int = 1,
+        shards: int = SHARDS, every: int = EVERY, months: int | None = None,
     ):
-        """`lookahead` is how many rows back a new bar changes features (the future return: one)."""
-        self.spark, self.store, self.compute = spark, store.rstrip("/"), compute
-        self.history, self.lookahead = history, lookahead
+        """`lookahead` is how many rows back a new bar changes features (the future return: one). `months`: how many
+        months of bars and features behind the newest are kept, all if not given."""
+        self.compute, self.history, self.lookahead = compute, history, lookahead
 
-    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.store}/{kind}/batch={batch}")
+        def kept(kind: str, keys: list[str], date: str | None) -> VersionedStore:
+            return VersionedStore(spark, f"{store.rstrip('/')}/{kind}", keys, date, shards, every, months)
 
-    def _read(self, kind: str, schema: str, below: int) -> DataFrame:
-        everything = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.store}/{kind}")
-        return everything.parquet(f"{self.store}/{kind}").filter(F.col("batch") < below)
-
-    def _schema(self, df: DataFrame) -> str:
-        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        self.bars, self.features, self.tail = kept("bars", ["Symbol", "Date"], "Date"), kept("features", ["Symbol", "Date"], "Date"), kept("tail", ["Symbol"], None)
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
-        schema = self._schema(batch.select(*BAR_COLUMNS))
-        new = dedup_keep_last(batch.select(*BAR_COLUMNS), order=[])
-        if batch_id == 0:
-            empty = self.spark.createDataFrame([], schema)
-            self._write(empty, "bars", -1)
-            self._write(empty, "tail", -1)
-        self._write(new, "bars", batch_id)
+        new = dedup_keep_last(batch.select(*BAR_COLUMNS).filter("Symbol IS NOT NULL AND Date IS NOT NULL"), order=[])
+        schema = _ddl(new.schema)
         # read back what was written, so that the batch is computed once
-        new = self.spark.read.schema(schema).parquet(f"{self.store}/bars/batch={batch_id}")
-        tail = self._read("tail", schema, batch_id).filter(F.col("batch") == batch_id - 1).drop("batch")
-
+        new = self.bars.write(new, batch_id)
         first = new.groupBy("Symbol").agg(F.min("Date").alias("_first"))
+        tail = self.tail.read(schema, batch_id, first)
         known = tail.groupBy("Symbol").agg(F.max("Date").alias("_known"))
         late = first.join(known, "Symbol").filter(F.col("_first") <= F.col("_known")).select("Symbol", "_first")
         if late.isEmpty():
-            context = tail.join(first.select("Symbol"), "Symbol", "left_semi").unionByName(new)
+            context = tail.unionByName(new)
         else:
             context = self._context_with_late(new, tail, first, late, schema, batch_id)
         older = context.join(first, "Symbol").filter(F.col("Date") < F.col("_first")).select("Symbol", "Date")
         open_rows = last_n(older, self.lookahead).groupBy("Symbol").agg(F.min("Date").alias("_open"))
         since = first.join(open_rows, "Symbol", "left").select("Symbol", F.coalesce("_open", "_first").alias("_since"))
         changed = self.compute(context).join(since, "Symbol").filter(F.col("Date") >= F.col("_since")).drop("_since")
-        self._write(changed, "features", batch_id)
-        untouched = tail.join(first.select("Symbol"), "Symbol", "left_anti")
-        self._write(untouched.unionByName(last_n(context, self.history)), "tail", batch_id)
+        self.features.write(changed, batch_id)
+        self.tail.write(last_n(context, self.history), batch_id)
 
     def _context_with_late(
         self, new: DataFrame, tail: DataFrame, first: DataFrame, late: DataFrame, schema: str, batch_id: int
     ) -> DataFrame:
         on_time = first.join(late, "Symbol", "left_anti").select("Symbol")
         from_tail = tail.join(on_time, "Symbol", "left_semi").unionByName(new.join(on_time, "Symbol", "left_semi"))
-        stored = self._read("bars", schema, batch_id + 1).join(late, "Symbol")
-        stored = dedup_keep_last(stored, order=["batch"]).select(*BAR_COLUMNS, "_first")
+        stored = self.bars.read(schema, batch_id + 1, late).join(late, "Symbol")
         before = last_n(stored.filter(F.col("Date") < F.col("_first")), self.history)
         after = stored.filter(F.col("Date") >= F.col("_first"))
         return from_tail.unionByName(before.unionByName(after).select(*BAR_COLUMNS))
@@ -144,56 +131,4 @@ class LiveFeatures:
 
     def read(self, schema: str) -> DataFrame:
         """The current feature rows: the latest version of each (Symbol, Date)."""
-        df = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.store}/features")
-        return dedup_keep_last(df, order=["batch"]).drop("batch")
-
-
-# Running averages with constant state per symbol.
-
-STATE = "n long, close double, ema12 double, ema26 double, signal double, signals long, gain double, loss double, last timestamp"
-OUTPUT = "Symbol string, Date timestamp, Close double, EMA12 double, RSI double, MACD double, MACD_Signal double"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("Date")
-    n, close, e12, e26, sig, sigs, gain, loss, last = (
-        state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 0.0, None)
-    )
-    out = []
-    for date, c in zip(rows["Date"], rows["Close"]):
-        if last is not None and date <= pd.Timestamp(last):
-            raise ValueError(f"late bar for {key[0]} at {date}: recompute the symbol from its history")
-        if n == 0:
-            e12 = e26 = c
-        else:
-            e12 += (c - e12) * 2.0 / 13.0
-            e26 += (c - e26) * 2.0 / 27.0
-            up, down = max(c - close, 0.0), max(close - c, 0.0)
-            gain = up if n == 1 else gain + (up - gain) / 14.0
-            loss = down if n == 1 else loss + (down - loss) / 14.0
-        n, close, last = n + 1, c, date
-        macd = signal = rsi = None
-        if n >= 26:
-            macd = e12 - e26
-            sig = macd if sigs == 0 else sig + (macd - sig) * 0.2
-            sigs += 1
-            signal = sig if sigs >= 9 else None
-        if n >= 15 and loss > 0:
-            rsi = 100.0 - 100.0 / (1.0 + gain / loss)
-        out.append((key[0], date, c, e12 if n >= 12 else None, rsi, macd, signal))
-    state.update((n, close, e12, e26, sig, sigs, gain, loss, last))
-    numbers = ["Close", "EMA12", "RSI", "MACD", "MACD_Signal"]
-    yield pd.DataFrame(out, columns=["Symbol", "Date", *numbers]).astype(dict.fromkeys(numbers, "float64"))
-
-
-def running_averages(bars: DataFrame) -> DataFrame:
-    """EMA12, RSI and MACD of a stream of bars that reach each symbol in date order.
-
-    A task sees the bars of a symbol in one micro-batch, whose size the source
-    limits, and a state of nine numbers. A late bar stops the query: route late
-    bars to `LiveFeatures`.
-    """
-    bars = bars.select("Symbol", F.col("Date").cast("timestamp").alias("Date"), "Close")
-    return bars.groupBy("Symbol").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+        return self.features.read(schema)
