@@ -2,7 +2,9 @@
 
 `names` has one row per symbol: symbol, position (mapping order) and names, an
 ordered array. `universe` has one row per available symbol. Substring matches
-are equality joins on substrings, so no pair of unrelated rows ever meets.
+go through an inverted index of fragments of three characters: a text is looked
+up by the fragment that the fewest others hold, and what is found is checked,
+so rows without a rare fragment in common never meet.
 """
 
 from __future__ import annotations
@@ -26,34 +28,56 @@ def _available(names: DataFrame, universe: DataFrame) -> DataFrame:
     return name_map(names).join(universe.select("symbol"), "symbol", "left_semi")
 
 
-def _pieces(text: Column, length: Column) -> Column:
-    """All substrings of one length; none when the text is shorter."""
-    starts = F.when(length <= F.length(text), F.sequence(F.lit(1), F.length(text) - length + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.substring(text, i, length))
+FRAGMENT = 3
+
+
+def fragments(text: str, n: int) -> Column:
+    """The distinct pieces of n characters of a column, at most as many as it has characters."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    count = F.greatest(F.size(chars) - (n - 1), F.lit(0))
+    out = F.slice(chars, 1, count)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(chars, k, count), lambda a, b: F.concat(a, b))
+    return F.array_distinct(out)
+
+
+def _rarest(texts: DataFrame, among: DataFrame) -> DataFrame:
+    """Of each text (id, size; a row a fragment f) the fragment that the fewest of `among` hold; texts with one that none holds go."""
+    held = among.groupBy("f").agg(F.count(F.lit(1)).alias("_held"))
+    each = texts.join(held, "f", "left").withColumn("_held", F.coalesce("_held", F.lit(0)))
+    return each.groupBy("id", "size").agg(F.min_by("f", F.struct("_held", "f")).alias("f"), F.min("_held").alias("_held")).filter("_held > 0").drop("_held")
 
 
 def _partial_matches(queries: DataFrame, available: DataFrame) -> DataFrame:
     """Per query the first name in mapping order that contains it or that it contains."""
-    text = F.col("name")
-    inside_names = available.select(
-        "symbol", "ord", F.explode(F.array_distinct(F.flatten(
-            F.transform(F.sequence(F.lit(1), F.length(text)), lambda n: _pieces(text, n))
-        ))).alias("_q")
-    )
-    # one row per substring, so each query meets at most one
-    first = inside_names.groupBy("_q").agg(F.min_by("symbol", "ord").alias("symbol"), F.min("ord").alias("ord"))
-    contained = queries.join(first, "_q")
-
-    # as many lengths as the longest name has characters
-    lengths = available.agg(F.collect_set(F.length("name")).alias("lengths")).scalar()
-    pieces = queries.withColumn("_lengths", lengths).select(
-        "_q",
-        F.explode(F.array_distinct(F.flatten(F.transform("_lengths", lambda n: _pieces(F.col("_q"), n))))).alias("name"),
-    )
-    containing = pieces.join(available, "name").select("_q", "symbol", "ord")
-    both = contained.select("_q", "symbol", "ord").unionByName(containing)
+    # exploded rows and candidates carry ids and sizes; the texts come back for the check alone
+    asked = queries.select("_q", F.md5("_q").alias("id"), F.char_length("_q").alias("size"))
+    named = available.select("name", "symbol", "ord", F.md5("name").alias("id"), F.char_length("name").alias("size"))
+    of_asked = asked.filter(F.col("size") >= FRAGMENT).select("id", "size", F.explode(fragments("_q", FRAGMENT)).alias("f"))
+    of_named = named.filter(F.col("size") >= FRAGMENT).select("id", "size", F.explode(fragments("name", FRAGMENT)).alias("f"))
+
+    # a query no longer than a fragment is one: the first name that holds it is known per fragment
+    short = [fragments("name", n) for n in range(1, FRAGMENT + 1)]
+    first = named.select("symbol", "ord", F.explode(F.concat(*short)).alias("_q")).groupBy("_q").agg(F.min_by("symbol", "ord").alias("symbol"), F.min("ord").alias("ord"))
+    contained = asked.filter(F.col("size") <= FRAGMENT).join(first, "_q").select("_q", "symbol", "ord")
+    # a name shorter than a fragment is found the same way
+    grams = [fragments("_q", n) for n in range(1, FRAGMENT)]
+    tiny = asked.select("id", F.explode(F.concat(*grams)).alias("name")).join(named.filter(F.col("size") < FRAGMENT).select("name", "symbol", "ord"), "name")
+    tiny = tiny.groupBy("id").agg(F.min_by("symbol", "ord").alias("symbol"), F.min("ord").alias("ord")).join(asked.select("id", "_q"), "id").select("_q", "symbol", "ord")
+
+    def met(rare: DataFrame, among: DataFrame) -> DataFrame:
+        """(inner, outer) ids that share the inner text's rarest fragment, where the inner one is not the longer."""
+        inner = rare.select("f", F.col("id").alias("inner"), F.col("size").alias("_inner_size"))
+        outer = among.select("f", F.col("id").alias("outer"), F.col("size").alias("_outer_size"))
+        return inner.join(outer, "f").filter(F.col("_inner_size") <= F.col("_outer_size")).select("inner", "outer")
+
+    longer = asked.filter(F.col("size") > FRAGMENT).select("id")
+    in_names = met(_rarest(of_asked.join(longer, "id", "left_semi"), of_named), of_named).select(F.col("inner").alias("asked"), F.col("outer").alias("named"))
+    in_queries = met(_rarest(of_named, of_asked), of_asked).select(F.col("outer").alias("asked"), F.col("inner").alias("named"))
+    pairs = in_names.unionByName(in_queries).distinct()
+    texts = pairs.join(asked.select(F.col("id").alias("asked"), "_q"), "asked").join(named.select(F.col("id").alias("named"), "name", "symbol", "ord"), "named")
+    checked = texts.filter(F.contains("name", "_q") | F.contains("_q", "name")).select("_q", "symbol", "ord")
+    both = contained.unionByName(tiny).unionByName(checked)
     return both.groupBy("_q").agg(F.min_by("symbol", "ord").alias("_partial"))
 
 
