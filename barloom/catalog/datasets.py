@@ -137,7 +137,7 @@ def candle_windows(spark, sf_dir):
     """SELECT * FROM numbered WHERE total <= 500 OR ("Symbol", place) IN (SELECT ("Symbol", place) FROM picks)""",
 ))
 def even_sample(spark, sf_dir):
-    return _show_candles(d.even_sample(_candles(spark, sf_dir)))
+    return _show_candles(d.sampled_candle_windows(events_bars(spark, sf_dir), date_format="yyyyMMddHH"))
 
 
 @query("positions", with_ctes(

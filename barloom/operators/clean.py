@@ -33,11 +33,19 @@ def coercion_report(df: DataFrame, cols: Iterable[str] = NUMERICS) -> DataFrame:
     return counts.unpivot([], cols, "column_name", "coerced")
 
 
-def coerce_date(df: DataFrame, col: str = "Date", fmt: str | None = None, intraday: bool = False) -> DataFrame:
-    """Text to a date (or a timestamp for bars with a time of day); rows without one are dropped."""
-    parse = F.try_to_timestamp if intraday else F.try_to_date
-    value = parse(F.col(col), F.lit(fmt)) if fmt and intraday else parse(F.col(col), fmt) if fmt else parse(F.col(col))
-    return df.withColumn(col, value).dropna(subset=[col])
+def date_of(col: str = "Date", fmt: str | list[str] | None = None, intraday: bool = False) -> Column:
+    """Text as a date (or a timestamp for bars with a time of day), null where it is none. Of several formats the first that fits."""
+    def parsed(one: str | None) -> Column:
+        if intraday:
+            return F.try_to_timestamp(F.col(col), F.lit(one)) if one else F.try_to_timestamp(F.col(col))
+        return F.try_to_date(F.col(col), one) if one else F.try_to_date(F.col(col))
+
+    return F.coalesce(*[parsed(one) for one in (fmt if isinstance(fmt, list) else [fmt])])
+
+
+def coerce_date(df: DataFrame, col: str = "Date", fmt: str | list[str] | None = None, intraday: bool = False) -> DataFrame:
+    """Text to a date; rows without one are dropped. `fmt` may list several formats, None among them for the usual one."""
+    return df.withColumn(col, date_of(col, fmt, intraday)).dropna(subset=[col])
 
 
 def drop_incomplete(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -58,17 +66,25 @@ def dedup_keep_last(df: DataFrame, keys: Iterable[str] = ("Symbol", "Date"), ord
 
 
 def forward_fill(df: DataFrame, cols: Iterable[str] = NUMERICS, bucket: str = "month") -> DataFrame:
-    """Last known value per symbol; (Symbol, Date) must be unique. Rows that stay null are dropped.
+    """Last known value per symbol; (Symbol, Date) must be unique. Rows that stay null are dropped."""
+    cols = list(cols)
+    return fill_values(df, cols, bucket).dropna(subset=cols)
+
+
+def fill_values(df: DataFrame, cols: Iterable[str] = NUMERICS, bucket: str = "month") -> DataFrame:
+    """Last known value per symbol, null before the first; (Symbol, Date) must be unique and not null.
 
     With a time of day a symbol is filled inside time buckets, and a small table
-    of the last values per bucket carries them across.
+    of the last values per bucket carries them across. Both sides start from one
+    shuffle by (Symbol, bucket), which Spark makes once.
     """
     cols = list(cols)
     if is_daily(df):
         so_far = W.partitionBy("Symbol").orderBy("Date").rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in cols}).dropna(subset=cols)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in cols})
     names = df.columns
-    df = df.withColumn("_bucket", F.date_trunc(bucket, "Date"))
+    # a number of partitions would keep Spark from adapting it
+    df = df.withColumn("_bucket", F.date_trunc(bucket, "Date")).repartition("Symbol", "_bucket")
     ends = df.groupBy("Symbol", "_bucket").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("Date"))).alias(c) for c in cols]
     )
@@ -80,15 +96,19 @@ def forward_fill(df: DataFrame, cols: Iterable[str] = NUMERICS, bucket: str = "m
     filled = df.join(carried, ["Symbol", "_bucket"]).withColumns(
         {c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_carried_{c}")) for c in cols}
     )
-    return filled.select(*names).dropna(subset=cols)
+    return filled.select(*names)
 
 
-def price_sanity(df: DataFrame) -> DataFrame:
+def is_sane() -> Column:
     """Positive prices, High at or above Low, no negative volume."""
     sane = (F.col("High") >= F.col("Low")) & (F.col("Volume") >= 0)
     for c in PRICES:
         sane = sane & (F.col(c) > 0)
-    return df.filter(sane)
+    return sane
+
+
+def price_sanity(df: DataFrame) -> DataFrame:
+    return df.filter(is_sane())
 
 
 def thin_symbols(df: DataFrame, min_rows: int = 100) -> DataFrame:

@@ -115,6 +115,43 @@ def even_sample(windows: DataFrame, most: int = 500) -> DataFrame:
     return picked.drop("pos", "total").withColumnRenamed("Date", "start_date")
 
 
+def _chosen(i: Column, last: Column, most: int) -> Column:
+    """The i-th of `most` evenly spread places from 0 to `last`."""
+    return F.when(i == most - 1, last).otherwise(F.floor(i * (last.cast("double") / F.lit(float(most - 1)))))
+
+
+def sampled_candle_windows(bars: DataFrame, size: int = 30, most: int = 500, date_format: str = "yyyyMMdd", bucket: str = "month") -> DataFrame:
+    """`even_sample` of the `candle_windows` of the bars, without the other windows.
+
+    The places of the chosen starts follow from a symbol's number of bars, so a bar knows by arithmetic which chosen windows
+    it lies in. Bars in none are dropped before anything moves, the others are gathered by (Symbol, start), size + 1 at most.
+    """
+    df = with_positions(bars.select("Symbol", "Date", "Open", "High", "Low", "Close", "Volume"), bucket)
+    at, last = F.col("pos") - 1, F.col("total") - size - 1  # of the bar, and of the last window's start
+    first = F.greatest(at - size, F.lit(0))
+    step = last.cast("double") / F.lit(float(most - 1))
+    # the places of all starts that may reach the bar, one more on either side for rounding
+    low = F.greatest(F.ceil(first / step).cast("long") - 1, F.lit(0))
+    high = F.least(F.floor(at / step).cast("long") + 1, F.lit(most - 1))
+    some = F.when(low <= high, F.transform(F.sequence(low, high), lambda i: _chosen(i, last, most)))
+    upto = F.least(at, last)
+    every = F.when(first <= upto, F.sequence(first, upto))
+    starts = F.when(F.col("total") - size <= most, every).otherwise(F.array_distinct(F.filter(some, lambda s: s.between(first, upto))))
+    bar = F.struct("Date", "Open", "High", "Low", "Close", "Volume")
+    spread = df.filter(F.col("total") > size).withColumn("_start", F.explode(starts))
+    row = F.struct(at.alias("at"), bar.alias("bar"))
+    gathered = spread.groupBy("Symbol", "_start").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["bar"]).alias("_bars"))
+    candles, end = F.slice("_bars", 1, size), F.col("_bars")[size - 1]
+    return gathered.select(
+        "Symbol",
+        F.col("_bars")[0]["Date"].alias("start_date"),
+        end["Date"].alias("end_date"),
+        candles.alias("candles"),
+        candle_label(F.col("_bars")[size]["Close"], end["Close"]).alias("label"),
+        F.concat_ws("_", "Symbol", F.date_format(end["Date"], date_format)).alias("image_id"),
+    ).filter(F.size("candles") == size)
+
+
 def fuse(features: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Rows that have both features and an embedding; a right-hand column that collides gets the suffix _cnn."""
     keys = ("Symbol", "Date")
