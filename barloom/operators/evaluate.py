@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import confidence, safe_ratio
 from barloom.operators.datasets import last_n
-from barloom.operators.ranking import SCORE_GROUPS, SCORE_RUN, quantiles, running_total
+from barloom.operators.ranking import grouped, quantiles, running_total
 
 
 def predicted(df: DataFrame, p: str = "p") -> DataFrame:
@@ -79,7 +79,8 @@ def roc_auc(df: DataFrame, by: Iterable[str] = ()) -> DataFrame:
     """Exact area under the curve, ties count half. Rows with one score merge before any ordering."""
     by = list(by)
     scores = df.groupBy(*by, "p").agg(F.count_if(F.col("y") == 1).alias("up"), F.count_if(F.col("y") == 0).alias("down"))
-    ranked = running_total(scores, ["down"], "p", F.floor(F.col("p") * SCORE_GROUPS), by, SCORE_RUN)
+    scores, group = grouped(scores, "p")
+    ranked = running_total(scores, ["down"], "p", group, by)
     wins = F.sum(F.col("up") * (F.col("down_before") + F.col("down") / 2.0))
     pairs = F.sum("up").cast("double") * F.sum("down")
     return ranked.groupBy(*by).agg(F.try_divide(wins, pairs).alias("roc_auc"))
@@ -89,8 +90,7 @@ def confidence_stats(df: DataFrame) -> DataFrame:
     """Mean, median and 90th percentile of the confidence."""
     conf = df.select(confidence("p").alias("c"))
     mean = conf.agg(F.avg("c").alias("mean")).scalar()
-    groups = F.floor(F.col("v") * SCORE_GROUPS)
-    return quantiles(conf, "c", {"median": 0.5, "p90": 0.9}, groups, SCORE_RUN).withColumn("mean", mean)
+    return quantiles(conf, "c", {"median": 0.5, "p90": 0.9}).withColumn("mean", mean)
 
 
 def class_imbalance(df: DataFrame, target: str = "Target", threshold: float = 1.2) -> DataFrame:

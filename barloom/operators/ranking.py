@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 from operator import add
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,9 +46,23 @@ def running_total(
     return out.drop("_coarse", *[f"_k_{k}" for k in by], *[f"_o_{v}" for v in values])
 
 
-# Scores between 0 and 1: groups of width 2^-24, summed in runs of 4096.
-SCORE_GROUPS = 1 << 24
-SCORE_RUN = 1 << 12
+#: groups of neighbouring values that are summed by themselves
+GROUPS = 4096
+
+
+def grouped(values: DataFrame, x: str, groups: int = GROUPS) -> tuple[DataFrame, Column]:
+    """The rows with a number of the group of neighbouring values that x lies in, and that column.
+
+    Bounds come from a quantile summary of the rows, so values that lie close together, or next to zero, still spread
+    over many groups. `groups` bounds at most reach the driver. Equal values share a group.
+    """
+    cuts = values.approxQuantile(x, [i / groups for i in range(1, groups)], 1 / (4 * groups))
+    inner = sorted({float(c) for c in cuts})
+    splits = [-math.inf, *inner, math.inf]
+    if len(splits) < 3:
+        return values.withColumn("_near", F.lit(0).cast("long")), F.col("_near")
+    placed = Bucketizer(splits=splits, inputCol="_value", outputCol="_near", handleInvalid="keep").transform(values.withColumn("_value", F.col(x).cast("double")))
+    return placed.withColumn("_near", F.col("_near").cast("long")).drop("_value"), F.col("_near")
 
 
 def _dates_with_totals(df: DataFrame) -> DataFrame:
@@ -67,12 +83,52 @@ def cut_keys(df: DataFrame, ranks: Column) -> DataFrame:
     inside = F.filter("_ranks", lambda k: (F.col("n_before") < k) & (k <= F.col("n_before") + F.col("n")))
     # at most one row per cut
     hit = dates.select(F.col("Date").alias("_date"), "n_before", F.explode(inside).alias("_rank"))
-    on_date = df.select("Date", "Symbol").join(F.broadcast(hit), F.col("Date") == F.col("_date"))
-    numbered = on_date.withColumn("_rn", F.row_number().over(W.partitionBy("_rank").orderBy("Symbol")))
-    keys = numbered.filter(F.col("_rn") == F.col("_rank") - F.col("n_before"))
+    on_date = df.select("Date", "Symbol").join(F.broadcast(hit), F.col("Date") == F.col("_date")).withColumn("_one", F.lit(1))
+    numbered = running_total(on_date, ["_one"], "Symbol", _within_dates(df, dates), ["Date", "_rank"])
+    keys = numbered.filter(F.col("_one_before") + 1 == F.col("_rank") - F.col("n_before"))
     return keys.agg(F.sort_array(F.collect_list(F.struct("Date", "Symbol"))).alias("cuts"))
 
 
+#: rows of one date that a task may rank by itself
+DATE_ROWS = 1_000_000
+
+
+def _within_dates(df: DataFrame, dates: DataFrame) -> Column:
+    """Groups of neighbouring symbols of a date: one, or ranges of Symbol where some date holds more than `DATE_ROWS` rows."""
+    widest = dates.agg(F.max("n")).first()[0] or 0
+    return symbol_range(df) if widest > DATE_ROWS else F.lit(0).cast("long")
+
+
+#: ranges of symbols that are ranked by themselves within a date: SPLITS * SPLITS
+SPLITS = 32
+
+
+def symbol_range(df: DataFrame, splits: int = SPLITS) -> Column:
+    """The number of the range that Symbol lies in, by bounds from a sample of the distinct symbols.
+
+    The sample takes symbols by hash, so it is the same on every run, and at most about 16 a range; bounds only place the
+    rows, ranks stay exact whatever they are.
+    """
+    wanted = splits * splits
+    symbols = df.select("Symbol").distinct()
+    many = symbols.agg(F.approx_count_distinct("Symbol")).first()[0]
+    share = max(1, many // (16 * wanted))
+    sample = symbols.filter(F.pmod(F.xxhash64("Symbol"), F.lit(share)) == 0).select(
+        F.sort_array(F.collect_list("Symbol")).alias("s")).first().s
+    bounds = sorted({sample[len(sample) * i // wanted] for i in range(1, wanted)}) if sample else []
+    if not bounds:
+        return F.lit(0).cast("long")
+    blocks = [bounds[i : i + splits] for i in range(0, len(bounds), splits)]
+
+    def passed(some: Column) -> Column:
+        return F.size(F.filter(some, lambda b: b <= F.col("Symbol"))).cast("long")
+
+    tops = F.array(*[F.lit(b[0]) for b in blocks])
+    top = passed(tops)
+    inner = F.element_at(F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks]), F.greatest(top, F.lit(1)).cast("int"))
+    return F.when(top == 0, F.lit(0).cast("long")).otherwise((top - 1) * splits + passed(inner))
+
+
 def time_split(df: DataFrame, train: float = 0.8) -> DataFrame:
     """Add `role`: train for the first floor(train * n) rows by (Date, Symbol), at least 1 and at most n - 1."""
     n = F.col("total")
@@ -100,21 +156,24 @@ def time_series_folds(df: DataFrame, folds: int = 5) -> DataFrame:
 
 def global_rank(df: DataFrame) -> DataFrame:
     """Add `rank`, the exact row number in (Date, Symbol) order."""
-    dates = _dates_with_totals(df).select(F.col("Date").alias("_date"), "n_before")
-    inside = F.row_number().over(W.partitionBy("Date").orderBy("Symbol"))
-    out = df.join(dates, F.col("Date") == F.col("_date"))
-    return out.withColumn("rank", F.col("n_before") + inside).drop("_date", "n_before")
+    dates = _dates_with_totals(df)
+    inside = running_total(df.withColumn("_one", F.lit(1)), ["_one"], "Symbol", _within_dates(df, dates), ["Date"])
+    dates = dates.select(F.col("Date").alias("_date"), "n_before")
+    out = inside.join(dates, F.col("Date") == F.col("_date"))
+    return out.withColumn("rank", F.col("n_before") + F.col("_one_before") + 1).drop("_date", "n_before", "_one", "_one_before")
 
 
 def quantiles(
-    df: DataFrame, x: str, probs: dict[str, float], coarse: Column, wider: int | None = None
+    df: DataFrame, x: str, probs: dict[str, float], coarse: Column | None = None, wider: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles in one row; equal values count once and carry their number.
 
-    `coarse` groups neighbouring values `v`, as in `running_total`.
+    `coarse` groups neighbouring values `v`, as in `running_total`; without it they are grouped by a summary of the values.
     """
     values = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = values.agg(F.sum("n").alias("total")).scalar()
+    if coarse is None:
+        values, coarse = grouped(values, "v")
     ranked = running_total(values, ["n"], "v", coarse, wider=wider).withColumn("total", total)
 
     def at(position: Column) -> Column:
