@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import catalog, decontaminate, ngram_join, packing, pii, quality
-from barloom.llm.components import saved
+from barloom.llm.components import lean, saved
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    lean(spark)
     return quality.keep_good(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by the n-gram join, five words and a similarity of 0.8, the one of the smallest id stays."""
+    lean(spark)
     return ngram_join.keep_one(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    lean(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the text becomes pseudonyms."""
+    lean(spark)
     return pii.pseudonymise(docs, catalog.TRIAL_KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: the pieces of every document with their token ids."""
+    lean(spark)
     return packing.pack(docs, catalog.default_tokenizer())
 
 
