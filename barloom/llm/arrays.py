@@ -6,6 +6,7 @@ task depends on the longest text and not on the number of rows. Every function s
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +26,30 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PIECE) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most `size` bytes of text, or one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths, dtype=np.int64)
-        at = 0
-        while at < batch.num_rows:
-            done = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                done = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, done + size, side="right")))
+                yield batch.slice(at, upto - at)
+                at = upto
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the machine: Python workers live on between tasks, beside the executor's own memory."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

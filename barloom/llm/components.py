@@ -22,6 +22,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: rows of an Arrow batch where rows carry whole texts
+LEAN = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, and no shuffle files and broadcasts of steps before.
+
+    A batch of texts is held by the JVM, outside its heap, and twice by the Python worker; the rows of a batch change the
+    memory of a task, not its result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(LEAN))
+    release(spark)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of steps whose results have been written.
 

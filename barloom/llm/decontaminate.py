@@ -305,7 +305,9 @@ def fit(docs: DataFrame, items: list[np.ndarray], rules: Rules) -> Model:
                 out[place[order][start]] += np.add.reduceat(rows[order], start)
             return out
 
-        return _summed(docs, share, (size, x.shape[1]))
+        out = _summed(docs, share, (size, x.shape[1]))
+        sent.destroy()
+        return out
 
     rank = min(rules.rank, size)
     corpus = np.zeros((size, 0))
@@ -317,6 +319,7 @@ def fit(docs: DataFrame, items: list[np.ndarray], rules: Rules) -> Model:
         held = values > 1e-6 * max(values.max(), 1e-300)
         u, strength, _ = np.linalg.svd(y @ turn[:, held] / np.sqrt(values[held]), full_matrices=False)
         corpus = u[:, strength > 1e-6 * max(strength.max(initial=0), 1e-300)]
+    live.destroy()
     return Model(words, idf, corpus, items, rules)
 
 
