@@ -191,38 +191,69 @@ class Automaton:
         return rank[part[table[first[order]]]], mask[first[order]]
 
     def ends(self, buf: np.ndarray, offsets: np.ndarray, lane: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rule, first byte of the lane, end) of all matches.
+        """(rule, earliest place where the match can begin, end) of all matches.
 
-        Texts are cut into lanes after bytes that bring every state back to the start, so each lane can be read from the
-        start; all lanes take a step at a time.
+        Texts are cut into lanes of about `lane` bytes, where one is near after a byte that brings every state back to the
+        start, and anywhere else in a long run without such bytes. All lanes take a step at a time, from the start state;
+        those that turn out to begin in another state, the last of the lane before, are read again from that one, until
+        no lane's state changes. States forget what is some dozens of bytes back, so a second reading is the rule.
         """
-        cut = np.flatnonzero(self.resets[buf]) + 1
-        place = np.searchsorted(cut, np.arange(lane, len(buf), lane))
-        begin = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < len(buf)], cut[place[place < len(cut)]]]))
+        none = np.zeros(0, dtype=np.int64)
+        if not len(buf):
+            return none, none, none
+        texts = offsets[:-1][np.diff(offsets) > 0]
+        reset = np.flatnonzero(self.resets[buf]) + 1
+        aim = np.arange(lane, len(buf), lane)
+        after = np.append(reset, len(buf) + lane)[np.searchsorted(reset, aim)]
+        begin = np.unique(np.concatenate([texts, np.where(after - aim <= lane, after, aim)]))
         begin = begin[begin < len(buf)]
         size = np.diff(np.append(begin, len(buf)))
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        live = len(begin) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1 if len(size) else 1))
-        state = np.zeros(len(begin), dtype=np.int32)
-        before = np.zeros(len(begin), dtype=np.int32)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # lanes that go on where the one before stops
+        follows = np.ones(len(begin), dtype=bool)
+        follows[np.searchsorted(begin, texts)] = False
+        entry, exit_ = np.zeros(len(begin), dtype=np.int32), np.zeros(len(begin), dtype=np.int32)
+        reading = np.zeros(len(begin), dtype=np.int32)
+        found: list[tuple[np.ndarray, ...]] = []
+        todo, times = np.arange(len(begin)), 0
+        while len(todo):
+            times += 1
+            reading[todo] = times
+            for bits, which, end in self._read(buf, begin, size, entry, exit_, todo):
+                found.append((bits, which, end, np.full(len(which), times, dtype=np.int32)))
+            now = np.where(follows, np.append(0, exit_[:-1]), 0).astype(np.int32)
+            todo = np.flatnonzero(now != entry)
+            entry = now
+        # matches that last to the end of their text
+        last = np.flatnonzero(~np.append(follows[1:], False))
+        held = last[self.mask[exit_[last]] != 0]
+        found.append((self.mask[exit_[held]], held, begin[held] + size[held], reading[held]))
+        bits, which, end, read = (np.concatenate(x) for x in zip(*found))
+        valid = read == reading[which]
+        bits, end = bits[valid], end[valid]
+        bound = np.unique(np.concatenate([texts, reset]))
+        least = bound[np.searchsorted(bound, end - 1, side="right") - 1]
+        rules = [np.flatnonzero(bits >> k & 1) for k in range(31)]
+        pick = np.concatenate(rules)
+        return np.repeat(np.arange(31), [len(r) for r in rules]), least[pick], end[pick]
+
+    def _read(self, buf: np.ndarray, begin: np.ndarray, size: np.ndarray, entry: np.ndarray, exit_: np.ndarray, lanes: np.ndarray):
+        """Reads some lanes from their entry states and notes their last states; gives (rules as bits, lane, end) of what ends inside."""
+        lanes = lanes[np.argsort(-size[lanes], kind="stable")]
+        first, length = begin[lanes], size[lanes]
+        live = len(lanes) - np.searchsorted(length[::-1], np.arange(1, length[0] + 1))
+        state = entry[lanes]
+        before = self.mask[state]
         for t, n in enumerate(live.tolist()):
+            exit_[lanes[n : len(state)]] = state[n:]
             state = state[:n]
-            state = self.next[(state << 8) | buf[begin[:n] + t]]
+            state = self.next[(state << 8) | buf[first[:n] + t]]
             now = self.mask[state]
             gone = before[:n] & ~now
             at = np.flatnonzero(gone)
             if len(at):
-                found.append((gone[at], begin[at], begin[at] + t))
-            before[:n] = now
-        # matches that last to the end of their lane
-        at = np.flatnonzero(before)
-        found.append((before[at], begin[at], begin[at] + size[at]))
-        bits, lanes, end = (np.concatenate(x) for x in zip(*found))
-        rules = [np.flatnonzero(bits >> k & 1) for k in range(31)]
-        pick = np.concatenate(rules)
-        return np.repeat(np.arange(31), [len(r) for r in rules]), lanes[pick], end[pick]
+                yield gone[at], lanes[at], first[at] + t
+            before = now
+        exit_[lanes[: len(state)]] = state
 
 
 class Backwards:
