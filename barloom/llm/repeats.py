@@ -1,16 +1,20 @@
-"""Exact substring deduplication by a distributed difference cover.
+"""Exact substring deduplication by a distributed difference cover, with hashes for names.
 
 Two equal strings of `length` bytes at places i and j have a shift d < period such that i + d and j + d both lie
-in the difference cover, so it is enough to sort the sampled suffixes, a few in a hundred:
+in the difference cover, so it is enough to name the sampled places, a few in a hundred:
 
 1. Sampled places are named by the length - period + 1 bytes that follow; equal names meet, names that are alone are settled.
-2. The recursion goes on with the names that are not: only places within a period before such a sample can begin a
-   repeated string. They are named by all their `length` bytes.
-3. Names are merged by sorting, and adjacent equal ones are the repeated strings.
+2. Only places within a period before a sample whose name is not alone can begin a repeated string. They are named by all
+   their `length` bytes, and equal names are the repeated strings.
+
+This takes the cover and the two depths of names from the suffix sort, but not its order: names are hashes, so no triples are
+ranked, nothing is recursed on and no neighbours are compared. Equality at `length` bytes needs no order among unequal
+strings, and the sort itself moves the bytes of every sampled suffix; the README has the measured figures.
 
 A name is a hash of the bytes: 32 bits beside the lane for the samples, where a false meeting costs a comparison only,
 and 64 bits of one hash beside a lane by another for the strings themselves. Equal names are brought together
 within a task before they are shuffled, so a string that very many documents hold is sent once for each batch of a task.
+What is found out about a text goes back to its copies by (text, salt), so copies of one text do not share a task.
 
 Texts that are equal as a whole are covered wherever they are as long as a string; their places count as those of one text.
 
@@ -36,6 +40,8 @@ from barloom.llm.components import release, saved
 LENGTH = 400
 # the cover's prime: 14 of every 183 places are sampled
 PRIME = 13
+# tasks that the copies of one text are dealt to
+SALTS = 16
 # names that a task holds before it passes them on
 BATCH = 1 << 21
 
@@ -254,7 +260,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, prime: int = PRIME, te
     changed = texts.select("h", "text").join(found, "h").mapInArrow(cut, "h long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if with_text:
         facts = read.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), "text")
-    rows = facts.join(changed, "h", "left").join(classes.select("h", "sha", F.lit(True).alias("copied")), ["h", "sha"], "left")
+
+    def for_all(df: DataFrame) -> DataFrame:
+        return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+    # by the place of the row in its file: the same when a task is run again
+    facts = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    rows = facts.join(for_all(changed), ["h", "_salt"], "left").join(
+        for_all(classes.select("h", "sha", F.lit(True).alias("copied"))), ["h", "sha", "_salt"], "left")
     whole = F.col("copied").isNotNull()
     out = [
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),

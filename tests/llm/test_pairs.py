@@ -128,6 +128,27 @@ def test_repeats_equal_brute_force(spark):
     check_repeats(spark, rows, 100, 5)
 
 
+def test_passages_around_400_bytes(spark):
+    """A passage of 400 bytes or more that stands in two documents goes, one of 399 stays; so do those within one document."""
+    rng = random.Random(9)
+
+    def letters(n):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+
+    rows, want = [], {}
+    for k, size in enumerate((399, 400, 401, 1200)):
+        passage = "<" + letters(size - 2) + ">"
+        for side in (0, 1):
+            rows.append((2 * k + side, letters(300 + k) + f"{2 * k + side}A" + passage + f"B{2 * k + side}" + letters(250)))
+            want[2 * k + side] = size if size >= 400 else 0
+    twice = "<" + letters(398) + ">"
+    rows += [(20, "1" + twice + "2" + letters(40) + "3" + twice + "4"), (21, letters(2000))]
+    want |= {20: 800, 21: 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(docs).collect()}
+    assert made == {k: (n, 2 if k == 20 else int(n > 0)) for k, n in want.items()}
+
+
 def test_repeats_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in catalog.documents(spark, sf_dir).collect()}
     want = dict(zip(texts, plain_repeats(list(texts.values()), 400)))
@@ -160,6 +181,34 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()) == [12, 14, 15, 16]
 
 
+def test_reworded_items_are_found(spark):
+    """Items with words dropped, put in and replaced, as far as the rule on the common subsequence lets them be leaks."""
+    sf = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rng = random.Random(12)
+    rows, want = [], set()
+    for item, text in items:
+        words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        for drop, put, swap in ((0.1, 0, 0), (0.2, 0.1, 0), (0.3, 0, 0), (0, 0.3, 0), (0, 0, 0.2), (0.1, 0.2, 0.1)):
+            made = []
+            for w in words:
+                if rng.random() < drop:
+                    continue
+                made.append(f"swap{rng.randrange(99)}" if rng.random() < swap else w)
+                if rng.random() < put:
+                    made.append(f"put{rng.randrange(99)}")
+            held, tail = plain_lcs(words, made), plain_lcs(words[-6:], made)
+            doc = len(rows)
+            rows.append((doc, " ".join([odd.prose(60, doc), *made, odd.prose(60, doc + 5000)])))
+            if held >= 0.75 * len(words) or tail >= 0.8 * min(6, len(words)) and held >= 0.6 * len(words):
+                want.add((doc, item))
+    rows += [(r.doc_id + 10_000, r.text) for r in catalog.documents(spark, "/root/testdata/sf0.001").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    assert len(want) > 150 and len(want & found) >= 0.99 * len(want)
+    assert {x for x in found if x[0] < 10_000} <= want
+
+
 def plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
