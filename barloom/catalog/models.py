@@ -1,6 +1,7 @@
 """Models over the feature tables, with the operators' own numbers of trees, depths and lengths.
 
-The structured forest is trained once per application and table folder and saved; the other queries load it.
+A run (model, metrics, folds and so on) is made once for the files of the tables and kept in the registry of the shared scratch
+folder; the other queries, also those of other processes, load it.
 """
 
 from pyspark.sql import functions as F
@@ -9,15 +10,12 @@ from barloom.catalog.base import COMPLETE, EVENTS_BARS, STRICT_CTES, live_ctes,
 from barloom.catalog.datasets import FEATURES_COMPLETE
 from barloom.operators import datasets, evaluate, ml, reports
 from barloom.operators.ranking import time_split
-from barloom.plans import features, training
+from barloom.plans import features, registry, training
 from barloom.schema import FEATURES
 from barloom.sources import writers
 from barloom.sources.adapters import embeddings_keyed, events_bars, table
 from barloom.sources.writers import scratch_dir
 
-_TRAINED: dict[tuple[str, str], tuple[training.Run, str]] = {}
-
-
 def _training(spark, sf_dir):
     """Training features as a written table: the models read it several times."""
     path = scratch_dir(spark) + "/features"
@@ -25,15 +23,37 @@ def _training(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-def _trained(spark, sf_dir):
-    """The run of the structured forest over a table folder, without cross-validation, and where its model is saved."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        path = scratch_dir(spark) + "/model"
-        run = training.train_structured(_training(spark, sf_dir), folds=0)
-        ml.save_model(run.model, path)
-        _TRAINED[key] = run, path
-    return _TRAINED[key]
+def _registered(spark, sf_dir, name, tables, params, make, load):
+    key = registry.fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables], name=name, **params)
+    return registry.registered(spark, name, key, make, load)
+
+
+def trained(spark, sf_dir):
+    """The run of the structured forest over a table folder, without cross-validation."""
+    return _registered(
+        spark, sf_dir, "structured", ["events"], ml.FOREST,
+        lambda path: training.save_run(training.train_structured(_training(spark, sf_dir), folds=0), path),
+        lambda path: training.load_run(spark, path, folds=False))
+
+
+def _validated(spark, sf_dir, part):
+    """fold, rows and accuracy of the structured forest's time-ordered folds, over all rows or the training part."""
+    def rows():
+        return _training(spark, sf_dir) if part == "all" else _split(_training(spark, sf_dir))[0]
+
+    return _registered(
+        spark, sf_dir, "folds", ["events"], {**ml.FOREST, "part": part},
+        lambda path: writers.write_parquet(ml.cross_validate(rows()).coalesce(1), path), spark.read.parquet)
+
+
+def _fused(spark, sf_dir):
+    """The run of the forest over features fused with embeddings."""
+    def make(path):
+        fused = scratch_dir(spark) + "/fused"
+        writers.write_parquet(datasets.fuse(_training(spark, sf_dir), embeddings_keyed(spark, sf_dir)), fused)
+        training.save_run(training.train_fusion(spark.read.parquet(fused), size=64, folds=0)[0], path)
+
+    return _registered(spark, sf_dir, "fusion", ["events", "embeddings"], ml.FUSION_FOREST, make, lambda path: training.load_run(spark, path, folds=False))
 
 
 def _split(rows):
@@ -68,7 +88,7 @@ def _within(*names):
 @query("train_forest", with_ctes(_CTES, "valid, tested:i", f"SELECT true AS valid, count(*) AS tested FROM s WHERE r > {_CUT}"))
 def train_forest(spark, sf_dir):
     """Train on the first 80 %, evaluate on the rest."""
-    run, _ = _trained(spark, sf_dir)
+    run = trained(spark, sf_dir)
     tested = run.confusion.select((F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n")).scalar()
     return run.metrics.select(_within("accuracy", "precision", "recall", "f1_score", "roc_auc").alias("valid"), tested.alias("tested"))
 
@@ -77,7 +97,7 @@ def train_forest(spark, sf_dir):
 def score(spark, sf_dir):
     """Every test row: the two probabilities sum to one, the larger one is the confidence, and it names the label."""
     _, test = _split(_training(spark, sf_dir))
-    scored = ml.score(test, ml.load_model(_trained(spark, sf_dir)[1]))
+    scored = ml.score(ml.in_few_parts(test), trained(spark, sf_dir).model)
     best = F.greatest("p_up", "p_down")
     consistent = (
         (F.abs(F.col("p_up") + F.col("p_down") - 1.0) < 1e-9) & (F.abs(F.col("confidence") - 100.0 * best) < 1e-9)
@@ -94,7 +114,7 @@ def score(spark, sf_dir):
 ))
 def score_batch(spark, sf_dir):
     """The latest complete bar of all symbols that events or nations name; the latter have no bars."""
-    model = ml.load_model(_trained(spark, sf_dir)[1])
+    model = trained(spark, sf_dir).model
     live = features.live_features(events_bars(spark, sf_dir))
     asked = live.select("Symbol").distinct().unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("Symbol")))
     scored = ml.score_batch(asked, live, model)
@@ -102,7 +122,7 @@ def score_batch(spark, sf_dir):
 
 
 def _importances(spark, sf_dir):
-    return _trained(spark, sf_dir)[0].importances
+    return trained(spark, sf_dir).importances
 
 
 @query("feature_importance", f"SELECT feature, 'structured' AS type, true AS valid, true AS whole FROM (VALUES {_NAMES}) AS v(feature)")
@@ -125,11 +145,8 @@ def top_importances(spark, sf_dir):
 @query("fusion_forest", """SELECT type, true AS valid, true AS whole FROM (VALUES ('structured'), ('embedding')) AS v(type)""")
 def fusion_forest(spark, sf_dir):
     """Features fused with embeddings, trained and judged like the structured model: importance by family."""
-    rows = _training(spark, sf_dir)
-    base, _ = _trained(spark, sf_dir)
-    path = scratch_dir(spark) + "/fused"
-    writers.write_parquet(datasets.fuse(rows, embeddings_keyed(spark, sf_dir)), path)
-    run, gain = training.train_fusion(spark.read.parquet(path), size=64, structured=base.metrics, folds=0)
+    run = _fused(spark, sf_dir)
+    gain = training.compared(run.metrics, trained(spark, sf_dir).metrics)
     valid = gain.select(F.col("accuracy_gain").between(-1.0, 1.0) & F.col("roc_auc_gain").between(-1.0, 1.0)).scalar()
     families = reports.importance_by_type(run.importances)
     total = families.agg(F.sum("importance")).scalar()
@@ -138,9 +155,10 @@ def fusion_forest(spark, sf_dir):
 
 @query("save_and_load_model", with_ctes(_CTES, "rows:i, different:i", "SELECT count(*) AS rows, 0 AS different FROM t"))
 def save_and_load_model(spark, sf_dir):
-    """A loaded model scores every row as the saved one does."""
-    rows = _training(spark, sf_dir)
-    run, path = _trained(spark, sf_dir)
+    """A model that is loaded, saved again and loaded scores every row as before."""
+    rows = ml.in_few_parts(_training(spark, sf_dir))
+    run, path = trained(spark, sf_dir), scratch_dir(spark) + "/model"
+    ml.save_model(run.model, path)
     loaded = ml.score(rows, ml.load_model(path)).select("Symbol", "Date", F.col("p_up").alias("q"))
     both = ml.score(rows, run.model).select("Symbol", "Date", "p_up").join(loaded, ["Symbol", "Date"])
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p_up") != F.col("q")).alias("different"))
@@ -149,19 +167,23 @@ def save_and_load_model(spark, sf_dir):
 @query("cross_validate", with_ctes(
     {**_CTES, "c": "SELECT max(n) AS n FROM s"}, "fold:i, rows:i, valid", "SELECT unnest([1, 2, 3, 4, 5]) AS fold, floor(n / 6) AS rows, true AS valid FROM c"))
 def cross_validate(spark, sf_dir):
-    made = ml.cross_validate(_training(spark, sf_dir))
-    return made.select("fold", "rows", _within("accuracy").alias("valid"))
+    return _validated(spark, sf_dir, "all").select("fold", "rows", _within("accuracy").alias("valid"))
+
+
+_SEQUENCES = {
+    **_CTES,
+    "later": f"""SELECT *, row_number() OVER (PARTITION BY "Symbol" ORDER BY "Date") AS place FROM s WHERE r > {_CUT}""",
+}
 
 
-@query("sequence_classifier")
+@query("sequence_classifier", with_ctes(
+    _SEQUENCES, "Symbol, Date:d, label:i, valid", 'SELECT "Symbol", "Date", "Target" AS label, true AS valid FROM later WHERE place > 60'))
 def sequence_classifier(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    scaled = datasets.minmax_transform(rows, datasets.minmax_fit(rows, FEATURES), FEATURES)
-    path = scratch_dir(spark) + "/sequences"
-    writers.write_parquet(datasets.sequences(scaled), path)
-    sequences = spark.read.parquet(path)
-    model = ml.sequence_classifier(sequences)
-    return ml.score_sequences(sequences, model).groupBy("prediction", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Every test sequence, with the confidence in the right order and metrics over them."""
+    run = training.train_sequences(_training(spark, sf_dir))
+    judged = run.metrics.select(_within("accuracy", "precision", "recall", "f1_score", "roc_auc")).scalar()
+    consistent = (F.abs(F.col("p_up") + F.col("p_down") - 1.0) < 1e-9) & (F.col("prediction") == F.when(F.col("p_up") >= F.col("p_down"), "UP").otherwise("DOWN"))
+    return run.scored.select("Symbol", "Date", "label", (consistent & judged).alias("valid"))
 
 
 @query("append_model_run", with_ctes(_CTES, "model, tested:i, folds:i, labels:i, top:i, valid", f"""
@@ -169,8 +191,8 @@ SELECT 'forest' AS model, count(*) AS tested, 5 AS folds, 4 AS labels, 20 AS top
 def append_model_run(spark, sf_dir):
     """The whole record of a run, read back."""
     path = scratch_dir(spark) + "/model_runs"
-    run, _ = _trained(spark, sf_dir)
-    folds = ml.cross_validate(_split(_training(spark, sf_dir))[0])
+    run = trained(spark, sf_dir)
+    folds = _validated(spark, sf_dir, "train")
     writers.append_model_run(run.metrics, run.importances, path, "forest", ml.FOREST, folds, run.confusion, run.report, run.confidence)
     runs = spark.read.parquet(path)
     best = evaluate.rank_models(runs).select("model", "roc_auc")

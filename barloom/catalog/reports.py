@@ -24,22 +24,22 @@ from barloom.plans import features
 from barloom.schema import BAR_COLUMNS, CORRELATED
 from barloom.sources.adapters import events_bars, lineitem_bars, scored_bars, scored_labels
 
-_SUMMARY_SHOWN = (
+SUMMARY_SHOWN = (
     "total_rows:i, unique_symbols:i, date_range_start:d, date_range_end:d, avg_close_price:f, std_close_price:f,"
     "min_close_price:f, max_close_price:f, avg_volume:f, avg_daily_returns:f, avg_volatility:f"
 )
-_SUMMARY = """SELECT count(*) AS total_rows, count(DISTINCT "Symbol") AS unique_symbols, min("Date") AS date_range_start,
+SUMMARY = """SELECT count(*) AS total_rows, count(DISTINCT "Symbol") AS unique_symbols, min("Date") AS date_range_start,
     max("Date") AS date_range_end, avg("Close") AS avg_close_price, stddev_samp("Close") AS std_close_price,
     min("Close") AS min_close_price, max("Close") AS max_close_price, avg("Volume") AS avg_volume,
     avg("Daily_Returns_Spark") AS avg_daily_returns, avg("Volatility_Spark") AS avg_volatility FROM b"""
 
 
-@query("summary", with_ctes(batch_ctes(EVENTS_BARS), _SUMMARY_SHOWN, _SUMMARY))
+@query("summary", with_ctes(batch_ctes(EVENTS_BARS), SUMMARY_SHOWN, SUMMARY))
 def summary(spark, sf_dir):
     return r.summary(features.batch_features(events_bars(spark, sf_dir)))
 
 
-@query("summary_daily", with_ctes(batch_ctes(LINEITEM_BARS), _SUMMARY_SHOWN, _SUMMARY))
+@query("summary_daily", with_ctes(batch_ctes(LINEITEM_BARS), SUMMARY_SHOWN, SUMMARY))
 def summary_daily(spark, sf_dir):
     return r.summary(features.batch_features(lineitem_bars(spark, sf_dir)))
 

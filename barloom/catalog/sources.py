@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import BARS_SHOWN, EVENTS_BARS, SCORED_BARS, batch_ctes, query, with_ctes
-from barloom.catalog.reports import _SUMMARY, _SUMMARY_SHOWN
+from barloom.catalog.reports import SUMMARY, SUMMARY_SHOWN
 from barloom.operators import reports
 from barloom.plans import features
 from barloom.plans.cleaning import clean
@@ -30,7 +30,7 @@ def write_parquet(spark, sf_dir):
     return spark.read.parquet(path).select(*BAR_COLUMNS)
 
 
-@query("write_summary_csv", with_ctes(batch_ctes(EVENTS_BARS), _SUMMARY_SHOWN, _SUMMARY))
+@query("write_summary_csv", with_ctes(batch_ctes(EVENTS_BARS), SUMMARY_SHOWN, SUMMARY))
 def write_summary_csv(spark, sf_dir):
     path = scratch_dir(spark) + "/summary"
     summary = reports.summary(features.batch_features(events_bars(spark, sf_dir)))

@@ -9,8 +9,11 @@ the blocks whose windows look back (`before` rows) or ahead (`after` rows) into
 it. All windows then run per (Symbol, block), and `settle` keeps each row once,
 in the block that owns it.
 
-Only the table of rows per (Symbol, bucket) is needed to place the blocks, so
-the bars move by (Symbol, bucket) to meet it, and by (Symbol, block) for the windows.
+Only the table of rows per (Symbol, bucket) is needed to place the blocks: a scan of
+two columns whose counts are combined before they move. The bars move by (Symbol, bucket)
+to meet it, and by (Symbol, block) for the windows. The bucket is the widest
+calendar unit of which no symbol has more than an eighth of a block in one, so a
+month of second bars makes many blocks too; `bucket` fixes it and saves the look.
 """
 
 from __future__ import annotations
@@ -58,6 +61,22 @@ def over(df: DataFrame) -> WindowSpec:
     return W.partitionBy(*series_keys(df)).orderBy("Date")
 
 
+#: calendar units a bucket may have, widest first
+UNITS = ("month", "day", "hour", "minute", "second")
+
+
+def fitting_bucket(bars: DataFrame, core: int = CORE) -> str:
+    """The widest unit of which no symbol has more than an eighth of `core` rows in one; a second at least.
+
+    Each look is a count per (Symbol, unit), combined in the tasks; the usual bars need one.
+    """
+    for unit in UNITS[:-1]:
+        counts = bars.groupBy("Symbol", F.date_trunc(unit, "Date").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= core // 8:
+            return unit
+    return UNITS[-1]
+
+
 def bucket_counts(bars: DataFrame, bucket: str) -> DataFrame:
     """Rows per (Symbol, time bucket) and the position `_from` of the bucket's first row in its series."""
     counts = bars.groupBy("Symbol", F.date_trunc(bucket, "Date").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
@@ -103,17 +122,19 @@ def lay_out(
     before: int = HALO,
     after: int = 1,
     core: int = CORE,
-    bucket: str = "month",
+    bucket: str | None = None,
     force: bool = False,
 ) -> DataFrame:
     """Bars with a block column, ready for `over`; (Symbol, Date) must be unique and not null.
 
     `bucket` names a date_trunc unit that holds a moderate number of rows of one
-    symbol: month suits minute bars and coarser ones, day or hour finer ones.
+    symbol; without it `fitting_bucket` finds one.
     Daily bars are returned as they are unless `force` is set.
     """
     if BLOCK in bars.columns or (is_daily(bars) and not force):
         return bars
+    # days are bounded by the calendar, so a symbol of daily bars has few in a month
+    bucket = bucket or ("month" if is_daily(bars) else fitting_bucket(bars, core))
     placed = _placement(bars, max(before, 1), max(after, 1), core, bucket)
     spread = bars.withColumn("_bucket", F.date_trunc(bucket, "Date")).join(placed, ["Symbol", "_bucket"])
     spread = spread.select(*bars.columns, "_home", F.explode("_blocks").alias(BLOCK))

@@ -53,7 +53,7 @@ STAGES = ("raw", "dated", "unique", "filled", "sane", "kept")
 def stage_counts(raw: DataFrame, min_rows: int = 100, fmt: str | list[str] | None = None, intraday: bool = False, bucket: str = "month") -> DataFrame:
     """Rows per stage and how many each removed, as a table (`clean(counts=...)` gives the same in passing).
 
-    One pass: copies of a key collapse into one row with their number, every row is marked with the furthest stage it
+    One chain, which the filling of bars with a time of day reads twice: copies of a key collapse into one row with their number, every row is marked with the furthest stage it
     reaches, and the marks are added up per symbol, where the rule on thin symbols is decided. Rows without a date stand
     under a date of their own without values, so they are counted and fill nothing.
     """

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import clean, datasets, evaluate, ranking, symbols
+from barloom.operators import clean, datasets, evaluate, layout, ranking, symbols
 from barloom.plans import cleaning
 from barloom.sources.adapters import dirty_bars
 from conftest import bars, series
@@ -74,7 +74,7 @@ def test_windows_that_are_not_chosen_are_not_built(spark):
     assert seen == [60]
 
 
-def test_stage_counts_read_the_input_once(spark, sf_dir):
+def test_stage_counts_read_the_input_twice_at_most(spark, sf_dir):
     raw = dirty_bars(spark, sf_dir)
     counted = cleaning.stage_counts(raw, intraday=True)
     stages = cleaning.stages(raw, intraday=True)
@@ -126,3 +126,14 @@ def test_ranks_inside_a_hot_date(spark, monkeypatch):
     assert {r.role: r["count"] for r in split} == {"train": int((n + 2) * 0.8), "test": n + 2 - int((n + 2) * 0.8)}
     folds = ranking.fold_parts(df).groupBy("part").count().collect()
     assert sorted(r["count"] for r in folds)[:5] == [500] * 5
+
+
+def test_a_month_of_second_bars_makes_blocks_of_bounded_size(spark):
+    n = 1_000_000
+    at = F.timestamp_seconds(F.lit(1_577_836_800) + F.col("id"))
+    one = F.lit(1.0)
+    df = spark.range(n).select(F.lit("A").alias("Symbol"), at.alias("Date"), *[one.alias(c) for c in ("Open", "High", "Low", "Close", "Volume")])
+    laid = layout.lay_out(df)
+    assert layout.fitting_bucket(df) == "hour"
+    sizes = [r["count"] for r in layout.settle(laid.withColumn("b", F.col(layout.BLOCK))).groupBy("b").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * layout.CORE and len(sizes) > 10
