@@ -26,7 +26,8 @@ def test_query(name, spark, duck, sf_dir):
     want = duck.execute(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert normal(got) == normal(want)
-    assert len(got) > 0 or name == "sample_rows"
+    # in the smallest tables no symbol has 60 test rows
+    assert len(got) > 0 or name in ("sample_rows", "sequence_classifier")
 
 
 def test_entry(spark):
