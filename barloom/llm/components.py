@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum (combined before the shuffle) and a join on equal keys, so a node with very many links is
-no single task. Every second step is written to the shared scratch folder, which cuts the lineage.
+Each step is a grouped minimum (combined before the shuffle) and a join on equal keys. A node with more than one in
+`SHARE` of all links would be a task of its own in that join; there are few of them, so they are sent to all tasks. Every second step is written to the shared scratch folder, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -46,10 +46,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: a node is hot from one in so many of all links on, so there are at most 2 * SHARE of them
+SHARE = 500
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    many = max(links // SHARE, 100)
+    hot = F.broadcast(least.filter(F.col("n") > many).select("u", F.col("m").alias("hot")))
+    larger = both.filter("v > u").join(hot, "u", "left")
+    rest = larger.filter("hot IS NULL").drop("hot").join(least.filter(F.col("n") <= many).drop("n"), "u")
+    found = larger.filter("hot IS NOT NULL").select("u", "v", F.col("hot").alias("m")).unionByName(rest.select("u", "v", "m"))
+    return found.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -62,11 +71,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node with a link the smallest node that it reaches. links: columns a, b of one type."""
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = saved(edges, "links")
-    mark = None
-    while True:
-        edges = saved(_small_star(_large_star(edges)), "stars")
+    mark = edges.agg(F.count("*"), F.lit(None)).first()
+    while mark[0]:
+        edges = saved(_small_star(_large_star(edges, mark[0])), "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        if now == mark:
             break
         mark = now
     roots = edges.select("v").distinct()

@@ -10,6 +10,11 @@ The number of blocks depends on the size class of the smaller row, so a row is d
 lower one that may hold a partner. Blocks without columns say nothing: there are `spare` blocks more, and a row with more
 empty blocks than that is dealt again by another hash, as both rows of a pair that could be missed are.
 
+N-grams that a good share of all texts hold (`COMMON`), such as those of a line that many share, would connect unlike rows.
+They are left out of the blocks: two rows differ in no more of the other columns, so the number of blocks stays enough, and a row
+that has too few others, by its empty blocks, is dealt by single columns, the uncommon ones first. Which columns are common only
+changes the work: every pair that reaches the similarity still shares a block.
+
 Rows that blocks connect, directly or by others, form a cluster. Within clusters the overlap of all pairs of rows is
 accumulated column block by column block, as a dense product for columns in many rows and pair by pair for columns in few.
 Clusters of more than `SIDE` rows are dealt by size class and hash into tiles of about that many; tiles of equal
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +47,10 @@ BATCH = 1 << 21
 SIDE = 1024
 # clusters of at most so many tiles have all of them meet
 TILES = 8
+# share of the texts from which on an n-gram is common, and least number of them; at most so many n-grams are left out
+COMMON, FEW, MOST = 1 / 2000, 50, 2_000_000
+# bytes of text taken at once
+PIECE = 1 << 20
 # growth of the sizes from class to class, and tries by another hash before columns are taken one by one
 GROWTH, TRIES = 1.3, 8
 
@@ -77,10 +87,37 @@ def incidence(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
-        _, first, sign = incidence(batch.column("text"), n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(sign.view(np.int64))],
-                                         names=["doc_id", "n", "row"])
+    """doc_id, n and row of every text; in rows of their own gram and held, n-grams that come three times or more in a batch of texts."""
+    names = ["doc_id", "n", "row", "gram", "held"]
+    grams, size = [], 0
+
+    def often() -> pa.RecordBatch:
+        key, count = np.unique(np.concatenate(grams), return_counts=True)
+        key, count = key[count > 2], count[count > 2]
+        grams.clear()
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), kind), *(pa.nulls(len(key), pa.int64()),) * 2, pa.array(key.view(np.int64)), pa.array(count)], names=names)
+
+    kind = None
+    for batch in pieces(batches, "text", PIECE):
+        kind = batch.schema.field("doc_id").type
+        gram, first, sign = incidence(batch.column("text"), n)
+        none = pa.nulls(batch.num_rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(sign.view(np.int64)), none, none], names=names)
+        grams.append(gram)
+        size += len(gram)
+        if size >= BATCH:
+            yield often()
+            size = 0
+    if grams:
+        yield often()
+
+
+def _common(noted: DataFrame, texts: int) -> np.ndarray:
+    """The common n-grams in order. Their number is at most all n-grams of the texts / the least number of texts, and `MOST`."""
+    least = max(FEW, int(COMMON * texts))
+    held = noted.groupBy("gram").agg(F.sum("held").alias("held")).filter(F.col("held") >= least)
+    rows = held.orderBy(F.desc("held"), "gram").limit(MOST).select("gram").toArrow()
+    return np.sort(rows.column("gram").to_numpy().view(np.uint64))
 
 
 class Blocks:
@@ -107,9 +144,13 @@ class Blocks:
         least = np.maximum(-(-self.percent * size // 100), 1)
         return np.searchsorted(self.low, least, side="right") - 1, np.searchsorted(self.low, size, side="right") - 1
 
-    def deal(self, gram: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def deal(self, gram: np.ndarray, first: np.ndarray, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(block, row) of all blocks that hold columns; a block is known by its class, place and columns."""
         size = np.diff(first)
+        usual = np.zeros(len(gram), dtype=bool)
+        if common is not None and len(common):
+            usual = common[np.minimum(np.searchsorted(common, gram), len(common) - 1)] == gram
+        rare, first_rare = gram[~usual], np.append(0, np.cumsum(~usual))[first]
         lowest, own = self.classes(size)
         filled = np.flatnonzero(size > 0)
         todo_row, todo_class = filled, own[filled]
@@ -124,11 +165,11 @@ class Blocks:
         for attempt in range(TRIES):
             if not len(todo_row):
                 break
-            at, which = _members(first, todo_row)
+            at, which = _members(first_rare, todo_row)
             k = self.count[todo_class]
             base = np.cumsum(k) - k
             salt = np.uint64(0xD1B54A32D192ED03 * (attempt + 1) & ((1 << 64) - 1))
-            scrambled = mix(gram[at] ^ salt)
+            scrambled = mix(rare[at] ^ salt)
             place = base[which] + (scrambled % k[which].astype(np.uint64)).astype(np.int64)
             total = int(k.sum())
             sums = np.zeros(total, dtype=np.uint64)
@@ -140,10 +181,11 @@ class Blocks:
             rows.append(todo_row[entry][held])
             again = np.bincount(entry[~held], minlength=len(todo_row)) > self.spare[todo_class]
             todo_row, todo_class = todo_row[again], todo_class[again]
-        if len(todo_row):  # columns in the order of their hashes: two rows share one of the first of each
+        if len(todo_row):  # columns in the order of their hashes, common ones last: two rows share one of the first of each
             at, which = _members(first, todo_row)
-            rank = at - first[todo_row][which]
+            at = at[np.lexsort((gram[at], usual[at], which))]
             n = size[todo_row]
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
             early = rank < (n - -(-self.percent * n // 100) + 1)[which]
             keys.append(mix(gram[at[early]] + np.uint64(3)))
             rows.append(todo_row[which[early]])
@@ -158,7 +200,7 @@ def _members(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[rows][which], which
 
 
-def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int) -> DataFrame:
+def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int, common: Broadcast) -> DataFrame:
     """(block, row) of the blocks that at least two rows have; a row is the signature of its set."""
 
     def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +225,9 @@ def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             gram, first, sign = incidence(batch.column("text"), n)
-            key, row = blocks.deal(gram, first)
+            key, row = blocks.deal(gram, first, common.value)
             held.append((key, sign[row]))
             count += len(key)
             if count >= BATCH:
@@ -289,7 +331,7 @@ def _links(docs: DataFrame, tiles: DataFrame, named: DataFrame, n: int, percent:
     some = named.filter("doc_id IS NOT NULL").join(tiles, "row").select("doc_id", F.col("row").alias("_row"), "tasks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             gram, first, sign = incidence(batch.column("text"), n)
             # rows of one id may have other texts
             right = pa.array(sign.view(np.int64) == batch.column("_row").to_numpy())
@@ -323,12 +365,15 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = saved(docs.mapInArrow(lambda batches: _signed(batches, n), f"doc_id {kind}, n long, row long"), "signed")
-    total, largest = signed.agg(F.sum("n"), F.max("n")).first()
+    written = saved(docs.mapInArrow(lambda batches: _signed(batches, n), f"doc_id {kind}, n long, row long, gram long, held long"), "signed")
+    signed = written.filter("n IS NOT NULL").select("doc_id", "n", "row")
+    total, largest, texts = signed.agg(F.sum("n"), F.max("n"), F.count("n")).first()
+    common = spark.sparkContext.broadcast(_common(written.filter("gram IS NOT NULL"), texts))
     named = saved(signed.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "rows")
     plan = Blocks(percent, largest or 0)
     lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (4 * BATCH)))
-    blocks = saved(_shared(docs, n, plan, lanes), "blocks")
+    blocks = saved(_shared(docs, n, plan, lanes, common), "blocks")
+    common.destroy()
     release(spark)
 
     least = blocks.groupBy("block").agg(F.min("row").alias("b"))

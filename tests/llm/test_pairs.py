@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from barloom.llm import catalog, components, decontaminate, ngram_join, repeats
@@ -270,3 +271,38 @@ def test_pipeline_stages_take_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.docs(spark), "/root/testdata/sf0.001").count() >= 0
         assert stage(spark, odd.empty(spark), "/root/testdata/sf0.001").count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_blocks_without_common_columns_lose_no_pair(percent):
+    """Rows of common columns, mostly or all: every pair that reaches the similarity shares a block, whatever is called common."""
+    rng = np.random.default_rng(percent)
+    usual = np.sort(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    rows = []
+    for _ in range(60):
+        size = int(rng.integers(1, 90))
+        base = np.unique(np.concatenate([rng.choice(usual, rng.integers(0, min(size, 60) + 1), replace=False), rng.integers(0, 1 << 63, size).astype(np.uint64)]))[:size]
+        for _ in range(4):
+            kept = base[rng.random(len(base)) > 0.08]
+            more = rng.integers(0, 1 << 63, rng.integers(0, 1 + len(base) // 12)).astype(np.uint64)
+            rows.append(np.unique(np.concatenate([kept, more])) if len(kept) else base)
+    rows += [usual[:50], usual[:55], usual[3:50]]
+    gram, first = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+    plan = ngram_join.Blocks(percent, max(map(len, rows)))
+    near = {(i, j) for i in range(len(rows)) for j in range(i) if 100 * (o := len(np.intersect1d(rows[i], rows[j]))) >= percent * (len(rows[i]) + len(rows[j]) - o)}
+    assert len(near) > 60
+    for common in (usual, usual[::2], np.unique(gram), None):
+        key, row = plan.deal(gram, first, common)
+        met: dict[int, list[int]] = {}
+        for k, r in zip(key.tolist(), row.tolist()):
+            met.setdefault(k, []).append(r)
+        shared = {(max(a, b), min(a, b)) for members in met.values() for a in members for b in members if a != b}
+        assert near <= shared
+
+
+def test_common_columns_are_found(spark):
+    line = odd.prose(12, 5)
+    docs = spark.createDataFrame([(i, odd.prose(20, 100 + i) + " " + line) for i in range(120)], "doc_id long, text string")
+    written = docs.mapInArrow(lambda batches: ngram_join._signed(batches, 5), "doc_id long, n long, row long, gram long, held long")
+    assert set(ngram_join.incidence(pa.array([line]), 5)[0].tolist()) <= set(ngram_join._common(written.filter("gram IS NOT NULL"), 120).tolist())
+    assert {r.component_id for r in ngram_join.similar(docs).collect()} == set(range(120))
