@@ -140,7 +140,7 @@ def test_passages_around_400_bytes(spark):
     for k, size in enumerate((399, 400, 401, 1200)):
         passage = "<" + letters(size - 2) + ">"
         for side in (0, 1):
-            rows.append((2 * k + side, letters(300 + k) + f"{2 * k + side}A" + passage + f"B{2 * k + side}" + letters(250)))
+            rows.append((2 * k + side, letters(300 + k) + f"A{2 * k + side}" + passage + f"{2 * k + side}B" + letters(250)))
             want[2 * k + side] = size if size >= 400 else 0
     twice = "<" + letters(398) + ">"
     rows += [(20, "1" + twice + "2" + letters(40) + "3" + twice + "4"), (21, letters(2000))]
