@@ -120,6 +120,37 @@ def test_ranking_odd(spark):
     assert ranking.score(odd.empty(spark), ranking.train(odd.empty(spark), labels)).count() == 0
 
 
+def test_ranking_learns_from_all_pairs(spark):
+    """The minimum of the mean loss of all pairs, and the threshold among all scores, against plain numpy."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (700, len(ranking.FIGURES)))
+    good = (x[:, 0] - x[:, 3] + rng.normal(0, 1, 700) > 0.5).tolist()
+    rows = spark.createDataFrame([(g, v.tolist()) for g, v in zip(good, x)], "good boolean, x array<double>").repartition(5)
+    made = ranking.fit(rows)
+    mark = np.array(good)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -6, 6)
+    assert np.allclose(made.mean, x.mean(axis=0), atol=1e-6) and np.allclose(made.scale, x.std(axis=0), atol=1e-6)
+    difference = (z[mark][:, None, :] - z[~mark][None, :, :]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(difference @ w))
+        gradient = -difference.T @ p / len(p) + ranking.PENALTY * w
+        w -= np.linalg.solve((difference * (p * (1 - p))[:, None]).T @ difference / len(p) + ranking.PENALTY * np.eye(len(w)), gradient)
+    assert np.abs(made.weights - w).max() < 1e-3
+    assert made.cut == np.quantile(made.raw(x), np.mean(~mark), method="higher")
+    again = ranking.fit(rows.repartition(3))
+    assert (again.weights == made.weights).all() and again.cut == made.cut
+
+
+def test_ranking_has_no_cap_on_labelled_texts(spark):
+    """The cap was 20,000 texts of each label: of 21,000 of one label all are measured."""
+    docs = spark.range(28_500).selectExpr("id AS doc_id", "IF(id < 28000, 'aa bb', 'cc dd ee!!') AS text")
+    labels = docs.selectExpr("doc_id", "IF(doc_id < 28000, 1, 0) AS quality")
+    used = docs.filter(~ranking.held_out()).selectExpr("avg(IF(doc_id < 28000, log(3D), log(4D))) AS m", "count(*) AS n").first()
+    assert used.n > 20_500
+    assert abs(ranking.train(docs, labels).mean[ranking.FIGURES.index("log_words")] - used.m) < 1e-6
+
+
 def check_shards(rows, shards_, total):
     by = {}
     for r in rows:
