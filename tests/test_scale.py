@@ -45,6 +45,31 @@ def test_long_names_and_inputs_have_no_array_of_substrings(spark):
     assert spark.range(1).select(F.lit("abca").alias("t")).select(F.size(symbols.fragments("t", 3)), F.size(symbols.fragments("t", 1)), F.size(symbols.fragments("t", 5))).first() == (2, 3, 0)
 
 
+def test_numbered_names_meet_few_inputs(spark):
+    """Numbered names share all short fragments; candidates must grow with the texts, not with their product."""
+    frame = spark.range(1500).selectExpr("CONCAT('S', id) AS symbol", "id AS position", "ARRAY(CONCAT('Supplier#', LPAD(id, 9, '0'))) AS names")
+    asked = spark.range(3000).selectExpr("CONCAT(IF(id % 2 = 0, 'buy Supplier#', 'plier#'), LPAD(id, 9, '0')) AS text")
+    named = symbols._sized(symbols.name_map(frame), "name")
+    pairs = symbols._candidates(symbols._sized(asked.selectExpr("LOWER(text) AS _q"), "_q"), named, symbols._lengths(named))
+    assert 1500 <= pairs.count() <= 4 * 1500
+    got = symbols.resolve_symbols(asked, frame, frame.select("symbol")).collect()
+    assert {r.text: r.resolved for r in got} == {r.text: f"S{int(r.text[-9:])}" if int(r.text[-9:]) < 1500 else None for r in got}
+
+
+@pytest.mark.parametrize("size", [2, 3, 6, 11, 12, 13, 24, 25, 30])
+def test_partial_names_of_all_lengths(spark, size):
+    rng = random.Random(size)
+    text = "".join(rng.choice("abé😀 1") for _ in range(60))
+    names = [f"x{text[k : k + size].strip()}y" for k in (0, 7, 20)] + ["other"]
+    asked = [text[7 : 7 + size], "so " + names[2] + " it is"]
+    frame = spark.createDataFrame([(f"S{i}", i, [n]) for i, n in enumerate(names)], "symbol string, position int, names array<string>")
+    got = {r.text: r.resolved for r in symbols.resolve_symbols(spark.createDataFrame([(a,) for a in asked], "text string"), frame, frame.select("symbol")).collect()}
+    for a in asked:
+        q = a.strip().lower()
+        partial = [f"S{i}" for i, n in enumerate(names) if q and (q in n or n in q)]
+        assert got[a] == (partial[0] if partial else None)
+
+
 @pytest.mark.parametrize("most", [2, 7, 40])
 def test_sampled_windows_equal_the_sample_of_all(spark, most):
     pdf = pd.concat([series(n, [s], freq="9h") for s, n in (("A", 130), ("B", 6), ("C", 5), ("D", 45), ("E", 46))], ignore_index=True)
