@@ -3,7 +3,7 @@
 Indicators need the rows of one symbol in time order, and the obvious window,
 `partitionBy("Symbol")`, puts a whole symbol into one task. For daily bars that
 is safe: (Symbol, Date) is unique and a calendar holds some tens of thousands
-of days. For bars with a time of day there is no such bound, so `lay_out` cuts
+of days; many bars are dealt by symbol to as many tasks as `DAILY` asks for. For bars with a time of day there is no such bound, so `lay_out` cuts
 a series into blocks of neighbouring time buckets and sends each bucket also to
 the blocks whose windows look back (`before` rows) or ahead (`after` rows) into
 it. All windows then run per (Symbol, block), and `settle` keeps each row once,
@@ -31,6 +31,8 @@ OWN = "_own"
 # (13/14)^1000 being below 1e-32.
 HALO = 1000
 CORE = 65_536
+# Daily bars a task: the windows of all features sort them several times, with all columns.
+DAILY = 131_072
 
 
 class NeedsRows(ValueError):
@@ -52,6 +54,16 @@ def is_daily(df: DataFrame) -> bool:
     return isinstance(df.schema["Date"].dataType, DateType)
 
 
+def by_symbol(bars: DataFrame, rows: int = DAILY) -> DataFrame:
+    """Daily bars dealt by symbol to one task for each `rows` of them, or as they are if there are enough tasks anyway.
+
+    The windows keep this exchange in place of their own, so the memory of a task does not grow with the bars. Counting
+    them reads the two key columns.
+    """
+    tasks = -(-bars.count() // rows)
+    return bars.repartition(tasks, "Symbol") if tasks > bars.sparkSession.sparkContext.defaultParallelism else bars
+
+
 def series_keys(df: DataFrame) -> list[str]:
     return ["Symbol", BLOCK] if BLOCK in df.columns else ["Symbol"]
 
@@ -129,10 +141,12 @@ def lay_out(
 
     `bucket` names a date_trunc unit that holds a moderate number of rows of one
     symbol; without it `fitting_bucket` finds one.
-    Daily bars are returned as they are unless `force` is set.
+    Daily bars stay without blocks unless `force` is set (see `by_symbol`).
     """
-    if BLOCK in bars.columns or (is_daily(bars) and not force):
+    if BLOCK in bars.columns:
         return bars
+    if is_daily(bars) and not force:
+        return by_symbol(bars)
     # days are bounded by the calendar, so a symbol of daily bars has few in a month
     bucket = bucket or ("month" if is_daily(bars) else fitting_bucket(bars, core))
     placed = _placement(bars, max(before, 1), max(after, 1), core, bucket)

@@ -28,9 +28,24 @@ def events_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Order lines that a task groups by symbol and day; the grouping sorts them with all that breaks ties.
+LINES_A_TASK = 1_000_000
+# tasks that the lines of one symbol and day are dealt to
+SALTS = 8
+
+
+def _dealt(items: DataFrame, rows: int) -> DataFrame:
+    """Lines (Symbol, Date, seq) in tasks of `LINES_A_TASK`, or as they were read if there are few of the `rows`."""
+    tasks = -(-rows // LINES_A_TASK)
+    if tasks <= items.sparkSession.sparkContext.defaultParallelism:
+        return items
+    return items.repartition(tasks, "Symbol", "Date", F.pmod(F.xxhash64("seq.l_orderkey"), F.lit(SALTS)))
+
+
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of unit prices in whole cents, one symbol per supplier; all columns break ties inside a day."""
-    items = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    items = lines.select(
         F.col("l_suppkey").cast("string").alias("Symbol"),
         F.col("l_shipdate").cast("date").alias("Date"),
         (F.floor(F.try_divide(F.col("l_extendedprice") * 100, "l_quantity")) / 100.0).alias("price"),
@@ -39,7 +54,8 @@ def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
         ).alias("seq"),
     )
-    return items.groupBy("Symbol", "Date").agg(
+    # the count comes from the files' footers
+    return _dealt(items, lines.count()).groupBy("Symbol", "Date").agg(
         F.min_by("price", "seq").alias("Open"),
         F.max("price").alias("High"),
         F.min("price").alias("Low"),

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import clean, datasets, evaluate, layout, ranking, symbols
-from barloom.plans import cleaning
+from barloom.plans import cleaning, features
+from barloom.sources import adapters
 from barloom.sources.adapters import dirty_bars
-from conftest import bars, series
+from conftest import bars, ordered, series
 
 
 def test_partial_names_against_all_pairs(spark):
@@ -70,6 +71,22 @@ def test_partial_names_of_all_lengths(spark, size):
         assert got[a] == (partial[0] if partial else None)
 
 
+def test_many_daily_bars_go_to_more_tasks(spark, sf_dir, monkeypatch):
+    """Tasks follow the number of bars and of order lines, not the session's shuffle partitions; the rows stay the same."""
+    def rows():
+        return features.training_features(adapters.lineitem_bars(spark, sf_dir))
+
+    want = ordered(rows())
+    monkeypatch.setattr(layout.by_symbol, "__defaults__", (100,))
+    monkeypatch.setattr(adapters, "LINES_A_TASK", 100)
+    dealt = rows()
+    tasks = -(-adapters.lineitem_bars(spark, sf_dir).count() // 100)
+    assert tasks > 40 and dealt.rdd.getNumPartitions() == tasks
+    assert ordered(dealt).equals(want)
+    placed = layout.by_symbol(adapters.lineitem_bars(spark, sf_dir)).select("Symbol", F.spark_partition_id().alias("p")).distinct()
+    assert placed.groupBy("Symbol").count().agg(F.max("count")).first()[0] == 1
+
+
 @pytest.mark.parametrize("most", [2, 7, 40])
 def test_sampled_windows_equal_the_sample_of_all(spark, most):
     pdf = pd.concat([series(n, [s], freq="9h") for s, n in (("A", 130), ("B", 6), ("C", 5), ("D", 45), ("E", 46))], ignore_index=True)
