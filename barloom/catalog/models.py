@@ -16,18 +16,24 @@ from barloom.sources import writers
 from barloom.sources.adapters import embeddings_keyed, events_bars, table
 from barloom.sources.writers import scratch_dir
 
-def _training(spark, sf_dir):
-    """Training features as a written table: the models read it several times."""
-    path = scratch_dir(spark) + "/features"
-    writers.write_parquet(features.training_features(events_bars(spark, sf_dir)), path)
-    return spark.read.parquet(path)
-
-
 def _registered(spark, sf_dir, name, tables, params, make, load):
     key = registry.fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in tables], name=name, **params)
     return registry.registered(spark, name, key, make, load)
 
 
+def _training(spark, sf_dir):
+    """Training features as a written table, made once: all models read it, some several times.
+
+    The bars are written before: the layout of the features reads them three times, which would group the events as often.
+    """
+    def make(path):
+        bars = scratch_dir(spark) + "/bars"
+        writers.write_parquet(events_bars(spark, sf_dir), bars)
+        writers.write_parquet(features.training_features(spark.read.parquet(bars)), path)
+
+    return _registered(spark, sf_dir, "features", ["events"], {}, make, spark.read.parquet)
+
+
 def trained(spark, sf_dir):
     """The run of the structured forest over a table folder, without cross-validation."""
     return _registered(

@@ -29,6 +29,21 @@ def test_a_known_run_is_loaded(spark, sf_dir, monkeypatch):
         models.trained(spark, sf_dir)
 
 
+def test_features_are_made_once_from_bars_that_are_grouped_once(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(registry, "registry_dir", lambda _: str(tmp_path))
+    want = {tuple(r) for r in models.features.training_features(models.events_bars(spark, sf_dir)).collect()}
+    seen = []
+
+    def made(bars):
+        seen.append(bars.inputFiles())
+        return training_features(bars)
+
+    training_features = models.features.training_features
+    monkeypatch.setattr(models.features, "training_features", made)
+    assert {tuple(r) for r in models._training(spark, sf_dir).collect()} == want == {tuple(r) for r in models._training(spark, sf_dir).collect()}
+    assert len(seen) == 1 and not any("events.parquet" in f for f in seen[0])
+
+
 def test_fingerprint_follows_files_and_parameters(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
