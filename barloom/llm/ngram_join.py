@@ -294,6 +294,8 @@ def _tiles(rows: DataFrame, shared: DataFrame, blocks: Blocks, lanes: int, side:
     counts = classed.groupBy("cluster", "c").agg(F.count("*").alias("rows"))
     large = counts.groupBy("cluster").agg(F.sum("rows").alias("all")).filter(F.col("all") > side)
     counts = counts.join(large, "cluster").select("cluster", "c", F.ceil(F.col("rows") / side).alias("t"))
+    # read by several joins below: written, so that their plans don't hold them again and again
+    counts = saved(counts, "sizes")
 
     every = counts.withColumn("each", F.sequence(F.lit(0), F.col("t") - 1))
     every = every.select("cluster", F.transform("each", lambda i: F.struct("c", i.cast("int").alias("i"))).alias("own"))
@@ -302,6 +304,7 @@ def _tiles(rows: DataFrame, shared: DataFrame, blocks: Blocks, lanes: int, side:
     every = every.join(some, "cluster").groupBy("cluster").agg(F.flatten(F.collect_list("own")).alias("tiles"))
 
     placed = classed.join(counts, ["cluster", "c"]).select("row", "cluster", "c", F.pmod(F.xxhash64("row"), "t").cast("int").alias("i"))
+    placed = saved(placed, "placed")
     few = placed.join(every, "cluster")
     entries = shared.join(placed.join(some, "cluster", "left_anti"), "row")
     # at most as many tiles as the cluster has
@@ -379,7 +382,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     least = blocks.groupBy("block").agg(F.min("row").alias("b"))
     clusters = components(blocks.join(least, "block").select(F.col("row").alias("a"), "b"))
     rows = clusters.withColumnsRenamed({"node": "row", "root": "cluster"}).join(named.select("row", "n"), "row")
+    rows = saved(rows, "clusters")
+    release(spark)
     tiles = saved(_tiles(rows, blocks, plan, 4 * lanes, side), "tiles")
+    release(spark)
     roots = components(saved(_links(docs, tiles, named, n, percent), "links"))
     release(spark)
 

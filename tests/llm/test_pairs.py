@@ -98,6 +98,23 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_join_plans_stay_small(spark, monkeypatch):
+    """Every written step reads tables that are written: its plan holds no other step's."""
+    plans = {}
+
+    def noted(df, name, own=components.saved):
+        plans[name] = max(plans.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return own(df, name)
+
+    for module in (components, ngram_join):
+        monkeypatch.setattr(module, "saved", noted)
+    base = [odd.prose(40, seed).split() for seed in range(6)]
+    rows = [(i * 50 + k, " ".join(b[:k] + ["other"] + b[k + 1 :])) for i, b in enumerate(base) for k in range(12)]
+    got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), n=2, percent=80, side=4)
+    assert Counter(map(tuple, got.collect())) == plain_components(rows, 2, 80)
+    assert {"stars", "tiles", "links"} <= set(plans) and max(plans.values()) <= 40, plans
+
+
 def plain_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
