@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from barloom.llm import catalog, components, decontaminate, ngram_join, repeats
+from barloom.llm import arrays, catalog, components, decontaminate, ngram_join, repeats
 from tests.llm import odd
 
 
@@ -167,6 +167,32 @@ def test_passages_around_400_bytes(spark):
     assert made == {k: (n, 2 if k == 20 else int(n > 0)) for k, n in want.items()}
 
 
+def test_repeats_of_equal_short_names(spark):
+    """Strings of one 32-bit name in different lanes: what met in a task is made known to the lane of each."""
+    noise = np.random.default_rng(11).integers(ord("a"), ord("z") + 1, 500_000, dtype=np.uint8)
+    at = np.arange(100, len(noise) - 200)
+    full = arrays.span_hash(arrays.prefix_sums(noise), at, at + 54)
+    lane = (full >> np.uint64(40)) % np.uint64(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = np.argsort(full & np.uint64(0xFFFFFFFF), kind="stable")
+    near = (np.diff(full[order] & np.uint64(0xFFFFFFFF)) == 0) & (np.diff(lane[order]) != 0)
+    pairs = [(int(at[order[k]]), int(at[order[k + 1]])) for k in np.flatnonzero(near)]
+    cover = repeats.difference_cover(2)
+    shift = next(d for d in cover if (d + 1) % 7 in cover)  # the one sample that places 0 and 1 share
+
+    def text(start, size):
+        return noise[start : start + size].tobytes().decode()
+
+    first, other = [], []
+    for k, (x, y) in enumerate(pairs):
+        first += [(3 * k, text(y - cover[0], 90)), (3 * k + 1, text(x - shift, 60) + odd.prose(20, 2 * k))]
+        other.append((3 * k + 2, "A" + text(x - shift, 60) + odd.prose(20, 2 * k + 1)))
+    rows = first + other
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitionsWithIndex(lambda n, _: iter((first, other)[n])), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs, 60, 2).collect()}
+    want = dict(zip((i for i, _ in rows), plain_repeats([t for _, t in rows], 60)))
+    assert len(pairs) > 5 and all(want[3 * k + 2][1] >= 60 for k in range(len(pairs))) and got == want
+
+
 def test_repeats_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in catalog.documents(spark, sf_dir).collect()}
     want = dict(zip(texts, plain_repeats(list(texts.values()), 400)))
