@@ -29,7 +29,7 @@ an equal set only and name no component that has another id; other columns are n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.arrays import LOWER, flat, mix, ngrams, owner, pieces, prefix_sums, span_hash, words
+from barloom.llm.arrays import LOWER, flat, give_back, mix, ngrams, owner, pieces, prefix_sums, span_hash, words
 from barloom.llm.components import components, release, saved
 
-# blocks that a task makes before it passes them on
-BATCH = 1 << 21
+# blocks that a task makes before it passes them on, and n-grams that it counts at once
+BATCH, COUNTED = 1 << 19, 1 << 21
+# n-grams of all texts for each lane of blocks
+LANE = 1 << 23
 # rows in a tile of the product
 SIDE = 1024
 # clusters of at most so many tiles have all of them meet
@@ -50,7 +52,9 @@ TILES = 8
 # share of the texts from which on an n-gram is common, and least number of them; at most so many n-grams are left out
 COMMON, FEW, MOST = 1 / 2000, 50, 2_000_000
 # bytes of text taken at once
-PIECE = 1 << 20
+PIECE = 1 << 19
+# rows and columns of a tile that are looked at together
+STRIP, COLUMNS = 256, 1024
 # growth of the sizes from class to class, and tries by another hash before columns are taken one by one
 GROWTH, TRIES = 1.3, 8
 
@@ -92,9 +96,11 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     grams, size = [], 0
 
     def often() -> pa.RecordBatch:
-        key, count = np.unique(np.concatenate(grams), return_counts=True)
-        key, count = key[count > 2], count[count > 2]
+        every = np.concatenate(grams)
         grams.clear()
+        every.sort()
+        key = np.unique(every[2:][every[2:] == every[:-2]])
+        count = np.searchsorted(every, key, side="right") - np.searchsorted(every, key)
         return pa.RecordBatch.from_arrays([pa.nulls(len(key), kind), *(pa.nulls(len(key), pa.int64()),) * 2, pa.array(key.view(np.int64)), pa.array(count)], names=names)
 
     kind = None
@@ -105,7 +111,7 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), pa.array(sign.view(np.int64)), none, none], names=names)
         grams.append(gram)
         size += len(gram)
-        if size >= BATCH:
+        if size >= COUNTED:
             yield often()
             size = 0
     if grams:
@@ -200,6 +206,18 @@ def _members(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[rows][which], which
 
 
+def _frugal(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of a group, after which free memory goes back to the machine."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            give_back()
+
+    return run
+
+
 def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int, common: Broadcast) -> DataFrame:
     """(block, row) of the blocks that at least two rows have; a row is the signature of its set."""
 
@@ -217,7 +235,8 @@ def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int, common: Broadca
         order = np.argsort(lane, kind="stable")
         lane, key_, row_ = lane[order], key[lead][order], row[lead][order]
         at = np.searchsorted(lane, np.arange(lanes + 1))
-        own = [(-1 - k, key[met][k::lanes], row[met][k::lanes]) for k in range(lanes)]
+        key, row = key[met], row[met]
+        own = [(-1 - k, key[k::lanes], row[k::lanes]) for k in range(min(lanes, len(key)))]
         parts = [*((k, key_[a:b], row_[a:b]) for k, (a, b) in enumerate(zip(at[:-1], at[1:]))), *own]
         parts = [p for p in parts if len(p[1])]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), *(pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in (1, 2))],
@@ -237,7 +256,7 @@ def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int, common: Broadca
             yield from emit(held)
 
     def join(table: pa.Table) -> pa.Table:
-        key, row = (np.concatenate([np.frombuffer(x, "<u8") for x in table.column(name).to_pylist()]) for name in ("block", "row"))
+        key, row = (flat(table.column(name).combine_chunks())[0].view("<u8") for name in ("block", "row"))
         if table.column("lane")[0].as_py() >= 0:
             order = np.lexsort((row, key))
             key, row = key[order], row[order]
@@ -248,7 +267,7 @@ def _shared(docs: DataFrame, n: int, blocks: Blocks, lanes: int, common: Broadca
             key, row = key[keep], row[keep]
         return pa.table({"block": key.view(np.int64), "row": row.view(np.int64)})
 
-    return docs.mapInArrow(split, "lane long, block binary, row binary").groupBy("lane").applyInArrow(join, "block long, row long").distinct()
+    return docs.mapInArrow(split, "lane long, block binary, row binary").groupBy("lane").applyInArrow(_frugal(join), "block long, row long").distinct()
 
 
 def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -267,17 +286,22 @@ def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
             for j in range(i + 1, c):
                 np.add.at(overlap, (members[:, i], members[:, j]), 1)
     many = np.flatnonzero(count > 8)
-    for at in range(0, len(many), 4096):
-        columns = many[at : at + 4096]
+    for at in range(0, len(many), COLUMNS):
+        columns = many[at : at + COLUMNS]
         block = np.zeros((rows, len(columns)), dtype=np.float32)
         block[row[np.concatenate([np.arange(edge[c], edge[c] + count[c]) for c in columns])], np.repeat(np.arange(len(columns)), count[columns])] = 1
-        overlap += np.triu(block @ block.T, 1)
-    overlap += overlap.T
-    linked = 100 * overlap.astype(np.float64) >= percent * (size[:, None] + size - overlap.astype(np.float64))
+        for i in range(0, rows, STRIP):
+            overlap[i : i + STRIP, i:] += block[i : i + STRIP] @ block[i:].T
+    # the half above the diagonal counts; a strip of rows at a time, so that a tile is held once
+    linked = np.zeros((rows, rows), dtype=bool)
+    for i in range(0, rows, STRIP):
+        common = overlap[i : i + STRIP].astype(np.float64)
+        linked[i : i + STRIP] = np.triu(100 * common >= percent * (size[i : i + STRIP, None] + size - common), i + 1)
+    linked |= linked.T
     np.fill_diagonal(linked, True)
     label = np.arange(rows)
     while True:
-        least = np.where(linked, label, rows).min(axis=1)
+        least = np.concatenate([np.where(linked[i : i + STRIP], label, rows).min(axis=1) for i in range(0, rows, STRIP)])
         if (least == label).all():
             return label
         label = least
@@ -342,8 +366,8 @@ def _links(docs: DataFrame, tiles: DataFrame, named: DataFrame, n: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("tasks"), blobs], names=["row", "tasks", "grams"]).filter(right)
 
     def product(table: pa.Table) -> pa.Table:
-        table = table.sort_by("cluster")
-        cluster, row = table.column("cluster").to_numpy(), table.column("row").to_numpy()
+        order = np.argsort(table.column("cluster").to_numpy(), kind="stable")
+        cluster, row = (table.column(name).to_numpy()[order] for name in ("cluster", "row"))
         blobs = table.column("grams").combine_chunks()
         edge = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
         a, b = [], []
@@ -351,7 +375,7 @@ def _links(docs: DataFrame, tiles: DataFrame, named: DataFrame, n: int, percent:
             # a row with repeated ids comes more than once
             own, at = np.unique(row[x:y], return_index=True)
             if len(own) > 1:
-                label = connected([np.frombuffer(blobs[x + k].as_buffer(), "<u8") for k in at.tolist()], percent)
+                label = connected([np.frombuffer(blobs[order[x + k]].as_buffer(), "<u8") for k in at.tolist()], percent)
                 joined = np.flatnonzero(label != np.arange(len(own)))
                 a.append(own[joined]), b.append(own[label[joined]])
         none = np.zeros(0, dtype=np.int64)
@@ -360,7 +384,7 @@ def _links(docs: DataFrame, tiles: DataFrame, named: DataFrame, n: int, percent:
     kind = "array<struct<lane:bigint,cluster:bigint,c:int,i:int,d:int,j:int>>"
     dealt = docs.join(some, "doc_id").mapInArrow(sets, f"row long, tasks {kind}, grams binary").select("row", "grams", F.inline("tasks"))
     hot = F.when(F.col("lane") < 0, F.col("cluster")).otherwise(0)
-    return dealt.groupBy("lane", hot.alias("hot"), "c", "i", "d", "j").applyInArrow(product, "a long, b long")
+    return dealt.groupBy("lane", hot.alias("hot"), "c", "i", "d", "j").applyInArrow(_frugal(product), "a long, b long")
 
 
 def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", side: int = SIDE) -> DataFrame:
@@ -374,7 +398,7 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text",
     common = spark.sparkContext.broadcast(_common(written.filter("gram IS NOT NULL"), texts))
     named = saved(signed.filter("n > 0").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "rows")
     plan = Blocks(percent, largest or 0)
-    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (4 * BATCH)))
+    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // LANE))
     blocks = saved(_shared(docs, n, plan, lanes, common), "blocks")
     common.destroy()
     release(spark)

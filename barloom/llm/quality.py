@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.arrays import covered, flat, lines, owner, per_text, pieces, prefix_sums, repeated, repeated_ngrams, span_hash, within, words
 
+# bytes of text taken at once: some thirty bytes of arrays for each
+PIECE = 1 << 19
 # characters whose number is reported
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -113,7 +115,7 @@ def quality_figures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     names = [*_LONGS, *_shares(limits), "base_failed", "kept"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             made = measure(batch.column("text"), limits)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(made[n]) for n in names)], names=["doc_id", *names])
 
@@ -125,7 +127,7 @@ def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) ->
     """The rows whose text is kept, with all their columns as they are."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE):
             yield batch.filter(pa.array(measure(batch.column(text), limits)["kept"]))
 
     return docs.mapInArrow(rows, docs.schema)

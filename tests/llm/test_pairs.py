@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -349,3 +350,40 @@ def test_common_columns_are_found(spark):
     written = docs.mapInArrow(lambda batches: ngram_join._signed(batches, 5), "doc_id long, n long, row long, gram long, held long")
     assert set(ngram_join.incidence(pa.array([line]), 5)[0].tolist()) <= set(ngram_join._common(written.filter("gram IS NOT NULL"), 120).tolist())
     assert {r.component_id for r in ngram_join.similar(docs).collect()} == set(range(120))
+
+
+def test_join_takes_little_memory():
+    """Of a task: a tile of the product, counting and tables of powers for a piece of text; results are as before."""
+    rng = np.random.default_rng(3)
+    rows = 1500
+    usual = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate([usual[rng.random(400) > 0.02], rng.integers(0, 1 << 62, 4).astype(np.uint64)])) for _ in range(rows)]
+    sets[700], sets[701] = (np.arange(k, k + 300, dtype=np.uint64) for k in (5, 10))
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 120)) for _ in range(4000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), text], names=["doc_id", "text"])
+    arrays.give_back()
+    tracemalloc.start()
+    try:
+        label = ngram_join.connected(sets, 80)
+        tile = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        made = list(ngram_join._signed(iter([batch]), 5))
+        counted = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert label.tolist() == [700 if k in (700, 701) else 0 for k in range(rows)]
+    assert sum(b.num_rows for b in made) == 4000
+    # mostly the sets themselves and four bytes for every pair of rows
+    assert tile < 24 * rows * rows, tile
+    assert counted < 40e6, counted
+
+
+def test_memory_goes_back(spark, monkeypatch):
+    """Functions of a group give free memory back, and a stage begins with a collection on the executors."""
+    given = []
+    monkeypatch.setattr(ngram_join, "give_back", lambda: given.append(1))
+    assert ngram_join._frugal(lambda t: t.num_rows)(pa.table({"a": [1, 2]})) == 2 and given == [1]
+    collections = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    before = sum(b.getCollectionCount() for b in collections())
+    components.sweep(spark)
+    assert sum(b.getCollectionCount() for b in collections()) > before
